@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from quillframe.functions import fixed_values as V
 # White space as Python's str.strip and re see it: Unicode spaces and FS to US.
 _SPACE = r"[\s\x1c-\x1f]"
 # Every line break Python's str.splitlines honours.
-LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def python_regex(pattern: str, ignore_case: bool = False) -> str:
@@ -21,6 +21,11 @@ def python_regex(pattern: str, ignore_case: bool = False) -> str:
     return flags + pattern.replace(r"\s", _SPACE)
 
 
+def once(col: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(col)`` with ``col`` computed a single time per row."""
+    return F.get(F.transform(F.array(col), use), F.lit(0))
+
+
 def strip_text(col: Column) -> Column:
     return F.regexp_replace(col, rf"(?U)^{_SPACE}+|{_SPACE}+\z", "")
 
