@@ -21,24 +21,25 @@ def validate_verdicts(df: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 def first_valid_attempt(
-    attempts: DataFrame, key: str = "id", max_attempts: int = V.MAX_ATTEMPTS
+    attempts: DataFrame, *keys: str, max_attempts: int = V.MAX_ATTEMPTS
 ) -> DataFrame:
-    """``(key, verdict, reason)`` from rows ``(key, attempt, raw, error)``.
+    """``(*keys, verdict, reason)`` from rows ``(*keys, attempt, raw, error)``.
 
     The earliest valid answer wins. Without one the verdict is ``uncertain`` and
     the reason carries the last error. Both are partial aggregates, so nothing
     is gathered per key.
     """
+    keys = keys or ("id",)
     failed = F.coalesce(
         F.col("error"),
         F.when(is_json(F.col("raw")), F.concat(F.lit(V.SCHEMA_MISMATCH), F.col("raw"))),
         F.concat(F.lit("JSONDecodeError: "), F.coalesce("raw", F.lit(""))),
     )
     tried = attempts.where(F.col("attempt") < max_attempts).select(
-        key, "attempt", failed.alias("failed"),
+        *keys, "attempt", failed.alias("failed"),
         F.when(F.col("error").isNull(), validate_verdict(F.col("raw"))).alias("answer"),
     )
-    best = tried.groupBy(key).agg(
+    best = tried.groupBy(*keys).agg(
         F.min_by("answer", F.when(F.col("answer").isNotNull(), F.col("attempt"))).alias("answer"),
         F.max_by("failed", "attempt").alias("failed"),
     )
@@ -46,7 +47,7 @@ def first_valid_attempt(
         F.lit(V.FALLBACK_REASON.format(attempts=max_attempts)), F.col("failed")
     )
     return best.select(
-        key,
+        *keys,
         F.coalesce(F.col("answer.verdict"), F.lit("uncertain")).alias("verdict"),
         F.coalesce(F.col("answer.reason"), fallback).alias("reason"),
     )

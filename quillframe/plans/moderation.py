@@ -17,15 +17,19 @@ from quillframe.functions import fixed_values as V
 from quillframe.functions.text import chat_messages, moderation_prompt
 from quillframe.operators.groups import with_class_weight
 from quillframe.operators.sampling import first_two_columns
-from quillframe.operators.verdicts import first_valid_attempt
+from quillframe.operators.verdicts import first_valid_attempt, newest_per_id
 
 _WORDS = 1 << 16
 
 
 def prompts(comments: DataFrame) -> DataFrame:
-    """``(id, prompt, messages)`` from the first two columns, taken by position."""
+    """``(id, row_no, prompt, messages)`` from the first two columns, by position.
+
+    ``row_no`` follows the order in which the rows are read.
+    """
     pair = first_two_columns(comments).toDF("id", "comment")
-    asked = pair.select("id", moderation_prompt(F.col("comment")).alias("prompt"))
+    row_no = F.monotonically_increasing_id().alias("row_no")
+    asked = pair.select("id", row_no, moderation_prompt(F.col("comment")).alias("prompt"))
     return asked.withColumn("messages", chat_messages(F.lit(V.MODERATION_SYSTEM), F.col("prompt")))
 
 
@@ -80,16 +84,18 @@ def ask(
     make_client: Callable[[], Callable[[str], str]],
     max_attempts: int = V.MAX_ATTEMPTS,
 ) -> DataFrame:
-    """``(id, attempt, raw, error)`` from a client called for each prompt.
+    """``(id, row_no, attempt, raw, error)`` from a client called for each prompt.
 
     One client per task. Every try is a row, up to the first acceptable answer.
     """
 
+    names = ["id", "row_no", "attempt", "raw", "error"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make_client()
         for batch in batches:
             tries = []
-            for key, prompt in zip(batch["id"], batch["prompt"], strict=True):
+            for key, row_no, prompt in batch.itertuples(index=False):
                 for attempt in range(max_attempts):
                     raw = error = None
                     try:
@@ -98,14 +104,14 @@ def ask(
                         raw = client(prompt)
                     except Exception as e:  # whatever the client raises is an attempt
                         error = f"{type(e).__name__}: {e}"
-                    tries.append((key, attempt, raw, error))
+                    tries.append((key, row_no, attempt, raw, error))
                     if prompt is None or _acceptable(raw):
                         break
-            yield pd.DataFrame(tries, columns=["id", "attempt", "raw", "error"])
+            yield pd.DataFrame(tries, columns=names)
 
     key_type = asked.schema["id"].dataType.simpleString()
-    return asked.select("id", "prompt").mapInPandas(
-        run, f"id {key_type}, attempt int, raw string, error string"
+    return asked.select("id", "row_no", "prompt").mapInPandas(
+        run, f"id {key_type}, row_no bigint, attempt int, raw string, error string"
     )
 
 
@@ -114,7 +120,10 @@ def moderate(
     make_client: Callable[[], Callable[[str], str]],
     max_attempts: int = V.MAX_ATTEMPTS,
 ) -> DataFrame:
-    """``(id, verdict, reason)`` for a comments table, whole and in parallel."""
-    return first_valid_attempt(
-        ask(prompts(comments), make_client, max_attempts), max_attempts=max_attempts
-    )
+    """``(id, verdict, reason)`` for a comments table, whole and in parallel.
+
+    Of rows with the same id the last one counts.
+    """
+    tries = ask(prompts(comments), make_client, max_attempts)
+    verdicts = first_valid_attempt(tries, "id", "row_no", max_attempts=max_attempts)
+    return newest_per_id(verdicts, "id", "row_no").drop("place")
