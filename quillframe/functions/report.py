@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillframe.functions import fixed_values as V
-from quillframe.functions.text import LINE_BREAK, strip_text
+from quillframe.functions.text import LINE_BREAK, rest_of, strip_text
 
 # All three are line breaks, so no line can contain them after splitting.
 _SECTION, _BULLET, _MORE = "\x1c", "\x1d", "\x1e"
@@ -36,20 +36,20 @@ def parse_report(text: Column) -> Column:
     lines = F.split(F.coalesce(text, F.lit("")), LINE_BREAK, -1)
     tagged = F.concat(
         F.lit(_SECTION),
-        F.array_join(F.transform(lines, lambda x: _tagged_line(strip_text(x))), ""),
+        F.array_join(F.transform(F.transform(lines, strip_text), _tagged_line), ""),
     )
     # A continuation right behind a title has no bullet to join: it opens one.
     opened = F.regexp_replace(
         tagged, f"({_SECTION}[^{_SECTION}{_BULLET}{_MORE}]*){_MORE}", f"$1{_BULLET}"
     )
     folded = F.replace(opened, F.lit(_MORE), F.lit(" "))
-    blocks = F.slice(F.split(folded, _SECTION, -1), 2, 2147483647)
+    blocks = rest_of(F.split(folded, _SECTION, -1))
 
     def section(block: Column) -> Column:
         parts = F.split(block, _BULLET, -1)
         return F.struct(
             F.get(parts, F.lit(0)).alias("title"),
-            F.slice(parts, 2, 2147483647).alias("bullets"),
+            rest_of(parts).alias("bullets"),
         )
 
     sections = F.transform(blocks, section)

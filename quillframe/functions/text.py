@@ -26,6 +26,11 @@ def once(col: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(col), use), F.lit(0))
 
 
+def rest_of(items: Column) -> Column:
+    """All elements of an array but the first."""
+    return F.slice(items, F.lit(2), F.size(items))
+
+
 def strip_text(col: Column) -> Column:
     return F.regexp_replace(col, rf"(?U)^{_SPACE}+|{_SPACE}+\z", "")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.functions import fixed_values as V
+from quillframe.functions.text import rest_of
 from quillframe.sources.tables import null_if_missing
 
 _MB = 1024 * 1024
@@ -73,7 +74,7 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 def _data_lines(text: Column) -> Column:
     """Non-blank lines behind the header."""
     lines = F.filter(F.split(text, "\r\n|\n|\r", -1), lambda x: F.trim(x) != "")
-    return F.slice(lines, 2, 2147483647)
+    return rest_of(lines)
 
 
 def admit_files(spark: SparkSession, path: str, max_mb: int = V.MAX_FILE_MB) -> DataFrame:
