@@ -3,15 +3,17 @@
 Spark's ``percentile`` keeps a value-to-count map per group. That is the right
 tool while a column has a bounded number of distinct values, which one cheap
 pass measures. A column beyond the bound is narrowed instead: every target rank
-gets a bracket of values from an approximate sketch, the rows below and inside
-it are counted exactly, and the bracket shrinks until the distinct values inside
-it are few. Only those are shuffled and ranked, so no task ever holds a column.
+gets a slot with a bracket of values from an approximate sketch, the rows below
+and inside it are counted exactly, and the bracket shrinks until the distinct
+values inside it are few. Only those are shuffled and ranked, so no task ever
+holds a column.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -72,115 +74,171 @@ def _by_counts(data: DataFrame, columns: list[str], probs: list[float], by: list
     return wide.select(*by, F.inline(F.array(*[f"s{i}" for i in range(len(columns))])))
 
 
-def _sketch(value: Column) -> list[Column]:
-    return [
-        F.count(value).alias("n_in"),
-        F.approx_count_distinct(value).alias("values_in"),
-        F.min(value).alias("lo"),
-        F.max(value).alias("hi"),
-        F.percentile_approx(value, _GRID_PROBS).alias("grid"),
-    ]
+def _attach(rows: DataFrame, state: DataFrame, by: list[str]) -> DataFrame:
+    """Put a group's slots beside each of its rows.
+
+    Without groups the state is one row, whose values become constants.
+    """
+    slots = [f for f in state.schema if f.name not in by]
+    if not by:
+        one = state.first()
+        return rows.withColumns(
+            {
+                f.name: F.struct(
+                    *[F.lit(one[f.name][p.name]).cast(p.dataType).alias(p.name) for p in f.dataType]
+                )
+                for f in slots
+            }
+        )
+    keys = {b: f"__{b}" for b in by}
+    same = reduce(lambda x, y: x & y, [F.col(b).eqNullSafe(F.col(k)) for b, k in keys.items()])
+    side = small_or_cut(state.withColumnsRenamed(keys))
+    return rows.join(side, same).drop(*keys.values())
 
 
-def _aim(cells: DataFrame) -> DataFrame:
-    """Add the next, narrower bracket of each cell from its sketch."""
-    low = F.floor((F.col("r_lo") - F.col("below")) / F.col("n_in") * _GRID) - _MARGIN
-    high = F.ceil((F.col("r_hi") - F.col("below")) / F.col("n_in") * _GRID) + _MARGIN
-    return cells.withColumns(
-        {
-            "next_lo": F.when(low <= 0, F.col("lo")).otherwise(
-                F.get("grid", F.greatest(low, F.lit(0)).cast("int"))
-            ),
-            "next_hi": F.when(high >= _GRID, F.col("hi")).otherwise(
-                F.get("grid", F.least(high, F.lit(_GRID)).cast("int"))
-            ),
-        }
-    ).drop("grid")
+def _aimed(slot: Column, lo: Column, hi: Column, grid: Column) -> Column:
+    """The slot with its next bracket, taken from a sketch of the values inside."""
+    low = F.floor((slot["r_lo"] - slot["below"]) / slot["n_in"] * _GRID) - _MARGIN
+    high = F.ceil((slot["r_hi"] - slot["below"]) / slot["n_in"] * _GRID) + _MARGIN
+    at_low, at_high = (F.least(F.greatest(x, F.lit(0)), F.lit(_GRID)).cast("int") for x in (low, high))
+    return (
+        slot.withField("next_lo", F.when(low <= 0, lo).otherwise(F.get(grid, at_low)))
+        .withField("next_hi", F.when(high >= _GRID, hi).otherwise(F.get(grid, at_high)))
+    )
+
+
+def _narrowed(slot: Column, skipped: Column, inside: Column) -> Column:
+    """Take the next bracket if the exact counts show that it holds both ranks.
+
+    One that does not, or is no smaller, closes the slot as it stands.
+    """
+    below = slot["below"] + skipped
+    holds = F.coalesce(
+        (slot["r_lo"] >= below) & (slot["r_hi"] < below + inside) & (inside < slot["n_in"]),
+        F.lit(False),
+    )
+    closed = slot.withField("open", F.lit(False))
+    taken = (
+        slot.withField("below", below)
+        .withField("n_in", inside)
+        .withField("lo", slot["next_lo"])
+        .withField("hi", slot["next_hi"])
+        .withField("open", slot["next_lo"] < slot["next_hi"])
+    )
+    return F.when(holds, taken).otherwise(closed)
+
+
+def _within(value: Column, slot: Column) -> Column:
+    return value.between(slot["lo"], slot["hi"])
 
 
 def _by_brackets(
     data: DataFrame, columns: list[str], probs: list[float], by: list[str], state_values: int
 ) -> DataFrame:
-    long = data.unpivot(by, columns, "column_name", "value").where("value IS NOT NULL")
-    group = [*by, "column_name"]
-    key = [*group, "i"]
+    slots = {f"s{k}": (c, p) for k, (c, p) in enumerate(product(columns, probs))}
 
-    targets = F.array(
-        *[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(probs)]
-    )
-    rank = F.col("p") * (F.col("n") - 1)
-    cells = small_or_cut(
-        _aim(
-            long.groupBy(*group)
-            .agg(*_sketch(F.col("value")))
-            .select("*", F.col("n_in").alias("n"), F.inline(targets))
-            .withColumns(
-                {
-                    "rank": rank,
-                    "r_lo": F.floor(rank),
-                    "r_hi": F.ceil(rank),
-                    "below": F.lit(0).cast("bigint"),
-                    "stuck": F.lit(False),
-                }
-            )
+    def opening(c: str, p: float) -> Column:
+        seen, rank = F.col(f"g_{c}"), F.lit(p) * (F.col(f"g_{c}")["n"] - 1)
+        slot = F.struct(
+            seen["n"].alias("n"), rank.alias("rank"),
+            F.floor(rank).alias("r_lo"), F.ceil(rank).alias("r_hi"),
+            F.lit(0).cast("bigint").alias("below"), seen["n"].alias("n_in"),
+            seen["lo"].alias("lo"), seen["hi"].alias("hi"),
+            (seen["lo"] < seen["hi"]).alias("open"),
         )
+        return _aimed(slot, seen["lo"], seen["hi"], seen["grid"])
+
+    sketched = data.groupBy(*by).agg(
+        *[
+            F.struct(
+                F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi"),
+                F.percentile_approx(c, _GRID_PROBS).alias("grid"),
+            ).alias(f"g_{c}")
+            for c in columns
+        ]
     )
-    value = F.col("value")
+    state = sketched.select(*by, *[opening(c, p).alias(k) for k, (c, p) in slots.items()])
     while True:
-        open_cells = cells.where(~F.col("stuck") & (F.col("values_in") > state_values))
-        if open_cells.isEmpty():
-            break
-        inside = value.between(F.col("next_lo"), F.col("next_hi"))
-        counted = (
-            _hits(long, open_cells.select(*key, "lo", "hi", "next_lo", "next_hi"), group)
-            .groupBy(*key)
-            .agg(
-                F.count_if(value < F.col("next_lo")).alias("skipped"),
-                *[c for c in _sketch(F.when(inside, value))],
+        state = small_or_cut(state)
+        counted = _attach(data, state, by).groupBy(*by).agg(
+            *[
+                F.struct(
+                    F.count_if(F.col(c) < F.col(k)["next_lo"]).alias("skipped"),
+                    F.count_if(
+                        F.col(c).between(F.col(k)["next_lo"], F.col(k)["next_hi"])
+                    ).alias("inside"),
+                ).alias(f"n_{k}")
+                for k, (c, _) in slots.items()
+            ]
+        )
+        state = small_or_cut(
+            _attach(counted, state, by).select(
+                *by,
+                *[
+                    F.when(
+                        F.col(k)["open"],
+                        _narrowed(F.col(k), F.col(f"n_{k}")["skipped"], F.col(f"n_{k}")["inside"]),
+                    ).otherwise(F.col(k)).alias(k)
+                    for k in slots
+                ],
             )
         )
-        cells = small_or_cut(_aim(_shrink(cells, counted, key)))
-    return _select_ranks(long, cells, group, key)
-
+        wide = {k: F.col(k)["open"] & (F.col(k)["n_in"] > state_values) for k in slots}
+        left = state.agg(*[F.bool_or(w).alias(k) for k, w in wide.items()]).first()
+        busy = {k: slots[k] for k in slots if left[k]}
+        if not busy:
+            break
+        held = {k: F.when(_within(F.col(c), F.col(k)), F.col(c)) for k, (c, _) in busy.items()}
+        inner = _attach(data, state, by).groupBy(*by).agg(
+            *[
+                F.struct(
+                    F.approx_count_distinct(v).alias("values"),
+                    F.percentile_approx(v, _GRID_PROBS).alias("grid"),
+                ).alias(f"g_{k}")
+                for k, v in held.items()
+            ]
+        )
+        again = _attach(inner, state, by)
+        state = again.select(
+            *by,
+            *[_reopened(F.col(k), F.col(f"g_{k}"), state_values).alias(k) for k in busy],
+            *[F.col(k).withField("open", F.lit(False)).alias(k) for k in slots if k not in busy],
+        )
+    return _select_ranks(data, state, slots, by)
 
-def _hits(long: DataFrame, cells: DataFrame, group: list[str]) -> DataFrame:
-    return long.join(cells, group).where(F.col("value").between(F.col("lo"), F.col("hi")))
 
+def _reopened(slot: Column, seen: Column, state_values: int) -> Column:
+    aimed = _aimed(slot, slot["lo"], slot["hi"], seen["grid"])
+    return aimed.withField("open", slot["open"] & (seen["values"] > state_values))
 
-def _shrink(cells: DataFrame, counted: DataFrame, key: list[str]) -> DataFrame:
-    """Take the new bracket where exact counts show that it holds both ranks.
 
-    A bracket that fails, or stops shrinking, is kept and ranked as it is.
-    """
-    old, new = cells.alias("old"), counted.alias("new")
-    base = F.col("old.below") + F.col("new.skipped")
-    holds = (
-        (F.col("old.r_lo") >= base)
-        & (F.col("old.r_hi") < base + F.col("new.n_in"))
-        & (F.col("new.n_in") < F.col("old.n_in"))
+def _select_ranks(
+    data: DataFrame, state: DataFrame, slots: dict[str, tuple[str, float]], by: list[str]
+) -> DataFrame:
+    """Count the values inside the brackets and read off the target ranks."""
+    rows = _attach(data, state, by)
+    near = reduce(
+        lambda x, y: x | y, [_within(F.col(c), F.col(k)) for k, (c, _) in slots.items()]
     )
-    keep = ["n", "rank", "r_lo", "r_hi"]
-    joined = old.join(new, key, "left")
-    return joined.select(
-        *key,
-        *[F.col(f"old.{c}").alias(c) for c in keep],
-        F.when(holds, base).otherwise(F.col("old.below")).alias("below"),
+    hits = F.array(
         *[
-            F.when(holds, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c)
-            for c in ("n_in", "values_in", "lo", "hi")
-        ],
-        F.when(holds, F.col("new.grid")).alias("grid"),
-        (~F.coalesce(holds, F.lit(False))).alias("stuck"),
+            F.struct(
+                F.lit(i).alias("slot"), F.lit(c).alias("column_name"), F.col(c).alias("value"),
+                F.col(k).alias("s"),
+            )
+            for i, (k, (c, _)) in enumerate(slots.items())
+        ]
     )
-
-
-def _select_ranks(long: DataFrame, cells: DataFrame, group: list[str], key: list[str]):
+    group = [*by, "column_name"]
+    target = ["slot", "n", "rank", "r_lo", "r_hi", "below"]
     found = (
-        _hits(long, cells.select(*key, "lo", "hi", "r_lo", "r_hi", "below", "rank", "n"), group)
-        .groupBy(*key, "value", "r_lo", "r_hi", "below", "rank", "n")
+        rows.where(near)
+        .select(*by, F.inline(F.filter(hits, lambda h: _within(h["value"], h["s"]))))
+        .select(*group, "slot", "value", *[F.col(f"s.{t}").alias(t) for t in target[1:]])
+        .groupBy(*group, *target, "value")
         .agg(F.count("*").alias("times"))
     )
-    upto = W.partitionBy(*key).orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+    upto = W.partitionBy(*group, "slot").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
     end = F.col("below") + F.sum("times").over(upto)
     placed = found.withColumn("end", end).withColumn("start", F.col("end") - F.col("times"))
 
@@ -190,13 +248,15 @@ def _select_ranks(long: DataFrame, cells: DataFrame, group: list[str], key: list
 
     low, high = F.col("v_lo"), F.col("v_hi")
     picked = (
-        placed.groupBy(*key, "rank", "r_lo", "n")
+        placed.groupBy(*group, "slot", "rank", "r_lo", "n")
         .agg(at("r_lo").alias("v_lo"), at("r_hi").alias("v_hi"))
         .select(
-            *key, "n", (low + (F.col("rank") - F.col("r_lo")) * (high - low)).alias("v")
+            *group, "slot", "n",
+            (low + (F.col("rank") - F.col("r_lo")) * (high - low)).alias("v"),
         )
     )
-    in_order = F.array_sort(F.collect_list(F.struct("i", "v")))
+    # One value per probability, so the arrays are short.
+    in_order = F.array_sort(F.collect_list(F.struct("slot", "v")))
     return picked.groupBy(*group).agg(
         F.max("n").alias("n"), F.transform(in_order, lambda s: s["v"]).alias("q")
     )
