@@ -27,7 +27,7 @@ from quillframe.operators import (
 from quillframe.plans import auto_report as auto
 from quillframe.plans import moderation
 from quillframe.sources import files, tables, verdict_files
-from quillframe.support import scratch_path
+from quillframe.support import scratch_path, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,11 +55,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Run one of the derivations below on the tables of ``sf_dir``."""
+def _derive(spark: SparkSession, sf_dir: str, sql: str, costly: bool = False) -> DataFrame:
+    """Run one of the derivations below on the tables of ``sf_dir``.
+
+    ``costly`` marks heavy work per row, which a single-split table would
+    otherwise leave to one core.
+    """
     for name in _TABLES:
         if name in sql:
-            _table(spark, sf_dir, name).createOrReplaceTempView(name)
+            table = _table(spark, sf_dir, name)
+            (spread(table) if costly else table).createOrReplaceTempView(name)
     return spark.sql(sql)
 
 
@@ -563,7 +568,7 @@ _ANY_INJECTION = _lit("(?i)" + "|".join(f"(?:{p})" for p in V.INJECTION_PATTERNS
     regexp_matches({_CLEANED}, {_ANY_INJECTION}) AS suspicious FROM ({INSTRUCTIONS})""",
 )
 def _clean_instruction(spark, sf_dir):
-    found = _derive(spark, sf_dir, INSTRUCTIONS).select(
+    found = _derive(spark, sf_dir, INSTRUCTIONS, costly=True).select(
         "doc_id", text.sanitize_instruction(F.col("instruction")).alias("s")
     )
     return found.select("doc_id", "s.*")
@@ -584,7 +589,7 @@ _FIRST_INJECTION = "CASE {} END".format(
 )
 def _flag_injection(spark, sf_dir):
     col = F.col("instruction")
-    return _derive(spark, sf_dir, INSTRUCTIONS).select(
+    return _derive(spark, sf_dir, INSTRUCTIONS, costly=True).select(
         "doc_id", text.has_injection(col).alias("suspicious"),
         text.injection_number(col).alias("pattern_no"),
     )
@@ -640,7 +645,7 @@ def _moderation_prompt(spark, sf_dir):
 )
 def _build_user_message(spark, sf_dir):
     block = profile.schema_block(_table(spark, sf_dir, "documents")).first()["block"]
-    cleaned = _derive(spark, sf_dir, INSTRUCTIONS).select(
+    cleaned = _derive(spark, sf_dir, INSTRUCTIONS, costly=True).select(
         "doc_id", text.sanitize_instruction(F.col("instruction")).alias("s")
     )
     return cleaned.select(
@@ -682,7 +687,7 @@ _FIRST_CODE = "CASE {} END".format(
     FROM ({CODE})""",
 )
 def _screen_code(spark, sf_dir):
-    found = _derive(spark, sf_dir, CODE).select(
+    found = _derive(spark, sf_dir, CODE, costly=True).select(
         "doc_id", text.screen_code(F.col("code")).alias("s")
     )
     return found.select("doc_id", "s.safe", "s.pattern_no")
@@ -702,7 +707,7 @@ _REASON_CASE = "CASE {} ELSE '' END".format(
 )
 def _screen_reasons(spark, sf_dir):
     reason = text.screen_code(F.col("code"))["reason"].alias("reason")
-    return _derive(spark, sf_dir, CODE).groupBy(reason).agg(F.count("*").alias("n"))
+    return _derive(spark, sf_dir, CODE, costly=True).groupBy(reason).agg(F.count("*").alias("n"))
 
 
 @_query(
@@ -856,8 +861,9 @@ def _verdict_export(spark, sf_dir):
 
 @_query("score_toxicity")
 def _score_toxicity(spark, sf_dir):
-    model = moderation.train_toxicity(_derive(spark, sf_dir, LABELLED), "text", "toxic")
-    scored = moderation.score_text(_table(spark, sf_dir, "documents"), model, "text")
+    labelled = _derive(spark, sf_dir, LABELLED, costly=True)
+    model = moderation.train_toxicity(labelled, "text", "toxic")
+    scored = moderation.score_text(spread(_table(spark, sf_dir, "documents")), model, "text")
     return scored.select("doc_id", *_round(["score"]), "verdict", "reason")
 
 
@@ -919,7 +925,7 @@ def _parsed_sql(source: str) -> str:
     FROM ({WRITTEN}) d LEFT JOIN ({_parsed_sql(WRITTEN)}) p ON d.doc_id = p.doc_id""",
 )
 def _parse_report(spark, sf_dir):
-    parsed = _derive(spark, sf_dir, WRITTEN).select(
+    parsed = _derive(spark, sf_dir, WRITTEN, costly=True).select(
         "doc_id", "report", report.parse_report(F.col("report")).alias("sections")
     )
     sections = parsed.select(
@@ -975,7 +981,7 @@ def _in_section(title: str, extra: str = "TRUE") -> str:
         GROUP BY d.doc_id, d.n_charts))""",
 )
 def _report_quality(spark, sf_dir):
-    parsed = _derive(spark, sf_dir, FORMATTED).select(
+    parsed = _derive(spark, sf_dir, FORMATTED, costly=True).select(
         "doc_id", "n_charts", report.parse_report(F.col("report")).alias("sections")
     )
     judged = parsed.select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from quillframe.functions import fixed_values as V
 
 # White space as Python's str.strip and re see it: Unicode spaces and FS to US.
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _SPACE = r"[\s\x1c-\x1f]"
 # Every line break Python's str.splitlines honours.
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
@@ -21,6 +23,13 @@ def python_regex(pattern: str, ignore_case: bool = False) -> str:
     return flags + pattern.replace(r"\s", _SPACE)
 
 
+def _literal_head(pattern: str) -> str:
+    """Plain text every match must begin with; empty when there is none."""
+    found = re.match(r"(?:\\b)?((?:\\\.)?[\w<]*)([?*{|]?)", pattern)
+    head = found[1].replace("\\.", ".")
+    return head[:-1] if found[2] else head
+
+
 def once(col: Column, use: Callable[[Column], Column]) -> Column:
     """``use(col)`` with ``col`` computed a single time per row."""
     return F.get(F.transform(F.array(col), use), F.lit(0))
@@ -32,28 +41,45 @@ def rest_of(items: Column) -> Column:
 
 
 def strip_text(col: Column) -> Column:
-    return F.regexp_replace(col, rf"(?U)^{_SPACE}+|{_SPACE}+\z", "")
+    return F.btrim(col, F.lit(_SPACES))
 
 
-def _first_match(col: Column, patterns: Sequence[str], ignore_case: bool) -> Column:
-    """Number, from 1, of the first pattern found, else NULL.
+def _pattern_hits(texts: Column, patterns: Sequence[str], ignore_case: bool) -> list[Column]:
+    """One condition per pattern on struct(text, folded).
 
-    One alternation decides whether the ladder runs at all, so clean text, the
-    usual case, is searched once.
+    A plain substring search for the pattern's literal head goes first, so the
+    regular expression runs on the few texts that contain it; inside those it
+    only starts where the head stands.
     """
-    any_of = "|".join(f"(?:{p})" for p in patterns)
-    ladder = F.coalesce(
-        *[
-            F.when(col.rlike(python_regex(p, ignore_case)), F.lit(i))
-            for i, p in enumerate(patterns, 1)
-        ]
+    hits = []
+    for p in patterns:
+        head = _literal_head(p)
+        regex = p if not head else f"(?={re.escape(head)}){p}"
+        hit = texts["text"].rlike(python_regex(regex, ignore_case))
+        if head:
+            hit = texts["folded"].contains(head.lower() if ignore_case else head) & hit
+        hits.append(hit)
+    return hits
+
+
+def _searched(col: Column, ignore_case: bool) -> Column:
+    # Upper case first: letters that only match when folded then look alike.
+    folded = F.lower(F.upper(col)) if ignore_case else col
+    return F.struct(col.alias("text"), folded.alias("folded"))
+
+
+def _first_match(col: Column, patterns: Sequence[str], ignore_case: bool) -> Column:
+    """Number, from 1, of the first pattern found, else NULL."""
+    return once(
+        _searched(col, ignore_case),
+        lambda t: F.coalesce(
+            *[F.when(h, F.lit(i)) for i, h in enumerate(_pattern_hits(t, patterns, ignore_case), 1)]
+        ),
     )
-    return F.when(col.rlike(python_regex(any_of, ignore_case)), ladder)
 
 
 def has_injection(col: Column) -> Column:
-    any_of = "|".join(f"(?:{p})" for p in V.INJECTION_PATTERNS)
-    return F.coalesce(col.rlike(python_regex(any_of, True)), F.lit(False))
+    return injection_number(col).isNotNull()
 
 
 def injection_number(col: Column) -> Column:
@@ -67,18 +93,22 @@ def cleaned_instruction(col: Column, limit: int = V.MAX_INSTRUCTION_CHARS) -> Co
 
 def sanitize_instruction(col: Column) -> Column:
     """struct(cleaned, suspicious); the flag looks at the cut text only."""
-    cleaned = cleaned_instruction(col)
-    return F.struct(cleaned.alias("cleaned"), has_injection(cleaned).alias("suspicious"))
+    return once(
+        cleaned_instruction(col),
+        lambda c: F.struct(c.alias("cleaned"), has_injection(c).alias("suspicious")),
+    )
 
 
 def screen_code(col: Column) -> Column:
     """struct(safe, reason, pattern_no); the first pattern in list order is the reason."""
-    number = _first_match(F.coalesce(col, F.lit("")), V.CODE_PATTERNS, False)
     names = F.array(*[F.lit(V.REFUSAL_PREFIX + p) for p in V.CODE_PATTERNS])
-    return F.struct(
-        number.isNull().alias("safe"),
-        F.coalesce(F.get(names, number - 1), F.lit("")).alias("reason"),
-        number.alias("pattern_no"),
+    return once(
+        _first_match(F.coalesce(col, F.lit("")), V.CODE_PATTERNS, False),
+        lambda number: F.struct(
+            number.isNull().alias("safe"),
+            F.coalesce(F.get(names, number - 1), F.lit("")).alias("reason"),
+            number.alias("pattern_no"),
+        ),
     )
 
 

@@ -12,29 +12,85 @@ from pyspark.sql import functions as F
 from quillframe.support import as_doubles, numeric_columns, rows_from_one
 
 # Pairs computed in one aggregation; wider tables take several passes so that
-# the generated code stays small.
-PAIRS_PER_PASS = 150
+# the generated code stays within what the JVM compiles.
+PAIRS_PER_PASS = 100
+GAPPY_PAIRS_PER_PASS = 6
 
 
 def pearson(x: str, y: str) -> Column:
-    """NULL, not an error, when a column is constant."""
+    """As an aggregate; NULL, not an error, when a column is constant."""
     spread = F.sqrt(F.regr_sxx(x, y)) * F.sqrt(F.regr_syy(x, y))
     return F.try_divide(F.regr_sxy(x, y), spread)
 
 
 def _pairs(data: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    passes = [pairs[i : i + PAIRS_PER_PASS] for i in range(0, len(pairs), PAIRS_PER_PASS)]
+    """``(a, b, r)`` for the given pairs.
 
-    def one_pass(some: list[tuple[str, str]]) -> DataFrame:
-        found = [
+    One pass finds means, ranges and gaps. Between two columns without gaps the
+    second pass needs a single sum per pair, of products of centred values. A
+    pair with a gap somewhere is computed on its own complete rows.
+    """
+    columns = sorted({c for pair in pairs for c in pair})
+    seen = data.agg(
+        F.count("*").alias("__rows"),
+        *[
             F.struct(
-                F.lit(a).alias("a"), F.lit(b).alias("b"), pearson(b, a).alias("r")
-            ).alias(f"p{i}")
-            for i, (a, b) in enumerate(some)
+                F.count(c).alias("n"), F.avg(c).alias("mean"),
+                F.min(c).alias("lo"), F.max(c).alias("hi"),
+            ).alias(c)
+            for c in columns
+        ],
+    ).first()
+    constant = {c for c in columns if seen[c]["lo"] == seen[c]["hi"]}
+    whole = {c for c in columns if seen[c]["n"] == seen["__rows"]}
+    varied = [p for p in pairs if not constant & set(p)]
+    plain = [p for p in varied if whole >= set(p)]
+    gappy = [p for p in varied if not whole >= set(p)]
+
+    def named(a: str, b: str, r: Column) -> Column:
+        return F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r"))
+
+    def plain_pass(some: list[tuple[str, str]]) -> DataFrame:
+        used = sorted({c for pair in some for c in pair})
+        at = {c: i for i, c in enumerate(used)}
+        centred = data.select(*[(F.col(c) - F.lit(seen[c]["mean"])).alias(f"x{at[c]}") for c in used])
+        sums = [F.sum(f"x{i}").alias(f"s{i}") for i in at.values()]
+        squares = [F.sum(F.col(f"x{i}") * F.col(f"x{i}")).alias(f"q{i}") for i in at.values()]
+        products = [
+            F.sum(F.col(f"x{at[a]}") * F.col(f"x{at[b]}")).alias(f"p{k}")
+            for k, (a, b) in enumerate(some)
         ]
-        return rows_from_one(data.agg(*found), [F.col(f"p{i}") for i in range(len(some))])
+        one = centred.agg(*sums, *squares, *products)
+        n = F.lit(float(seen["__rows"]))
+
+        def moment(total: str, i: int, j: int) -> Column:
+            return F.col(total) - F.col(f"s{i}") * F.col(f"s{j}") / n
+
+        def r(k: int, i: int, j: int) -> Column:
+            if i == j:
+                return F.lit(1.0)
+            scale = F.sqrt(moment(f"q{i}", i, i)) * F.sqrt(moment(f"q{j}", j, j))
+            return F.try_divide(moment(f"p{k}", i, j), scale)
+
+        return rows_from_one(
+            one, [named(a, b, r(k, at[a], at[b])) for k, (a, b) in enumerate(some)]
+        )
+
+    def gappy_pass(some: list[tuple[str, str]]) -> DataFrame:
+        found = [named(a, b, pearson(b, a)).alias(f"p{k}") for k, (a, b) in enumerate(some)]
+        return rows_from_one(data.agg(*found), [F.col(f"p{k}") for k in range(len(some))])
+
+    parts = [plain_pass(p) for p in _chunks(plain, PAIRS_PER_PASS)]
+    parts += [gappy_pass(p) for p in _chunks(gappy, GAPPY_PAIRS_PER_PASS)]
+    undefined = [(a, b, None) for a, b in pairs if constant & {a, b}]
+    if undefined or not parts:
+        schema = "a string, b string, r double"
+        parts.append(data.sparkSession.createDataFrame(undefined, schema))
+    return reduce(DataFrame.unionByName, parts)
+
 
-    return reduce(DataFrame.unionByName, [one_pass(p) for p in passes])
+def _chunks(items: list, size: int) -> list[list]:
+    return [items[i : i + size] for i in range(0, len(items), size)]
 
 
 def corr_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

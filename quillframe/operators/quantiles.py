@@ -1,12 +1,14 @@
 """Exact interpolated quantiles, whole table or per group, at any size.
 
-Spark's ``percentile`` keeps a value-to-count map per group. That is the right
-tool while a column has a bounded number of distinct values, which one cheap
-pass measures. A column beyond the bound is narrowed instead: every target rank
-gets a slot with a bracket of values from an approximate sketch, the rows below
-and inside it are counted exactly, and the bracket shrinks until the distinct
-values inside it are few. Only those are shuffled and ranked, so no task ever
-holds a column.
+Columns with a bounded number of distinct values, which one cheap pass measures,
+are reduced to value counts first; ``percentile`` then sees each value once.
+
+A column beyond the bound is narrowed instead. Every target rank gets a slot: a
+bracket of values guessed from a sketch of some rows, whose rows below and
+inside are then counted exactly over all rows. A bracket that holds the rank is
+taken and narrowed further, until the distinct values inside it are few. Only
+those are shuffled and ranked, so no task ever holds a column or a group. The
+sketch only steers the search; what is counted and returned is exact.
 """
 
 from __future__ import annotations
@@ -22,17 +24,22 @@ from pyspark.sql import functions as F
 from quillframe.support import as_doubles, small_or_cut
 
 QUARTILES = (0.25, 0.5, 0.75)
-# Largest number of distinct values whose counts one aggregation buffer may hold.
+# Most distinct values, over all groups, that one task may have to order.
 STATE_VALUES = 1_000_000
+# Rows that steer a bracket, and steps of the grid of quantiles drawn from them.
+SKETCH_ROWS = 2_000_000
 _GRID = 500
 _GRID_PROBS = [i / _GRID for i in range(_GRID + 1)]
-# Grid steps taken beyond the target; a step is twenty times the sketch's rank error.
-_MARGIN = 1
 
 
-def approx_distinct(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
-    row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    return row.asDict()
+def approx_distinct(
+    df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
+) -> dict[str, int]:
+    """Distinct values per column, or distinct pairs of group and value."""
+    def counted(c: str) -> Column:
+        return F.approx_count_distinct(F.struct(*by, c) if by else F.col(c)).alias(c)
+
+    return df.agg(*[counted(c) for c in columns]).first().asDict()
 
 
 def exact_quantiles(
@@ -50,166 +57,180 @@ def exact_quantiles(
     """
     columns, by, probs = list(columns), list(by), list(probs)
     data = as_doubles(df, columns, by)
-    seen = approx_distinct(data, columns) if distinct is None else distinct
-    held = [c for c in columns if seen[c] <= state_values]
+    seen = approx_distinct(data, columns, by) if distinct is None else distinct
+    counted = [c for c in columns if seen[c] <= state_values]
     narrowed = [c for c in columns if seen[c] > state_values]
     parts = []
-    if held:
-        parts.append(_by_counts(data, held, probs, by))
+    if counted:
+        parts.append(_by_counts(data, counted, probs, by))
     if narrowed:
         parts.append(_by_brackets(data, narrowed, probs, by, state_values))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _by_counts(data: DataFrame, columns: list[str], probs: list[float], by: list[str]):
-    both = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.count(c).alias("n"),
-            F.percentile(c, F.array(*[F.lit(p) for p in probs])).alias("q"),
-        ).alias(f"s{i}")
-        for i, c in enumerate(columns)
-    ]
-    wide = data.groupBy(*by).agg(*both)
-    return wide.select(*by, F.inline(F.array(*[f"s{i}" for i in range(len(columns))])))
+def _by_counts(
+    data: DataFrame, columns: list[str], probs: list[float], by: list[str]
+) -> DataFrame:
+    """Value counts combine before and across the shuffle; few rows reach percentile."""
+    wanted = F.array(*[F.lit(p) for p in probs])
+    return (
+        data.unpivot(by, columns, "column_name", "value")
+        .groupBy(*by, "column_name", "value")
+        .agg(F.count("*").alias("times"))
+        .groupBy(*by, "column_name")
+        .agg(
+            F.sum(F.when(F.col("value").isNotNull(), F.col("times")).otherwise(0)).alias("n"),
+            F.percentile("value", wanted, F.col("times")).alias("q"),
+        )
+    )
 
 
-def _attach(rows: DataFrame, state: DataFrame, by: list[str]) -> DataFrame:
-    """Put a group's slots beside each of its rows.
+def _attach(rows: DataFrame, side: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """Put a group's row of ``side`` beside each of its rows.
 
-    Without groups the state is one row, whose values become constants.
+    Without groups that row's values become constants.
     """
-    slots = [f for f in state.schema if f.name not in by]
+    added = [f for f in side.schema if f.name not in by]
     if not by:
-        one = state.first()
+        one = side.first()
         return rows.withColumns(
             {
                 f.name: F.struct(
                     *[F.lit(one[f.name][p.name]).cast(p.dataType).alias(p.name) for p in f.dataType]
                 )
-                for f in slots
+                for f in added
             }
         )
     keys = {b: f"__{b}" for b in by}
-    same = reduce(lambda x, y: x & y, [F.col(b).eqNullSafe(F.col(k)) for b, k in keys.items()])
-    side = small_or_cut(state.withColumnsRenamed(keys))
-    return rows.join(side, same).drop(*keys.values())
+    same = [F.col(b).eqNullSafe(F.col(k)) for b, k in keys.items()]
+    return rows.join(
+        small_or_cut(side.withColumnsRenamed(keys)), reduce(lambda x, y: x & y, same), how
+    ).drop(*keys.values())
 
 
-def _aimed(slot: Column, lo: Column, hi: Column, grid: Column) -> Column:
-    """The slot with its next bracket, taken from a sketch of the values inside."""
-    low = F.floor((slot["r_lo"] - slot["below"]) / slot["n_in"] * _GRID) - _MARGIN
-    high = F.ceil((slot["r_hi"] - slot["below"]) / slot["n_in"] * _GRID) + _MARGIN
-    at_low, at_high = (F.least(F.greatest(x, F.lit(0)), F.lit(_GRID)).cast("int") for x in (low, high))
-    return (
-        slot.withField("next_lo", F.when(low <= 0, lo).otherwise(F.get(grid, at_low)))
-        .withField("next_hi", F.when(high >= _GRID, hi).otherwise(F.get(grid, at_high)))
+def _slot(fields: dict[str, str]) -> Column:
+    return F.expr("named_struct(" + ", ".join(f"'{n}', {e}" for n, e in fields.items()) + ")")
+
+
+_SLOT_FIELDS = ("n", "rank", "r_lo", "r_hi", "below", "n_in", "lo", "hi", "open")
+
+
+def _opening(group: str, p: float) -> Column:
+    """A slot as wide as the group, from its count and range."""
+    rank = f"({p}D * ({group}.n - 1))"
+    return _slot(
+        {
+            "n": f"{group}.n", "rank": rank, "r_lo": f"floor({rank})", "r_hi": f"ceil({rank})",
+            "below": "0L", "n_in": f"{group}.n", "lo": f"{group}.lo", "hi": f"{group}.hi",
+            "open": f"coalesce({group}.lo < {group}.hi, false)",
+        }
     )
 
 
-def _narrowed(slot: Column, skipped: Column, inside: Column) -> Column:
-    """Take the next bracket if the exact counts show that it holds both ranks.
+def _aim(s: str, all_rows: bool) -> Column:
+    """The bracket the sketch suggests: some grid steps around the rank.
 
-    One that does not, or is no smaller, closes the slot as it stands.
+    One step covers the error of the sketch; of a part of the rows it also has to
+    cover four standard errors of their quantile. Without any row there is none.
     """
-    below = slot["below"] + skipped
-    holds = F.coalesce(
-        (slot["r_lo"] >= below) & (slot["r_hi"] < below + inside) & (inside < slot["n_in"]),
-        F.lit(False),
+    margin = "1" if all_rows else f"(1 + ceil({_GRID} * 2 / sqrt(nullif(g_{s}.m, 0))))"
+    low = f"(floor(({s}.r_lo - {s}.below) / nullif({s}.n_in, 0) * {_GRID}) - {margin})"
+    high = f"(ceil(({s}.r_hi - {s}.below) / nullif({s}.n_in, 0) * {_GRID}) + {margin})"
+    return _slot(
+        {
+            "lo": f"CASE WHEN {low} <= 0 THEN {s}.lo "
+            f"ELSE get(g_{s}.grid, CAST(least({low}, {_GRID}) AS INT)) END",
+            "hi": f"CASE WHEN {high} >= {_GRID} THEN {s}.hi "
+            f"ELSE get(g_{s}.grid, CAST(greatest({high}, 0) AS INT)) END",
+        }
     )
-    closed = slot.withField("open", F.lit(False))
-    taken = (
-        slot.withField("below", below)
-        .withField("n_in", inside)
-        .withField("lo", slot["next_lo"])
-        .withField("hi", slot["next_hi"])
-        .withField("open", slot["next_lo"] < slot["next_hi"])
-    )
-    return F.when(holds, taken).otherwise(closed)
 
 
-def _within(value: Column, slot: Column) -> Column:
-    return value.between(slot["lo"], slot["hi"])
+def _narrow(s: str, state_values: int) -> Column:
+    """Take the suggested bracket if the exact counts show that it holds both ranks.
+
+    One that misses is tried again with other rows. One that is no smaller, as
+    with many equal values, is as narrow as it gets.
+    """
+    below = f"({s}.below + c_{s}.skipped)"
+    holds = f"({s}.r_lo >= {below} AND {s}.r_hi < {below} + c_{s}.inside)"
+    taken = f"({s}.open AND coalesce({holds}, false))"
+    more = (
+        f"c_{s}.inside < {s}.n_in AND c_{s}.values > {state_values} AND a_{s}.lo < a_{s}.hi"
+    )
+    fields = {f: f"{s}.{f}" for f in _SLOT_FIELDS}
+    fields["below"] = f"if({taken}, {below}, {s}.below)"
+    fields["n_in"] = f"if({taken}, c_{s}.inside, {s}.n_in)"
+    fields["lo"] = f"if({taken}, a_{s}.lo, {s}.lo)"
+    fields["hi"] = f"if({taken}, a_{s}.hi, {s}.hi)"
+    fields["open"] = f"if({taken}, {more}, {s}.open)"
+    return _slot(fields)
 
 
 def _by_brackets(
     data: DataFrame, columns: list[str], probs: list[float], by: list[str], state_values: int
 ) -> DataFrame:
     slots = {f"s{k}": (c, p) for k, (c, p) in enumerate(product(columns, probs))}
-
-    def opening(c: str, p: float) -> Column:
-        seen, rank = F.col(f"g_{c}"), F.lit(p) * (F.col(f"g_{c}")["n"] - 1)
-        slot = F.struct(
-            seen["n"].alias("n"), rank.alias("rank"),
-            F.floor(rank).alias("r_lo"), F.ceil(rank).alias("r_hi"),
-            F.lit(0).cast("bigint").alias("below"), seen["n"].alias("n_in"),
-            seen["lo"].alias("lo"), seen["hi"].alias("hi"),
-            (seen["lo"] < seen["hi"]).alias("open"),
-        )
-        return _aimed(slot, seen["lo"], seen["hi"], seen["grid"])
-
-    sketched = data.groupBy(*by).agg(
+    ranges = data.groupBy(*by).agg(
         *[
-            F.struct(
-                F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi"),
-                F.percentile_approx(c, _GRID_PROBS).alias("grid"),
-            ).alias(f"g_{c}")
+            F.struct(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(f"r_{c}")
             for c in columns
         ]
     )
-    state = sketched.select(*by, *[opening(c, p).alias(k) for k, (c, p) in slots.items()])
+    state = small_or_cut(
+        ranges.select(*by, *[_opening(f"`r_{c}`", p).alias(s) for s, (c, p) in slots.items()])
+    )
+    seed = 0
     while True:
-        state = small_or_cut(state)
-        counted = _attach(data, state, by).groupBy(*by).agg(
+        sizes = state.agg(
+            *[F.sum(F.when(F.col(s)["open"], F.col(s)["n_in"])).alias(s) for s in slots]
+        ).first()
+        busy = {s: slots[s] for s in slots if sizes[s]}
+        if not busy:
+            break
+        seed += 1
+        share = SKETCH_ROWS / max(sizes[s] for s in busy)
+        some = data.sample(fraction=share, seed=seed) if share < 1 else data
+        held = {
+            s: F.when(F.col(s)["open"] & _within(F.col(c), F.col(s)), F.col(c))
+            for s, (c, _) in busy.items()
+        }
+        sketches = _attach(some, state, by).groupBy(*by).agg(
             *[
                 F.struct(
-                    F.count_if(F.col(c) < F.col(k)["next_lo"]).alias("skipped"),
-                    F.count_if(
-                        F.col(c).between(F.col(k)["next_lo"], F.col(k)["next_hi"])
-                    ).alias("inside"),
-                ).alias(f"n_{k}")
-                for k, (c, _) in slots.items()
+                    F.count(v).alias("m"), F.percentile_approx(v, _GRID_PROBS).alias("grid")
+                ).alias(f"g_{s}")
+                for s, v in held.items()
             ]
         )
-        state = small_or_cut(
-            _attach(counted, state, by).select(
-                *by,
-                *[
-                    F.when(
-                        F.col(k)["open"],
-                        _narrowed(F.col(k), F.col(f"n_{k}")["skipped"], F.col(f"n_{k}")["inside"]),
-                    ).otherwise(F.col(k)).alias(k)
-                    for k in slots
-                ],
+        aimed = small_or_cut(
+            _attach(state, sketches, by, "left").select(
+                *by, *slots, *[_aim(s, share >= 1).alias(f"a_{s}") for s in busy]
             )
         )
-        wide = {k: F.col(k)["open"] & (F.col(k)["n_in"] > state_values) for k in slots}
-        left = state.agg(*[F.bool_or(w).alias(k) for k, w in wide.items()]).first()
-        busy = {k: slots[k] for k in slots if left[k]}
-        if not busy:
-            break
-        held = {k: F.when(_within(F.col(c), F.col(k)), F.col(c)) for k, (c, _) in busy.items()}
-        inner = _attach(data, state, by).groupBy(*by).agg(
-            *[
-                F.struct(
-                    F.approx_count_distinct(v).alias("values"),
-                    F.percentile_approx(v, _GRID_PROBS).alias("grid"),
-                ).alias(f"g_{k}")
-                for k, v in held.items()
-            ]
+        counts = _attach(data, aimed, by).groupBy(*by).agg(
+            *[_counted(F.col(c), F.col(s), F.col(f"a_{s}")).alias(f"c_{s}") for s, (c, _) in busy.items()]
         )
-        again = _attach(inner, state, by)
-        state = again.select(
-            *by,
-            *[_reopened(F.col(k), F.col(f"g_{k}"), state_values).alias(k) for k in busy],
-            *[F.col(k).withField("open", F.lit(False)).alias(k) for k in slots if k not in busy],
+        state = small_or_cut(
+            _attach(aimed, counts, by).select(
+                *by, *[(_narrow(s, state_values) if s in busy else F.col(s)).alias(s) for s in slots]
+            )
         )
     return _select_ranks(data, state, slots, by)
 
 
-def _reopened(slot: Column, seen: Column, state_values: int) -> Column:
-    aimed = _aimed(slot, slot["lo"], slot["hi"], seen["grid"])
-    return aimed.withField("open", slot["open"] & (seen["values"] > state_values))
+def _within(value: Column, bracket: Column) -> Column:
+    return value.between(bracket["lo"], bracket["hi"])
+
+
+def _counted(value: Column, slot: Column, aimed: Column) -> Column:
+    """Rows of the old bracket below and inside the suggested one, all rows counted."""
+    inside = _within(value, aimed)
+    return F.struct(
+        F.count_if((value >= slot["lo"]) & (value < aimed["lo"])).alias("skipped"),
+        F.count_if(inside).alias("inside"),
+        F.approx_count_distinct(F.when(inside, value)).alias("values"),
+    )
 
 
 def _select_ranks(
@@ -218,24 +239,24 @@ def _select_ranks(
     """Count the values inside the brackets and read off the target ranks."""
     rows = _attach(data, state, by)
     near = reduce(
-        lambda x, y: x | y, [_within(F.col(c), F.col(k)) for k, (c, _) in slots.items()]
+        lambda x, y: x | y, [_within(F.col(c), F.col(s)) for s, (c, _) in slots.items()]
     )
     hits = F.array(
         *[
             F.struct(
                 F.lit(i).alias("slot"), F.lit(c).alias("column_name"), F.col(c).alias("value"),
-                F.col(k).alias("s"),
+                F.col(s).alias("s"),
             )
-            for i, (k, (c, _)) in enumerate(slots.items())
+            for i, (s, (c, _)) in enumerate(slots.items())
         ]
     )
     group = [*by, "column_name"]
-    target = ["slot", "n", "rank", "r_lo", "r_hi", "below"]
+    target = ["n", "rank", "r_lo", "r_hi", "below"]
     found = (
         rows.where(near)
         .select(*by, F.inline(F.filter(hits, lambda h: _within(h["value"], h["s"]))))
-        .select(*group, "slot", "value", *[F.col(f"s.{t}").alias(t) for t in target[1:]])
-        .groupBy(*group, *target, "value")
+        .select(*group, "slot", "value", *[F.col(f"s.{t}").alias(t) for t in target])
+        .groupBy(*group, "slot", "value", *target)
         .agg(F.count("*").alias("times"))
     )
     upto = W.partitionBy(*group, "slot").orderBy("value").rowsBetween(W.unboundedPreceding, 0)

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from quillframe.functions import fixed_values as V
 from quillframe.operators.charts import iqr_bounds, outlier_counts
-from quillframe.operators.correlation import pearson
 from quillframe.operators.quantiles import STATE_VALUES
 from quillframe.support import as_doubles
 
@@ -25,6 +24,15 @@ def _text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
+def _class_correlation(x: Column, y: Column) -> Column:
+    """Pearson r of a number with a 0/1 target, from class means and sizes."""
+    one, zero = F.when(y == 1, x), F.when(y == 0, x)
+    n1, n0 = F.count(one), F.count(zero)
+    spread = F.stddev_pop(F.when(y.isin(0, 1), x))
+    share = F.sqrt(n1.cast("double") * n0) / (n1 + n0)
+    return F.when(n1 + n0 > 0, F.try_divide((F.avg(one) - F.avg(zero)) * share, spread))
+
+
 def _figures(
     data: DataFrame, target: str, columns: list[str], bounds: dict
 ) -> DataFrame:
@@ -41,7 +49,7 @@ def _figures(
             F.max(c).alias("max"),
             F.avg(F.when(y == 1, F.col(c))).alias("mean1"),
             F.avg(F.when(y == 0, F.col(c))).alias("mean0"),
-            pearson(target, c).alias("r"),
+            _class_correlation(F.col(c), y).alias("r"),
             F.lit(lo).cast("double").alias("lo"),
             F.lit(hi).cast("double").alias("hi"),
             (below + above).alias("outside"),

@@ -36,13 +36,13 @@ def prompts(comments: DataFrame) -> DataFrame:
 def train_toxicity(df: DataFrame, text: str, label: str) -> PipelineModel:
     """Bag-of-words logistic regression with balanced classes."""
     stages = [
-        RegexTokenizer(inputCol=text, outputCol="__words", pattern=r"(?U)\W+"),
+        RegexTokenizer(inputCol=text, outputCol="__words", pattern=r"[^\p{L}\p{N}]+"),
         HashingTF(inputCol="__words", outputCol="__counts", numFeatures=_WORDS),
         IDF(inputCol="__counts", outputCol="features"),
         LogisticRegression(labelCol=label, weightCol="__weight", maxIter=20, regParam=0.01),
     ]
-    rows = with_class_weight(df.where(F.col(text).isNotNull()), label, "__weight")
-    return Pipeline(stages=stages).fit(rows)
+    known = df.where(F.col(text).isNotNull() & F.col(label).isNotNull())
+    return Pipeline(stages=stages).fit(with_class_weight(known, label, "__weight"))
 
 
 def score_text(

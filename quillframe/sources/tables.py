@@ -10,6 +10,9 @@ from quillframe.functions import fixed_values as V
 
 _BAD = "__malformed"
 _OVERLONG = "CSV row has more fields than the header"
+# Checked before casting, because a failing cast of a text costs an exception.
+_WHOLE = r"^\s*[+-]?[0-9]+\s*$"
+_NUMBER = r"(?i)^\s*[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?|inf|infinity)\s*$"
 
 
 def null_if_missing(col: Column) -> Column:
@@ -56,8 +59,8 @@ def infer_types(df: DataFrame) -> DataFrame:
         text = F.col(f"`{c}`")
         return F.struct(
             F.count(text).alias("n"),
-            F.count(text.try_cast("bigint")).alias("whole"),
-            F.count(text.try_cast("double")).alias("number"),
+            F.count(F.when(text.rlike(_WHOLE), text.try_cast("bigint"))).alias("whole"),
+            F.count_if(text.rlike(_NUMBER)).alias("number"),
             F.count_if(text.isin("True", "False", "TRUE", "FALSE", "true", "false")).alias("truth"),
         ).alias(c)
 

@@ -49,6 +49,17 @@ def small_or_cut(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
     return cut_lineage(df)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give costly row-wise work at least one partition per core.
+
+    For a table stored in fewer splits than there are cores, such as one file
+    with one row group. A table with enough splits is returned as it is, without
+    a shuffle. For stored tables only: asking a join for its partitions runs it.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def is_float(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.FloatType, T.DoubleType))
 
