@@ -1,7 +1,7 @@
 """Exact interpolated quantiles, whole table or per group, at any size.
 
 Columns with a bounded number of distinct values, which one cheap pass measures,
-are reduced to value counts first; ``percentile`` then sees each value once.
+are reduced to value counts, and the counts are ranked.
 
 A column beyond the bound is narrowed instead. Every target rank gets a slot: a
 bracket of values guessed from a sketch of some rows, whose rows below and
@@ -68,21 +68,38 @@ def exact_quantiles(
     return reduce(DataFrame.unionByName, parts)
 
 
+def _at_rank(rank: Column) -> Column:
+    """As an aggregate, the value whose run of equal values covers the rank."""
+    covers = (F.col("start") <= rank) & (rank < F.col("end"))
+    return F.max(F.when(covers, F.col("value")))
+
+
+def _between(low: Column, high: Column, rank: Column) -> Column:
+    return low + (rank - F.floor(rank)) * (high - low)
+
+
 def _by_counts(
     data: DataFrame, columns: list[str], probs: list[float], by: list[str]
 ) -> DataFrame:
-    """Value counts combine before and across the shuffle; few rows reach percentile."""
-    wanted = F.array(*[F.lit(p) for p in probs])
-    return (
+    """Value counts combine before and across the shuffle; few rows are ranked."""
+    group = [*by, "column_name"]
+    whole = W.partitionBy(*group)
+    upto = whole.orderBy("value").rowsBetween(W.unboundedPreceding, 0)
+    placed = (
         data.unpivot(by, columns, "column_name", "value")
-        .groupBy(*by, "column_name", "value")
+        .where("value IS NOT NULL")
+        .groupBy(*group, "value")
         .agg(F.count("*").alias("times"))
-        .groupBy(*by, "column_name")
-        .agg(
-            F.sum(F.when(F.col("value").isNotNull(), F.col("times")).otherwise(0)).alias("n"),
-            F.percentile("value", wanted, F.col("times")).alias("q"),
-        )
+        .withColumns({"end": F.sum("times").over(upto), "n": F.sum("times").over(whole)})
+        .withColumn("start", F.col("end") - F.col("times"))
     )
+    ranks = [F.lit(p) * (F.col("n") - 1) for p in probs]
+    found = placed.groupBy(*group, "n").agg(
+        *[_at_rank(F.floor(r)).alias(f"lo{i}") for i, r in enumerate(ranks)],
+        *[_at_rank(F.ceil(r)).alias(f"hi{i}") for i, r in enumerate(ranks)],
+    )
+    values = [_between(F.col(f"lo{i}"), F.col(f"hi{i}"), r) for i, r in enumerate(ranks)]
+    return found.select(*group, "n", F.array(*values).alias("q"))
 
 
 def _attach(rows: DataFrame, side: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
@@ -263,17 +280,12 @@ def _select_ranks(
     end = F.col("below") + F.sum("times").over(upto)
     placed = found.withColumn("end", end).withColumn("start", F.col("end") - F.col("times"))
 
-    def at(rank: str) -> Column:
-        covers = (F.col("start") <= F.col(rank)) & (F.col(rank) < F.col("end"))
-        return F.max(F.when(covers, F.col("value")))
-
-    low, high = F.col("v_lo"), F.col("v_hi")
     picked = (
-        placed.groupBy(*group, "slot", "rank", "r_lo", "n")
-        .agg(at("r_lo").alias("v_lo"), at("r_hi").alias("v_hi"))
+        placed.groupBy(*group, "slot", "rank", "n")
+        .agg(_at_rank(F.col("r_lo")).alias("lo"), _at_rank(F.col("r_hi")).alias("hi"))
         .select(
             *group, "slot", "n",
-            (low + (F.col("rank") - F.col("r_lo")) * (high - low)).alias("v"),
+            _between(F.col("lo"), F.col("hi"), F.col("rank")).alias("v"),
         )
     )
     # One value per probability, so the arrays are short.
