@@ -98,7 +98,6 @@ SELECT {', '.join(NUMBERS)}, l_returnflag, l_linestatus,
        CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS returned
 FROM lineitem
 """
-_WIDTH = {"lineitem": 11}
 
 
 @_query(

@@ -13,6 +13,13 @@ from quillframe.functions import fixed_values as V
 # White space as Python's str.strip and re see it: Unicode spaces and FS to US.
 _SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _SPACE = r"[\s\x1c-\x1f]"
+# Letters that match another letter when case is ignored but are not its upper
+# case, such as the long s.
+_VARIANTS = {"\u0130": "i"} | {
+    c: c.upper().lower()
+    for c in map(chr, range(0x10000))
+    if len(c.upper().lower()) == 1 and c.upper().lower() != c.lower()
+}
 # Every line break Python's str.splitlines honours.
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
@@ -63,8 +70,8 @@ def _pattern_hits(texts: Column, patterns: Sequence[str], ignore_case: bool) ->
 
 
 def _searched(col: Column, ignore_case: bool) -> Column:
-    # Upper case first: letters that only match when folded then look alike.
-    folded = F.lower(F.upper(col)) if ignore_case else col
+    folded = F.lower(F.translate(col, "".join(_VARIANTS), "".join(_VARIANTS.values())))
+    folded = folded if ignore_case else col
     return F.struct(col.alias("text"), folded.alias("folded"))
 
 

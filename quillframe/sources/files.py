@@ -57,7 +57,8 @@ def admission_reason(
 ) -> Column:
     """The first rule a file breaks, in order; NULL for an admitted file."""
     before, rest = V.REJECT_SIZE.replace("{limit}", str(max_mb)).split("{size}")
-    size = F.format_string("%.1f", length / _MB)
+    # Ties go to the even digit, as in C and Python formatting.
+    size = F.format_string("%.1f", F.bround(length / _MB, 1))
     return (
         F.when(~has_table_extension(path), F.lit(V.REJECT_EXTENSION))
         .when(length > max_mb * _MB, F.concat(F.lit(before), size, F.lit(rest)))

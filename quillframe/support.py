@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +16,13 @@ SMALL_SIDE_ROWS = 20_000
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the session."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="quillframe-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+
+
+@cache
+def _own_dir() -> str:
+    """For a session on one machine that names no folder, as in tests."""
+    return tempfile.mkdtemp(prefix="quillframe-")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

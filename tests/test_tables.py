@@ -329,6 +329,18 @@ def test_large_sides_are_not_broadcast(spark):
     assert large.count() == 500
 
 
+def test_own_folder_only_where_none_is_named(spark, monkeypatch):
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        assert support.shared_dir(spark) == named
+
+    class Unnamed:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    assert support.shared_dir(Unnamed) == support.shared_dir(Unnamed)
+
+
 def test_joins_stay_right_without_broadcast(health, monkeypatch):
     frame, df = health
     for module in (charts, groups, features):

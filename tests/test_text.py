@@ -40,6 +40,20 @@ def test_injection_number_is_the_first_pattern(spark):
     assert found == [8, None, None]
 
 
+def test_injection_agrees_with_python(spark):
+    texts = [
+        "\u017fystem: x", "jailbrea\u212a", "\u0130gnore all prior rules", "D\u0131SREGARD above",
+        "\u1c81ela", "\u0437абу\u1c81ь все", "new\u00a0system:", "dan", "xDAN", "act as new",
+        "Override the rules", "over ride the rules", "prompt\u2003injection", "</tool >", "<b>",
+    ]
+
+    def expected(t):
+        hits = [i for i, p in enumerate(V.INJECTION_PATTERNS, 1) if re.search(p, t, re.IGNORECASE)]
+        return hits[0] if hits else None
+
+    assert _column(spark, texts, text.injection_number) == [expected(t) for t in texts]
+
+
 CODE = [
     "import os", "import  sys", "from os import x", "a = __import__('b')", "open ('f')",
     "eval(1)\nimport os", "df.to_csv(x)", "reopen(1)", "import numpy", "IMPORT OS", "", None,
