@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillframe.support import as_doubles, small_or_cut
+from quillframe.support import as_doubles, even_shares, small_or_cut
 
 QUARTILES = (0.25, 0.5, 0.75)
 # Most distinct values, over all groups, that one task may have to order.
@@ -29,7 +29,6 @@ STATE_VALUES = 1_000_000
 # Rows that steer a bracket, and steps of the grid of quantiles drawn from them.
 SKETCH_ROWS = 2_000_000
 _GRID = 500
-_GRID_PROBS = [i / _GRID for i in range(_GRID + 1)]
 
 
 def approx_distinct(
@@ -197,6 +196,7 @@ def _by_brackets(
     state = small_or_cut(
         ranges.select(*by, *[_opening(f"`r_{c}`", p).alias(s) for s, (c, p) in slots.items()])
     )
+    grid = even_shares(_GRID)
     seed = 0
     while True:
         sizes = state.agg(
@@ -215,7 +215,7 @@ def _by_brackets(
         sketches = _attach(some, state, by).groupBy(*by).agg(
             *[
                 F.struct(
-                    F.count(v).alias("m"), F.percentile_approx(v, _GRID_PROBS).alias("grid")
+                    F.count(v).alias("m"), F.percentile_approx(v, grid).alias("grid")
                 ).alias(f"g_{s}")
                 for s, v in held.items()
             ]

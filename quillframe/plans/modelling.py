@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillframe.operators.groups import with_class_weight
+from quillframe.support import even_shares
 
 # Ranges of scores ranked apart, and rows looked at to place their borders.
 _SCORE_SLICES = 4_096
@@ -88,7 +89,6 @@ def f1_auc(df: DataFrame, label: str, score: str, threshold: float = 0.5) -> Dat
     ).where(F.col("y").isNotNull() & F.col("s").isNotNull() & ~F.isnan("s"))
     said = F.col("s") >= threshold
     positive = F.col("y") == 1
-    grid = [i / _SCORE_SLICES for i in range(1, _SCORE_SLICES)]
     totals = rows.agg(
         F.count("*").alias("n"),
         F.count_if(positive).alias("p"),
@@ -98,7 +98,7 @@ def f1_auc(df: DataFrame, label: str, score: str, threshold: float = 0.5) -> Dat
     n, p, tp, fp = (totals[c] for c in ("n", "p", "tp", "fp"))
     # Where the ranges are cut decides only how even they are, so some rows do.
     some = rows.sample(fraction=_CUT_ROWS / n, seed=1) if n > _CUT_ROWS else rows
-    cuts = some.agg(F.percentile_approx("s", grid)).first()[0]
+    cuts = some.agg(F.percentile_approx("s", even_shares(_SCORE_SLICES, False))).first()[0]
     f1 = 2 * tp / (p + tp + fp) if p + tp + fp else None
 
     splits = [float("-inf"), *sorted(set(cuts or [])), float("inf")]

@@ -94,6 +94,12 @@ def as_doubles(df: DataFrame, columns: list[str], keep: list[str] | None = None)
     )
 
 
+def even_shares(steps: int, ends: bool = True) -> Column:
+    """The array 0, 1/steps, ..., 1 as one constant; without ``ends`` the inner shares."""
+    numbers = range(steps + 1) if ends else range(1, steps)
+    return F.expr("array(" + ", ".join(f"{i / steps!r}D" for i in numbers) + ")")
+
+
 def rows_from_one(row: DataFrame, structs: list[Column]) -> DataFrame:
     """Turn a one-row frame into one row per struct, without another scan."""
     return row.select(F.inline(F.array(*structs)))
