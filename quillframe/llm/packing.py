@@ -29,6 +29,8 @@ from quillframe.llm.common import small_batches, utf8
 
 # Entries of one worker's word cache, and the longest word it keeps.
 CACHE_WORDS, CACHED_WORD = 400_000, 64
+# Plain words encoded as one text.
+JOINED_WORDS = 200
 # Letters below this code point are letters in every version of Unicode in use.
 LETTERS_BELOW = "\u0250"
 # Pieces and bytes of ids at hand when windows are filled; the rest waits for more.
@@ -49,26 +51,51 @@ class WordTokens:
         self.tool = Tokenizer.from_file(path)
         self.tool.no_truncation()
         self.tool.no_padding()
+        tokens = self.tool.get_vocab()
+        self.ends_word = np.zeros(max(tokens.values()) + 1, bool)
+        self.ends_word[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.stems: dict[bytes, bytes] = {}
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        got = self.tool.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in got]
+    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of each word. Plain letters become one run of tokens with a marked end, so many go in one text."""
+        plain, other = [], []
+        for w in words:
+            if w.isalpha():
+                plain.append((w, w.decode("ascii")))
+                continue
+            t = w.decode("utf-8", "replace")
+            (plain if t.isalpha() and max(t) < LETTERS_BELOW and t.lower().isalpha() else other).append((w, t))
+        out = {}
+        for i in range(0, len(plain), JOINED_WORDS):
+            some = plain[i : i + JOINED_WORDS]
+            got = np.array(self._ids([" ".join(t for _, t in some)])[0], "<u4")
+            ends = (np.flatnonzero(self.ends_word[got]) + 1).tolist()
+            data = got.tobytes()
+            for (w, _), a, b in zip(some, [0, *ends[:-1]], ends, strict=True):
+                out[w] = data[4 * a : 4 * b]
+        for (w, _), ids in zip(other, self._ids([t for _, t in other]), strict=True):
+            out[w] = np.array(ids, "<u4").tobytes()
+        return out
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
         """A letter and the full stops or commas after it are always split, so stems are learnt apart."""
         parts = {}
         for w in new:
             stem = w.rstrip(b".,")
+            if stem.isalpha():  # ASCII only, as these are bytes
+                parts[w] = (stem.lower(), w[len(stem) :])
+                continue
             last = stem[-4:].decode("utf-8", "ignore")[-1:]
             parts[w] = (stem, w[len(stem) :]) if last.lower().isalpha() and last < LETTERS_BELOW else (w, b"")
-        ask = list({p for pair in parts.values() for p in pair if p and p not in self.stems})
         if len(self.stems) > CACHE_WORDS:
             self.stems = {}
-            ask = list({p for pair in parts.values() for p in pair if p})
-        self.stems.update(zip(ask, self._encode(ask), strict=True))
+        ask = {p for pair in parts.values() for p in pair if p} - self.stems.keys()
+        self.stems.update(self._encode(list(ask)))
         self.stems[b""] = b""
         out = {w: self.stems[a] + self.stems[b] for w, (a, b) in parts.items()}
         for p in ask:
