@@ -8,8 +8,8 @@ added where they overlap no base span and beat "outside" by ``MARGIN``.
 
 The model is fitted on the driver by maximum likelihood on at most
 ``TRAIN_REGIONS`` regions of a bounded sample of documents, labelled by the
-patterns; copies of them with a separator turned into a line break teach it spans
-that run over a line end.
+patterns; changed copies of them teach it spans that run over a line end or
+adjoin another number, and wrong parts.
 
 Nulls count as empty text; texts are read whole, in time linear in their length;
 repeated rows are treated alike; an empty table gives an empty result (with
@@ -241,28 +241,38 @@ class Lattice:
 def fit(texts: list[str], seed: int = 7) -> np.ndarray | None:
     """Weights (kinds and outside x features) from the pattern-labelled regions of ``texts``."""
     rng = np.random.default_rng(seed)
-    examples = []
+    examples: list[tuple[str, int, int, set]] = []
+    phone = card = ""
     for t in texts:
         spans = base_spans(t)
         for a, b in regions(t):
             if len(examples) >= TRAIN_REGIONS:
                 break
-            inside = {s for s in spans if a <= s[1] and s[2] <= b}
             if b - a > 400:
                 continue
-            around = t[max(0, a - 2) : b + 2]
             shift = max(0, a - 2)
-            gold = {(k, x - shift, y - shift) for k, x, y in inside}
-            examples.append((around, a - shift, b - shift, gold))
-            gaps = [i for k, x, y in gold if k > 1 for i in range(x, y) if around[i] in " -"]
+            around, a, b = t[shift : b + 2], a - shift, b - shift
+            gold = {(k, x - shift, y - shift) for k, x, y in spans if a <= x - shift and y - shift <= b}
+            examples.append((around, a, b, gold))
+            if len(gold) != 1:
+                continue
+            # Changed copies: over a line end, with a part too large, and two numbers in a row.
+            ((k, x, y),) = gold
+            gaps = [i for i in range(x, y) if around[i] in " -"] if k > 1 else []
             if gaps:
                 at = int(rng.choice(gaps))
-                examples.append((around[:at] + "\n" + around[at + 1 :], a - shift, b - shift, gold))
-            solid = [s for s in gold if s[0] == 2 and around[s[1] : s[2]].isdigit() and len(gold) == 1]
-            if solid:
-                k, x, y = solid[0]
+                examples.append((around[:at] + "\n" + around[at + 1 :], a, b, gold))
+            if k == 2 and around[x:y].isdigit():
+                card = around[x:y]
                 at = int(rng.integers(x + 1, y))
-                examples.append((around[:at] + "\n" + around[at:], a - shift, b - shift + 1, {(k, x, y + 1)}))
+                examples.append((around[:at] + "\n" + around[at:], a, b + 1, {(k, x, y + 1)}))
+            if k == 1:
+                examples.append((around[:y] + "99" + around[y:], a, b + 2, set()))
+            phone = around[x:y] if k == 3 else phone
+            if k > 1 and phone and card:
+                n, m = len(phone), len(card)
+                examples.append((f" {phone} {card} ", 1, n + m + 2, {(3, 1, 1 + n), (2, n + 2, n + m + 2)}))
+                examples.append((f" {card} {phone} ", 1, n + m + 2, {(2, 1, 1 + m), (3, m + 2, n + m + 2)}))
     if not examples:
         return None
     made = [(Lattice(t, a, b), gold) for t, a, b, gold in examples]
@@ -324,13 +334,15 @@ def find(
     kind = df.schema[id_col].dataType.simpleString()
     kept = df.select(*[c.alias(n) for n, c in keep.items()]).schema.fields if keep else []
 
+    names = ["id", *keep]
+
     def make():
         def work(given: dict[str, list]) -> dict[str, list]:
             rows = [
                 [{"kind": KINDS[k], "start": a, "end": b, "base": c} for k, a, b, c in all_spans(t, weights)]
                 for t in given["text"]
             ]
-            return {n: given[n] for n in ("id", *keep)} | {"spans": rows}
+            return {n: given[n] for n in names} | {"spans": rows}
 
         return work
 

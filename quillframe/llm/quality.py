@@ -115,13 +115,15 @@ def figures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     )
     schema += ", chars array<long>, words array<long>"
 
+    names = ["id", *keep]
+
     def make():
         classes = _class_table()
         symbols, spaces = list(SYMBOLS), list(_SPACE)
         place = [(w.encode(), i) for i, w in enumerate(WORDS)]
 
         def work(given: dict[str, list]) -> dict[str, list]:
-            out: dict[str, list] = {n: given[n] for n in ("id", *keep)} | {c: [] for c in (*counts, "chars", "words")}
+            out: dict[str, list] = {n: given[n] for n in names} | {c: [] for c in (*counts, "chars", "words")}
             for t in given["text"]:
                 words = t.split()
                 bytes_ = np.bincount(np.frombuffer(t, np.uint8), minlength=256)

@@ -102,22 +102,22 @@ def _op3_sql() -> str:
     return f"""
     WITH docs AS (SELECT row_number() OVER () AS row_id, doc_id, lang, coalesce(text, '') AS text FROM documents),
     cut AS (SELECT *, list_filter(regexp_split_to_array(text, '{space}'), lambda w: w <> '') AS words FROM docs),
-    placed AS (SELECT row_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS at FROM cut),
+    placed AS (SELECT row_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM cut),
     common AS (SELECT row_id, list_position({words}, translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
         'abcdefghijklmnopqrstuvwxyz')) AS slot, count(*) AS n FROM placed GROUP BY ALL),
     histogram AS (SELECT row_id, list_transform(range(1, {n + 1}), lambda i: coalesce(
         map_extract(map_from_entries(list((slot, n)) FILTER (slot IS NOT NULL)), i)[1], 0)) AS known,
         sum(n) AS total FROM common GROUP BY row_id),
-    windows AS (SELECT row_id, at, string_agg(word, ' ') OVER w AS gram, count(*) OVER w AS size FROM placed
-        WINDOW w AS (PARTITION BY row_id ORDER BY at ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
-    twice AS (SELECT row_id, at, count(*) OVER (PARTITION BY row_id, gram) > 1 AS again FROM windows WHERE size = 8),
+    windows AS (SELECT row_id, pos, string_agg(word, ' ') OVER w AS gram, count(*) OVER w AS size FROM placed
+        WINDOW w AS (PARTITION BY row_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+    twice AS (SELECT row_id, pos, count(*) OVER (PARTITION BY row_id, gram) > 1 AS again FROM windows WHERE size = 8),
     repeats AS (SELECT row_id, count(*) AS n FROM (
-        SELECT DISTINCT row_id, unnest(range(at, at + 8)) AS place FROM twice WHERE again) GROUP BY row_id),
+        SELECT DISTINCT row_id, unnest(range(pos, pos + 8)) AS place FROM twice WHERE again) GROUP BY row_id),
     lines AS (SELECT row_id, sum(n - 1) AS n FROM (SELECT row_id, line, count(*) AS n FROM (
         SELECT row_id, unnest(string_split(text, chr(10))) AS line FROM docs)
         WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY ALL) GROUP BY row_id),
-    counted AS (SELECT c.row_id, doc_id, lang, len(c.words) AS n_words, list_sum([0, *list_transform(c.words, lambda w:
-        length(w))]) AS word_chars, {count[5]} AS n_symbols, coalesce(l.n, 0) AS n_dup_lines,
+    counted AS (SELECT c.row_id, doc_id, lang, len(c.words) AS n_words, list_sum(list_concat([0], list_transform(c.words, lambda w:
+        length(w)))) AS word_chars, {count[5]} AS n_symbols, coalesce(l.n, 0) AS n_dup_lines,
         coalesce(r.n, 0) AS n_repeat_words, length(text) AS n_chars, [{', '.join(count)}] AS classes,
         coalesce(h.known, list_transform(range({n}), lambda i: 0)) AS known
         FROM cut c LEFT JOIN lines l USING (row_id) LEFT JOIN repeats r USING (row_id)
@@ -152,13 +152,13 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
             ",",
         )
 
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long")
+
     base = F.filter("spans", lambda s: s["base"])
     return found.select(
         F.col("id").alias("doc_id"),
-        *[
-            F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}")
-            for k in pii.KINDS
-        ],
+        *[count(k).alias(f"n_{k}") for k in pii.KINDS],
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
