@@ -35,8 +35,8 @@ WORDS = sorted({w for words in COMMON_WORDS.values() for w in words})
 # Classes of characters, by byte of the text: the first byte of a longer character stands for it.
 CLASSES = ("lower", "upper", "digit", "space", "sentence mark", "symbol", "other mark", "beyond ASCII")
 SYMBOLS = b"#*$%&|<>"
-MIN_CHARS, MIN_WORDS = 200, 40
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.55
+MIN_CHARS, MIN_WORDS = 400, 80
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.22, 0.325
 REPEAT_WINDOW = 8
 # Bytes between words.
 _SPACE = b" \t\n\v\f\r"

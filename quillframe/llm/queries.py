@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import bpe, licenses, packing, pii, quality, url_filter
+from quillframe.llm import bpe, licenses, ngram_join, packing, pii, quality, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -164,6 +164,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.groups(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
     return encoded.select(
@@ -211,6 +216,7 @@ QUERIES: dict[str, Query] = {
     "op2_url_filter": op2_url_filter,
     "op3_quality": op3_quality,
     "op7_pii": op7_pii,
+    "op8_ngram_join": op8_ngram_join,
     "op9_bpe": op9_bpe,
     "op10_licenses": op10_licenses,
 }
