@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import bpe, licenses, ngram_join, packing, pii, quality, url_filter
+from quillframe.llm import bpe, licenses, line_dedup, ngram_join, packing, pii, quality, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -143,6 +143,10 @@ def _op3_sql() -> str:
     FROM p LEFT JOIN judged USING (row_id)"""
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(_table(spark, sf_dir, "documents"), report=True).withColumnRenamed("id", "doc_id")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(_table(spark, sf_dir, "documents"))
 
@@ -215,6 +219,7 @@ QUERIES: dict[str, Query] = {
     "op1_pack": op1_pack,
     "op2_url_filter": op2_url_filter,
     "op3_quality": op3_quality,
+    "op6_line_dedup": op6_line_dedup,
     "op7_pii": op7_pii,
     "op8_ngram_join": op8_ngram_join,
     "op9_bpe": op9_bpe,
