@@ -91,7 +91,6 @@ def beam(x: np.ndarray, q: np.ndarray, near: np.ndarray, entry: np.ndarray, widt
 
 def spread_out(x: np.ndarray, node: int, others: np.ndarray, links: int) -> np.ndarray:
     """Of ``others``, best first, those nearer to the node than to any one chosen before; then the best rest."""
-    others = others[:: 1]
     to_node = x[others] @ x[node]
     order = np.argsort(-to_node, kind="stable")
     others, to_node = others[order], to_node[order]
@@ -166,7 +165,11 @@ def _usable(column: Column) -> Column:
     return column.isNotNull() & fine & F.exists(column, lambda c: c != 0)
 
 
-INDEX = "shard long, dim int, part long, rows int, start int, vectors binary, ids binary, ends binary, layers array<binary>"
+INDEX = "shard long, dim int, rows int, start int, vectors binary, ids binary, ends binary, layers array<binary>"
+
+
+def _up_to(last: int) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))
 
 
 def _shard_row(table: pa.Table) -> pa.Table:
@@ -199,10 +202,7 @@ def index(df: DataFrame, id_col: str, vec_col: str, k: int, shard_rows: int) ->
     nodes = stored(rows.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "vectors")
     shards = max(1, -(-nodes.count() // shard_rows))
     nodes = nodes.withColumn("dim", F.size("v")).withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)))
-    made = nodes.groupBy("shard", "dim").applyInArrow(
-        _shard_row, "shard long, dim int, rows int, start int, vectors binary, ids binary, ends binary, layers array<binary>"
-    )
-    return stored(made, "graphs")
+    return stored(nodes.groupBy("shard", "dim").applyInArrow(_shard_row, INDEX), "graphs")
 
 
 def _block_row(table: pa.Table) -> pa.Table:
@@ -237,8 +237,8 @@ def search(
     packed = packed.withColumn("part", F.expr(f"block div {BLOCKS_AT_ONCE}"))
     shards = graphs.agg(F.max("shard")).first()[0]
     parts = (blocks - 1) // BLOCKS_AT_ONCE
-    sent = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(int(shards or 0)))).cast("long"))
-    held = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts))).cast("long"))
+    sent = packed.withColumn("shard", F.explode(_up_to(int(shards or 0))))
+    held = graphs.withColumn("part", F.explode(_up_to(parts)))
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:
         columns: list[list[np.ndarray]] = [[], [], []]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import bpe, hnsw, licenses, line_dedup, ngram_join, packing, pii, quality, url_filter
+from quillframe.llm import bpe, hnsw, licenses, line_dedup, ngram_join, packing, pii, quality, url_filter, weak_labels
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -143,6 +143,11 @@ def _op3_sql() -> str:
     FROM p LEFT JOIN judged USING (row_id)"""
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = weak_labels.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.withColumnRenamed("id", "doc_id")
+
+
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return hnsw.search(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
@@ -224,6 +229,7 @@ QUERIES: dict[str, Query] = {
     "op1_pack": op1_pack,
     "op2_url_filter": op2_url_filter,
     "op3_quality": op3_quality,
+    "op4_toxicity": op4_toxicity,
     "op5_neighbours": op5_neighbours,
     "op6_line_dedup": op6_line_dedup,
     "op7_pii": op7_pii,
