@@ -265,3 +265,22 @@ def groups(
     of_class = named.join(smallest, "root").select("class", "component_id")
     out = every.select("id", "n", "class").join(of_class, "class", "left")
     return out.select("id", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+
+
+def keep_one(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85
+) -> DataFrame:
+    """``df`` without the rows that link, over any number of steps, to one of a smaller id; repeated rows stay once.
+
+    Rows without an id, or without words, stay.
+    """
+    found = stored(groups(df, id_col, text_col, size, percent), "ngram-groups")
+    gone = found.filter(F.col("id") != F.col("component_id")).select(F.col("id").alias("gone")).distinct()
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    left = df.join(gone, F.col(f"`{id_col}`") == F.col("gone"), "left_anti")
+    again = found.filter("id IS NOT NULL").groupBy("id").count().filter("count > 1").select(F.col("id").alias("again"))
+    if again.isEmpty():
+        return left
+    same = F.col(f"`{id_col}`") == F.col("again")
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))

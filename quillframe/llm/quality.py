@@ -191,11 +191,16 @@ def quality(
     """(id, *keep, the base figures, base_failed, char_distance, word_distance, kept).
 
     The figures are stored once in the shared folder; references and distances
-    both read them, so texts are read once.
+    both read them, so texts are read once. With columns to ``keep``, texts are
+    read twice instead, as storing those columns could cost more.
     """
-    keep = {"ref_lang": F.col(f"`{lang_col}`"), **(keep or {})}
-    counted = stored(figures(df, id_col, text_col, keep), "quality-figures")
-    references = fit_references(counted, "ref_lang")
+    lang = {"ref_lang": F.col(f"`{lang_col}`")}
+    if keep:
+        references = fit_references(figures(df, id_col, text_col, lang), "ref_lang")
+        counted = figures(df, id_col, text_col, lang | keep)
+    else:
+        counted = stored(figures(df, id_col, text_col, lang), "quality-figures")
+        references = fit_references(counted, "ref_lang")
 
     def nearest(column: str):
         known = [np.array(v) for v in references[column].values()]
@@ -222,3 +227,10 @@ def quality(
         .withColumn("kept", ~base & ~far)
         .drop("chars", "words", "ref_lang")
     )
+
+
+def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``df`` that ``quality`` keeps, with their columns as they were."""
+    whole = {f"c{i}": F.col(f"`{c}`") for i, c in enumerate(df.columns)}
+    judged = quality(df, id_col, text_col, lang_col, keep=whole).filter("kept")
+    return judged.select(*[F.col(n).alias(c) for n, c in zip(whole, df.columns, strict=True)])

@@ -32,7 +32,7 @@ from quillframe.llm.common import map_rows, text
 CLASS_ROWS = 5000
 BUCKETS = 1 << 20
 BEGINNING = 5
-LEARNT_VOTERS, LEAST_ROWS = 60, 5
+LEARNT_VOTERS, LEAST_ROWS, LEAST_ODDS = 60, 5, 12
 CACHE_WORDS = 300_000
 # Own choice of insulting words.
 LEXICON = (
@@ -75,45 +75,61 @@ class LabelModel:
     say: np.ndarray
 
 
-def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 20) -> LabelModel:
-    """Accuracies and correlations of voters (rows x voters, fired or not) by expectation maximisation."""
+def fit_label_model(votes: np.ndarray, start: np.ndarray, two_sided: np.ndarray, trusted: np.ndarray, rounds: int = 20) -> LabelModel:
+    """Accuracies and correlations of voters (rows x voters, fired or not) by expectation maximisation.
+
+    A voter that does not fire abstains, but for the ``two_sided`` ones. Shares of
+    ``trusted`` voters start from, and are held near, firing on 95 and 5 of a
+    hundred rows of either class; those of all others come from the rows alone.
+    """
     n, m = votes.shape
     fired = votes.astype(np.float64)
     p = np.clip(start.astype(np.float64), 0.02, 0.98)
     say, correlation = np.ones(m), np.eye(m)
+    held = np.where(trusted, float(n), 1.0)
     for _ in range(rounds):
-        on_toxic = (fired.T @ p + 0.1) / (p.sum() + 0.2)
-        on_clean = (fired.T @ (1 - p) + 0.1) / ((1 - p).sum() + 0.2)
+        on_toxic = (fired.T @ p + held * np.where(trusted, 0.95, 0.1)) / (p.sum() + held)
+        on_clean = (fired.T @ (1 - p) + held * np.where(trusted, 0.05, 0.1)) / ((1 - p).sum() + held)
         base = np.clip(p.mean(), 0.001, 0.999)
         # What the classes leave unexplained, by pairs of voters.
         rest = fired - (p[:, None] * on_toxic + (1 - p)[:, None] * on_clean)
         spread = np.sqrt((rest * rest).sum(axis=0)) + 1e-9
         correlation = (rest.T @ rest) / np.outer(spread, spread)
         say = 1 / (1 + np.clip(np.abs(correlation) - np.eye(m) - 0.1, 0, None).sum(axis=1))
+        say = np.where(trusted, 1.0, say)
         yes, no = np.log(on_toxic / on_clean), np.log((1 - on_toxic) / (1 - on_clean))
-        logit = np.log(base / (1 - base)) + fired @ (say * yes) + (1 - fired) @ (say * no)
+        logit = np.log(base / (1 - base)) + fired @ (say * yes) + ((1 - fired) * two_sided) @ (say * no)
         p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return LabelModel(p, on_toxic, on_clean, correlation, say)
 
 
-def fit_linear(rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray, steps: int = 150) -> tuple[np.ndarray, float]:
-    """Logistic regression on present features with soft targets (adaptive gradient steps, small L2)."""
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+def fit_linear(rows: list[np.ndarray], target: np.ndarray, steps: int = 300, rate: float = 1.0, shrink: float = 3e-4) -> tuple[np.ndarray, float]:
+    """Logistic regression on present features with soft targets: gradient steps with momentum, L2.
+
+    Features are centred on their shares, so the intercept takes up what all rows
+    have in common; features of fewer than LEAST_ROWS rows are left out.
+    """
+    counts = np.bincount(np.concatenate(rows), minlength=BUCKETS)
+    rows = [r[counts[r] >= LEAST_ROWS] for r in rows]
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    used, flat = np.unique(flat, return_inverse=True)
-    w, b = np.zeros(len(used)), 0.0
-    square_w, square_b = np.full(len(used), 1e-8), 1e-8
+    used, flat = np.unique(np.concatenate(rows), return_inverse=True)
+    share = np.bincount(flat, minlength=len(used)) / len(rows)
+    # The rarer class weighs more, by the root of the ratio of the two.
+    weight = target * np.sqrt((1 - target.mean() + 1e-3) / (target.mean() + 1e-3)) + 1 - target
+    w, move_w = np.zeros(len(used)), np.zeros(len(used))
+    base = np.clip(target.mean(), 0.001, 0.999)
+    b, move_b = float(np.log(base / (1 - base))), 0.0
     for _ in range(steps):
-        z = np.bincount(owner, w[flat], minlength=len(rows)) + b
-        gap = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / weight.sum()
-        slope = np.bincount(flat, gap[owner], minlength=len(used)) + 1e-5 * w
-        square_w += slope * slope
-        square_b += gap.sum() ** 2
-        w -= 0.1 * slope / np.sqrt(square_w)
-        b -= 0.1 * gap.sum() / np.sqrt(square_b)
+        z = np.bincount(owner, w[flat], minlength=len(rows)) + (b - share @ w)
+        gap = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * weight / weight.sum()
+        slope = np.bincount(flat, gap[owner], minlength=len(used)) - share * gap.sum() + shrink * w
+        move_w = 0.9 * move_w - rate * slope
+        move_b = 0.9 * move_b - rate * gap.sum()
+        w += move_w
+        b += move_b
     out = np.zeros(BUCKETS, np.float32)
     out[used] = w
-    return out, float(b)
+    return out, float(b - share @ w)
 
 
 def held_out(id_column: Column) -> Column:
@@ -125,7 +141,6 @@ def _sampled(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     """(feature numbers, patterns fired, labels) of the sampled rows."""
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y"))
     known = known.filter(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
-    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     chosen = None
     for y in (0, 1):
         some = known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(CLASS_ROWS)
@@ -153,7 +168,7 @@ def _sampled(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     found = found.sort_values(["order", "y"], kind="stable")
     features = [np.asarray(f, np.int64) for f in found["features"]]
     fired = np.array(found["fired"].tolist(), bool).reshape(len(found), len(PATTERNS))
-    return features, fired, found["y"].to_numpy(), counts
+    return features, fired, found["y"].to_numpy()
 
 
 def learnt_voters(features: list[np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -163,12 +178,12 @@ def learnt_voters(features: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     odds = np.log((toxic + 0.5) / (max((y == 1).sum(), 1) + 1)) - np.log((clean + 0.5) / (max((y == 0).sum(), 1) + 1))
     odds[toxic < LEAST_ROWS] = -np.inf
     best = np.argsort(-odds, kind="stable")[:LEARNT_VOTERS]
-    return best[odds[best] > np.log(4)]
+    return best[odds[best] > np.log(LEAST_ODDS)]
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[np.ndarray, float] | None:
     """Weights and intercept of the classifier; None without labelled rows."""
-    features, fired, y, counts = _sampled(df, labels, id_col, text_col, label_col)
+    features, fired, y = _sampled(df, labels, id_col, text_col, label_col)
     if not features:
         return None
     find = Features()
@@ -178,11 +193,12 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col:
     for i, f in enumerate(features):
         votes[i, [place[x] for x in f.tolist() if x in place]] = True
     votes = np.concatenate([votes, fired, (y == 1)[:, None], votes.any(axis=1)[:, None]], axis=1)
-    model = fit_label_model(votes, 0.5 * (y == 1) + 0.45 * votes[:, -1])
-    w, b = fit_linear(features, model.posterior, np.ones(len(y)))
-    # The sample holds the classes in other shares than the table.
-    sampled = (max((y == 1).sum(), 1), max((y == 0).sum(), 1))
-    b += np.log(max(counts.get(1, 0), 1) / max(counts.get(0, 0), 1)) - np.log(sampled[0] / sampled[1])
+    sides = np.zeros(votes.shape[1], bool)
+    sides[-2:] = True  # the label, and whether any other voter fired
+    trusted = np.zeros(votes.shape[1], bool)
+    trusted[-2] = True
+    model = fit_label_model(votes, 0.5 * (y == 1) + 0.45 * votes[:, -1], sides, trusted)
+    w, b = fit_linear(features, model.posterior)
     return w, b
 
 
