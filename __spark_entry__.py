@@ -1456,9 +1456,11 @@ def _f1_auc(spark, sf_dir):
 
 # The training-data operators are a subpackage of their own, which may be absent.
 if importlib.util.find_spec("quillframe.llm") is not None:
+    import corpus_pipeline
     from quillframe.llm import queries as llm_queries
 
     _QUERIES.update(llm_queries.QUERIES)
+    _QUERIES["pipeline"] = corpus_pipeline.run
     _ORACLES.update(llm_queries.ORACLES)
 
 
