@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from quillframe.llm.common import small_batches, utf8
 
 # Entries of one worker's word cache, and the longest word it keeps.
-CACHE_WORDS, CACHED_WORD = 400_000, 64
+CACHE_WORDS, CACHED_WORD = 600_000, 64
 # Plain words encoded as one text.
 JOINED_WORDS = 200
 # Letters below this code point are letters in every version of Unicode in use.
@@ -38,6 +38,19 @@ POOL_PIECES, POOL_BYTES = 4096, 32 << 20
 KEEP_PIECES = 256
 
 
+class Tails(dict):
+    """Ids of the full stops and commas that end words."""
+
+    def __init__(self, tool: WordTokens):
+        self.tool = tool
+
+    def __missing__(self, tail: bytes) -> bytes:
+        ids = np.array(self.tool._ids([tail.decode()])[0], "<u4").tobytes()
+        if len(tail) <= 3:
+            self[tail] = ids
+        return ids
+
+
 class WordTokens:
     """Ids of whole texts by the tokenizers library, word by word.
 
@@ -56,52 +69,39 @@ class WordTokens:
         self.ends_word[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
+        self.tails = Tails(self)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of each word. Plain letters become one run of tokens with a marked end, so many go in one text."""
+    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words.
+
+        A letter and the full stops or commas after it are always split, and plain
+        letters become one run of tokens with a marked end. So stems of plain
+        letters go to the library many at a time, as one text.
+        """
+        stems = [w.rstrip(b".,") for w in new]
         plain, other = [], []
-        for w in words:
-            if w.isalpha():
-                plain.append((w, w.decode("ascii")))
-                continue
-            t = w.decode("utf-8", "replace")
-            (plain if t.isalpha() and max(t) < LETTERS_BELOW and t.lower().isalpha() else other).append((w, t))
-        out = {}
+        for w, stem in zip(new, stems, strict=True):
+            (plain if stem.isalpha() or self._letters(stem) else other).append((w, stem))
+        out, tails = {}, self.tails
         for i in range(0, len(plain), JOINED_WORDS):
             some = plain[i : i + JOINED_WORDS]
-            got = np.array(self._ids([" ".join(t for _, t in some)])[0], "<u4")
-            ends = (np.flatnonzero(self.ends_word[got]) + 1).tolist()
-            data = got.tobytes()
-            for (w, _), a, b in zip(some, [0, *ends[:-1]], ends, strict=True):
-                out[w] = data[4 * a : 4 * b]
-        for (w, _), ids in zip(other, self._ids([t for _, t in other]), strict=True):
+            got = np.array(self._ids([b" ".join([stem for _, stem in some]).decode()])[0], "<u4")
+            ends = (4 * (np.flatnonzero(self.ends_word[got]) + 1)).tolist()
+            data, at = got.tobytes(), 0
+            for (w, stem), end in zip(some, ends, strict=True):
+                out[w] = data[at:end] if len(w) == len(stem) else data[at:end] + tails[w[len(stem) :]]
+                at = end
+        for (w, _), ids in zip(other, self._ids([w.decode("utf-8", "replace") for w, _ in other]), strict=True):
             out[w] = np.array(ids, "<u4").tobytes()
         return out
 
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        """A letter and the full stops or commas after it are always split, so stems are learnt apart."""
-        parts = {}
-        for w in new:
-            stem = w.rstrip(b".,")
-            if stem.isalpha():  # ASCII only, as these are bytes
-                parts[w] = (stem.lower(), w[len(stem) :])
-                continue
-            last = stem[-4:].decode("utf-8", "ignore")[-1:]
-            parts[w] = (stem, w[len(stem) :]) if last.lower().isalpha() and last < LETTERS_BELOW else (w, b"")
-        if len(self.stems) > CACHE_WORDS:
-            self.stems = {}
-        ask = {p for pair in parts.values() for p in pair if p} - self.stems.keys()
-        self.stems.update(self._encode(list(ask)))
-        self.stems[b""] = b""
-        out = {w: self.stems[a] + self.stems[b] for w, (a, b) in parts.items()}
-        for p in ask:
-            if len(p) > CACHED_WORD:
-                del self.stems[p]
-        return out
+    @staticmethod
+    def _letters(stem: bytes) -> bool:
+        t = stem.decode("utf-8", "replace")
+        return t.isalpha() and max(t) < LETTERS_BELOW and t.lower().isalpha()
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each UTF-8 text."""
