@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillframe.operators.correlation import corr_pairs, target_correlations
 from quillframe.operators.groups import prevalence_spread
 from quillframe.operators.profile import column_roles
-from quillframe.support import as_doubles, small_or_cut
+from quillframe.support import as_doubles, present, small_or_cut
 
 # Most categories that become columns of their own.
 MAX_CATEGORIES = 1_000
@@ -88,16 +88,17 @@ def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     scaled = {}
     for c in columns:
         mean, std = moments[c]["mean"], moments[c]["std"]
-        value = (F.col(c).cast("double") - F.lit(mean)) / F.lit(std)
+        value = (present(c, df.schema[c].dataType).cast("double") - F.lit(mean)) / F.lit(std)
         scaled[c] = value if std else F.lit(None).cast("double")
     return df.withColumns(scaled)
 
 
 def interactions(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Add the product ``a_x_b`` of each pair."""
-    return df.withColumns(
-        {f"{a}_x_{b}": F.col(a).cast("double") * F.col(b).cast("double") for a, b in pairs}
-    )
+    number = {
+        c: present(c, df.schema[c].dataType).cast("double") for pair in pairs for c in pair
+    }
+    return df.withColumns({f"{a}_x_{b}": number[a] * number[b] for a, b in pairs})
 
 
 def stratified_split(

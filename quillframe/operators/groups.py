@@ -8,12 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillframe.support import as_doubles, rows_from_one, small_or_cut
+from quillframe.support import as_doubles, present, rows_from_one, small_or_cut
+
+
+def _known(df: DataFrame, target: str) -> DataFrame:
+    """Rows whose target is neither NULL nor NaN."""
+    known = present(target, df.schema[target].dataType)
+    return df.withColumn(target, known).where(F.col(target).isNotNull())
 
 
 def _class_counts(df: DataFrame, target: str) -> DataFrame:
     return (
-        df.where(F.col(target).isNotNull())
+        _known(df, target)
         .groupBy(F.col(target).alias("class"))
         .agg(F.count("*").alias("n"))
     )
@@ -49,7 +55,7 @@ def group_means(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame
         ).alias(f"m{i}")
         for i, c in enumerate(columns)
     ]
-    data = as_doubles(df, columns, [target])
+    data = as_doubles(df.withColumn(target, present(target, df.schema[target].dataType)), columns, [target])
     wide = data.groupBy(F.col(target).alias("class")).agg(*means)
     return wide.select("class", F.inline(F.array(*[f"m{i}" for i in range(len(columns))])))
 
@@ -83,7 +89,7 @@ def prevalence(df: DataFrame, target: str, dims: Sequence[str]) -> DataFrame:
     """``(dimension, value, n, positives, prevalence)`` of a 0/1 target, one job."""
     dims = list(dims)
     rows = df.select(
-        F.col(target).cast("double").alias("__y"),
+        present(target, df.schema[target].dataType).cast("double").alias("__y"),
         *[F.col(d).cast("string").alias(d) for d in dims],
     )
     return (

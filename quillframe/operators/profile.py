@@ -236,7 +236,7 @@ def range_truncation(df: DataFrame, plausible: dict[str, tuple[float, float]]) -
 
 def identity_residual(df: DataFrame, left: Column, right: Column) -> DataFrame:
     """How far ``left = right`` fails to hold: residual mean and deviation, r squared."""
-    pairs = df.select(left.cast("double").alias("l"), right.cast("double").alias("r"))
+    pairs = nan_to_null(df.select(left.cast("double").alias("l"), right.cast("double").alias("r")))
     gap = F.col("l") - F.col("r")
     return pairs.agg(
         F.count(gap).alias("n"),

@@ -8,7 +8,9 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import (
     Bucketizer,
+    Imputer,
     OneHotEncoder,
+    SQLTransformer,
     StandardScaler,
     StringIndexer,
     VectorAssembler,
@@ -27,10 +29,26 @@ _CUT_ROWS = 2_000_000
 
 
 def _prepared(numeric: Sequence[str], categorical: Sequence[str]) -> list:
-    """One-hot categories and standardised numbers in one sparse vector."""
-    numbers = VectorAssembler(inputCols=list(numeric), outputCol="__numbers", handleInvalid="skip")
-    scaled = StandardScaler(inputCol="__numbers", outputCol="__scaled", withMean=True)
-    stages, parts = [numbers, scaled], ["__scaled"]
+    """One-hot categories and standardised numbers in one sparse vector.
+
+    No row is left out: a missing number becomes the mean of the column, and a
+    second column says that it was missing.
+    """
+    given = [f"__{c}_number" for c in numeric]
+    missing = [f"__{c}_missing" for c in numeric]
+    filled = [f"__{c}_filled" for c in numeric]
+    added = ", ".join(
+        f"CAST(`{c}` AS DOUBLE) AS `{g}`, "
+        f"CAST(`{c}` IS NULL OR isnan(CAST(`{c}` AS DOUBLE)) AS DOUBLE) AS `{m}`"
+        for c, g, m in zip(numeric, given, missing, strict=True)
+    )
+    stages = [
+        SQLTransformer(statement=f"SELECT *, {added} FROM __THIS__"),
+        Imputer(inputCols=given, outputCols=filled),
+        VectorAssembler(inputCols=[*filled, *missing], outputCol="__numbers"),
+        StandardScaler(inputCol="__numbers", outputCol="__scaled", withMean=True),
+    ]
+    parts = ["__scaled"]
     if categorical:
         indexed = [f"__{c}_index" for c in categorical]
         coded = [f"__{c}_code" for c in categorical]

@@ -10,7 +10,8 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.functions import fixed_values as V
@@ -22,14 +23,34 @@ from quillframe.operators.verdicts import first_valid_attempt, newest_per_id
 _WORDS = 1 << 16
 
 
-def prompts(comments: DataFrame) -> DataFrame:
+def _read_order(comments: DataFrame) -> Column:
+    """A sortable number or text per row: by file, then place in the file; else as partitions lie.
+
+    Splits of files are dealt to tasks by size, so the number of a task says
+    nothing about the order of files.
+    """
+    here = F.monotonically_increasing_id()
+    try:
+        comments.select("_metadata.file_path", "_metadata.file_block_start")
+    except AnalysisException:
+        return here
+    parts = [F.lpad(n.cast("string"), 20, "0") for n in (F.col("_metadata.file_block_start"), here)]
+    return F.concat_ws("\t", F.col("_metadata.file_path"), *parts)
+
+
+def prompts(comments: DataFrame, order: str | None = None) -> DataFrame:
     """``(id, row_no, prompt, messages)`` from the first two columns, by position.
 
-    ``row_no`` follows the order in which the rows are read.
+    ``row_no`` is the column ``order`` if named, else the order of the rows in
+    their files.
     """
-    pair = first_two_columns(comments).toDF("id", "comment")
-    row_no = F.monotonically_increasing_id().alias("row_no")
-    asked = pair.select("id", row_no, moderation_prompt(F.col("comment")).alias("prompt"))
+    row_no = F.col(f"`{order}`") if order else _read_order(comments)
+    key, comment = first_two_columns(comments).columns
+    asked = comments.select(
+        F.col(f"`{key}`").alias("id"),
+        row_no.alias("row_no"),
+        moderation_prompt(F.col(f"`{comment}`")).alias("prompt"),
+    )
     return asked.withColumn("messages", chat_messages(F.lit(V.MODERATION_SYSTEM), F.col("prompt")))
 
 
@@ -109,9 +130,9 @@ def ask(
                         break
             yield pd.DataFrame(tries, columns=names)
 
-    key_type = asked.schema["id"].dataType.simpleString()
+    key_type, order_type = (asked.schema[c].dataType.simpleString() for c in ("id", "row_no"))
     return asked.select("id", "row_no", "prompt").mapInPandas(
-        run, f"id {key_type}, row_no bigint, attempt int, raw string, error string"
+        run, f"id {key_type}, row_no {order_type}, attempt int, raw string, error string"
     )
 
 
@@ -119,11 +140,13 @@ def moderate(
     comments: DataFrame,
     make_client: Callable[[], Callable[[str], str]],
     max_attempts: int = V.MAX_ATTEMPTS,
+    order: str | None = None,
 ) -> DataFrame:
     """``(id, verdict, reason)`` for a comments table, whole and in parallel.
 
-    Of rows with the same id the last one counts.
+    Of rows with the same id the last one counts: by the column ``order``, else by
+    file and place in the file.
     """
-    tries = ask(prompts(comments), make_client, max_attempts)
+    tries = ask(prompts(comments, order), make_client, max_attempts)
     verdicts = first_valid_attempt(tries, "id", "row_no", max_attempts=max_attempts)
     return newest_per_id(verdicts, "id", "row_no").drop("place")

@@ -13,7 +13,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quillframe.functions import fixed_values as V
 from quillframe.plans.moderation import moderate
-from quillframe.support import scratch_path
 
 COMMENTS_SCHEMA = "id string, comment_text string"
 
@@ -23,7 +22,7 @@ def moderate_new_files(
     source: str,
     sink: str,
     make_client: Callable[[], Callable[[str], str]],
-    progress: str | None = None,
+    progress: str,
     max_attempts: int = V.MAX_ATTEMPTS,
 ) -> StreamingQuery:
     """Score the CSV comment files not seen yet and append verdict rows as JSON.
@@ -44,7 +43,7 @@ def moderate_new_files(
 
     return (
         comments.writeStream.foreachBatch(score)
-        .option("checkpointLocation", progress or scratch_path(spark, "moderation"))
+        .option("checkpointLocation", progress)
         .trigger(availableNow=True)
         .start()
     )

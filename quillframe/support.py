@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -15,8 +16,18 @@ SMALL_SIDE_ROWS = 20_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as named by the session."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """The folder every executor can reach, as named by the session.
+
+    Only a session on one machine may leave it unnamed; anywhere else a folder of
+    our own would lie on one machine's disk.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.conf.get("spark.master", "local")
+    if not re.match(r"local(\[[^\]]*\])?$", master or ""):
+        raise ValueError("name a shared folder in spark.checkpoint.dir")
+    return _own_dir()
 
 
 @cache

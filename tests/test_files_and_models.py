@@ -131,7 +131,7 @@ COMMENTS = [
 
 
 def test_moderation_of_a_comments_table(spark):
-    df = spark.createDataFrame(COMMENTS, "code string, body string").coalesce(1)
+    df = spark.createDataFrame(COMMENTS, "code string, body string")
     found = {r["id"]: (r["verdict"], r["reason"]) for r in
              moderation.moderate(df, _client_factory).collect()}
     assert found["1"] == ("toxic", "You are an idiot")
@@ -142,6 +142,24 @@ def test_moderation_of_a_comments_table(spark):
     assert found["6"] == ("toxic", "second idiot")
 
 
+def test_last_row_of_an_id_counts_by_file_then_place(spark, tmp_path):
+    filler = "".join(f"{i},fine words here\n" for i in range(100, 3000))
+    (tmp_path / "a.csv").write_text("code,body\n1,old\n")
+    (tmp_path / "b.csv").write_text("code,body\n1,newer idiot\n" + filler + "2,first\n2,later idiot\n")
+    df = spark.read.csv(str(tmp_path), header=True)
+    found = {r["id"]: r["reason"] for r in moderation.moderate(df, _client_factory).collect()}
+    assert found["1"] == "newer idiot" and found["2"] == "later idiot"
+
+
+def test_rows_with_missing_numbers_are_scored(spark):
+    rows = [(i, float(i % 7) if i % 4 else None, "a" if i % 3 else None, i % 2) for i in range(80)]
+    rows += [(90, float("nan"), "b", 1)]
+    df = spark.createDataFrame(rows, "i int, x double, c string, y int")
+    for fit in (modelling.fit_logistic, modelling.fit_gbt):
+        scored = modelling.with_score(fit(df, "y", ["x"], ["c"]), df)
+        assert scored.count() == len(rows) and scored.where("score IS NULL").count() == 0
+
+
 def test_stream_scores_each_file_once(spark, tmp_path):
     source, sink, progress = (tmp_path / n for n in ("in", "out", "progress"))
     source.mkdir()

@@ -340,6 +340,25 @@ def test_own_folder_only_where_none_is_named(spark, monkeypatch):
 
     assert support.shared_dir(Unnamed) == support.shared_dir(Unnamed)
 
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default: "yarn" if key == "spark.master" else default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        support.shared_dir(Cluster)
+
+
+def test_nan_target_is_missing(spark):
+    rows = [(1.0, "p", 2.0), (0.0, "p", float("nan")), (float("nan"), "q", 1.0), (None, "q", 3.0)]
+    df = spark.createDataFrame(rows, "y double, d string, x double")
+    assert {r["class"]: r["n"] for r in groups.class_balance(df, "y").collect()} == {1.0: 1, 0.0: 1}
+    assert {r["class"]: r["weight"] for r in groups.class_weights(df, "y").collect()} == {1.0: 1, 0.0: 1}
+    rates = {r["value"]: (r["n"], r["prevalence"]) for r in groups.prevalence(df, "y", ["d"]).collect()}
+    assert rates == {"p": (2, 0.5), "q": (0, None)}
+    assert profile.identity_residual(df, F.col("x"), F.col("x")).first()["n"] == 3
+    assert features.interactions(df, [("y", "x")]).where("y_x_x IS NULL").count() == 3
+    assert features.standardize(df, ["x"]).where("x IS NULL").count() == 1
+
 
 def test_joins_stay_right_without_broadcast(health, monkeypatch):
     frame, df = health
