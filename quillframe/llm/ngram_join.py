@@ -7,7 +7,7 @@
    order puts n-grams that a sample of documents shows to be frequent last, which
    keeps common passages out of the prefixes; any order gives the same result.
 3. First, in each tile (a prefix n-gram and a band of sizes) every set is compared
-   with the tile's least member only. Verified links give first components.
+   with one member only, in two rounds. Verified links give first components.
 4. Then tiles that hold more than one component are joined with themselves, for
    pairs of different components that pass the size and position bounds.
 5. Each candidate pair passes the bitmap bound (the bits in which two parity
@@ -38,7 +38,8 @@ from quillframe.llm.components import components
 
 # The sample that shows which n-grams are frequent: rows, and how many of them hold one.
 SAMPLE_ROWS, FREQUENT_IN = 8000, 8
-STAR_KEYS = 3
+# Places in the prefix (first, how many) whose tiles are compared with one member, round by round.
+STAR_ROUNDS = ((1, 3), (4, 8))
 CACHE_WORDS = 500_000
 # Ids brought to every task instead of shuffling texts: at most this many (8 bytes each).
 BROADCAST_IDS = 500_000
@@ -229,12 +230,25 @@ def groups(
         "ngram-sets",
     )
 
-    heads = sets.select("class", band(F.col("n"), percent).alias("band"), F.explode(F.slice("prefix", 1, STAR_KEYS)).alias("key"))
-    least = heads.groupBy("key", "band").agg(F.min("class").alias("a"), F.max("class").alias("top"))
-    least = least.filter("a <> top").drop("top")
-    stars = heads.join(least, ["key", "band"]).filter("class <> a").select("a", F.col("class").alias("b")).distinct()
-    first = _linked(stars, sets, df, id_col, text_col, size, percent)
-    roots = stored(components(first), "ngram-roots")
+    first = roots = None
+    for start, keys in STAR_ROUNDS:
+        heads = sets.select(
+            "class", band(F.col("n"), percent).alias("band"), F.explode(F.slice("prefix", start, keys)).alias("key")
+        )
+        if roots is not None:
+            heads = heads.join(roots.withColumnRenamed("node", "class"), "class", "left")
+        heads = heads.withColumn("root", F.coalesce("root", "class") if roots is not None else F.col("class"))
+        # Another member leads each tile, so that one odd set does not lead them all.
+        lead = F.min(F.struct(F.xxhash64("class", "key"), F.col("class").alias("a"), F.col("root").alias("lead")))
+        least = heads.groupBy("key", "band").agg(
+            lead.alias("lead"), F.min("root").alias("low"), F.max("root").alias("high")
+        )
+        least = least.filter("low <> high").select("key", "band", "lead.a", "lead.lead")
+        stars = heads.join(least, ["key", "band"]).filter("root <> lead")
+        stars = stars.select("a", F.col("class").alias("b")).distinct()
+        found = _linked(stars, sets, df, id_col, text_col, size, percent)
+        first = found if first is None else first.union(found)
+        roots = stored(components(first), "ngram-roots")
 
     rows = sets.select("class", "n", F.posexplode("prefix").alias("pos", "key"))
     rows = rows.join(roots.withColumnRenamed("node", "class"), "class", "left")
