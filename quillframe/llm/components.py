@@ -8,15 +8,22 @@ from pyspark.sql import functions as F
 from quillframe.llm.common import stored
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(node, root) for every node with an edge; ``edges`` has columns a and b of one type.
 
+    ``known`` is the result for earlier edges of the same graph: ``edges`` then
+    holds the new ones only, and of the earlier nodes only roots take part in the rounds.
+
     The root is the smallest node reachable. Each round replaces neighbours by
     the smallest one known, first for larger neighbours, then for smaller ones;
     only minima per node are aggregated, so a hot node is never gathered. Every
     round is written to the shared folder. Nodes joined only to themselves, and
     nulls, are left out; an empty table gives none.
     """
+    if known is not None:
+        for c in ("a", "b"):
+            edges = edges.join(known.toDF(c, "known_root"), c, "left")
+            edges = edges.withColumn(c, F.coalesce("known_root", c)).drop("known_root")
     now = stored(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(),
         "edges",
@@ -36,4 +43,9 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = tuple(count)
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+    found = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+    if known is None:
+        return found
+    found = stored(found, "merged")
+    moved = known.join(found.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return moved.union(found.join(known.select("node"), "node", "left_anti"))

@@ -230,7 +230,7 @@ def groups(
         "ngram-sets",
     )
 
-    first = roots = None
+    roots = None
     for start, keys in STAR_ROUNDS:
         heads = sets.select(
             "class", band(F.col("n"), percent).alias("band"), F.explode(F.slice("prefix", start, keys)).alias("key")
@@ -247,8 +247,7 @@ def groups(
         stars = heads.join(least, ["key", "band"]).filter("root <> lead")
         stars = stars.select("a", F.col("class").alias("b")).distinct()
         found = _linked(stars, sets, df, id_col, text_col, size, percent)
-        first = found if first is None else first.union(found)
-        roots = stored(components(first), "ngram-roots")
+        roots = stored(components(found, known=roots), "ngram-roots")
 
     rows = sets.select("class", "n", F.posexplode("prefix").alias("pos", "key"))
     rows = rows.join(roots.withColumnRenamed("node", "class"), "class", "left")
@@ -270,8 +269,7 @@ def groups(
         .distinct()
     )
     second = _linked(pairs, sets, df, id_col, text_col, size, percent)
-    links = first.union(second)
-    roots = stored(components(links), "ngram-roots")
+    roots = stored(components(second, known=roots), "ngram-roots")
 
     named = sets.select("class", "id").join(roots.withColumnRenamed("node", "class"), "class", "left")
     named = named.withColumn("root", F.coalesce("root", "class"))

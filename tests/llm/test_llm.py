@@ -363,6 +363,9 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     joined = {a for p in pairs if p[0] != p[1] for a in p}
     assert got == {a: find(a) for a in joined}
+    half = components.components(spark.createDataFrame(pairs[:130], "a long, b long"))
+    both = components.components(spark.createDataFrame(pairs[130:], "a long, b long"), known=half).collect()
+    assert len(both) == len(got) and {r["node"]: r["root"] for r in both} == got
 
 
 def test_ngram_join_against_all_pairs(spark, docs, empty):
