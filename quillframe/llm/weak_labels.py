@@ -141,11 +141,12 @@ def _sampled(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     """(feature numbers, patterns fired, labels) of the sampled rows."""
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y"))
     known = known.filter(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id")))
+    # An id labelled more than once counts once, as toxic if any of its labels says so.
+    known = known.groupBy("id").agg(F.max("y").alias("y"))
     chosen = None
     for y in (0, 1):
         some = known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(CLASS_ROWS)
         chosen = some if chosen is None else chosen.union(some)
-    chosen = chosen.dropDuplicates(["id"])
     rows = df.select(F.col(f"`{id_col}`").alias("id"), text(text_col).alias("text")).join(F.broadcast(chosen), "id")
 
     def make():
@@ -153,6 +154,7 @@ def _sampled(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
 
         def work(given: dict[str, list]) -> dict[str, list]:
             return {
+                "id": given["id"],
                 "y": given["y"],
                 "features": [sorted(features.of(t)) for t in given["text"]],
                 "fired": [[bool(p.search(t)) for p in PATTERNS.values()] for t in given["text"]],
@@ -160,9 +162,12 @@ def _sampled(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
 
         return work
 
+    kind = df.schema[id_col].dataType.simpleString()
     found = map_rows(
-        rows.select("y", "text"), {"y": F.col("y"), "text": F.col("text")}, make, "y int, features array<int>, fired array<boolean>"
-    ).toPandas()
+        rows, {c: F.col(c) for c in ("id", "y", "text")}, make, f"id {kind}, y int, features array<int>, fired array<boolean>"
+    )
+    # One row an id, so that the bound holds for ids with many rows.
+    found = found.groupBy("id").agg(F.min(F.struct("y", "features", "fired")).alias("row")).select("row.*").toPandas()
     # The same rows in any order of arrival.
     found["order"] = [zlib.crc32(np.asarray(f, np.int32).tobytes()) for f in found["features"]]
     found = found.sort_values(["order", "y"], kind="stable")

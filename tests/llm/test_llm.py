@@ -187,6 +187,14 @@ def test_toxicity_learns_and_leaves_held_out_rows_alone(spark, empty):
     assert weak_labels.score(empty, known).count() == 0
 
 
+def test_toxicity_learns_once_from_an_id(spark):
+    a, b = [i for i in range(20) if zlib.crc32(str(i).encode()) % 5][:2]
+    docs = spark.createDataFrame([(a, "one two")] * 30 + [(a, "three"), (b, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(a, 0)] * 9 + [(a, 1), (b, 0)], "doc_id long, toxic int")
+    *_, y = weak_labels._sampled(docs, labels, "doc_id", "text", "toxic")
+    assert sorted(y) == [0, 1]
+
+
 def test_toxicity_on_awkward_rows(docs, spark):
     known = spark.createDataFrame([(1, 1), (5, 0), (None, 1), (7, None)], "doc_id long, toxic int")
     rows = weak_labels.score(clashing(docs), known).collect()
