@@ -28,7 +28,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each line kept at its first occurrence only."""
-    return _counted(line_dedup.dedup(docs))
+    return _counted(line_dedup.dedup(docs, whole=True))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

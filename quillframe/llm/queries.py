@@ -154,7 +154,7 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup(_table(spark, sf_dir, "documents"), report=True).withColumnRenamed("id", "doc_id")
+    return line_dedup.dedup(_table(spark, sf_dir, "documents"), report=True, whole=True).withColumnRenamed("id", "doc_id")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -306,6 +306,47 @@ def test_line_dedup_against_all_pairs(spark, empty):
     assert line_dedup.dedup(empty).count() == 0
 
 
+def test_whole_line_dedup_against_edit_similarity_alone(spark, empty):
+    """Every pair of 0.8 and more, by length; SimHash found few of them."""
+    rng = random.Random(17)
+    common = ["the", "of", "and", "to", "in"]
+    pool = []
+    for size in (5, 6, 9, 10, 11, 12, 13, 20, 21, 24, 25, 26, 40, 100):
+        for _ in range(3):
+            pool.append([rng.choice(common) if rng.random() < 0.4 else "".join(rng.choices("abcdefghij", k=4)) for _ in range(size)])
+    rows = []
+    for i in range(260):
+        words = list(rng.choice(pool))
+        for _ in range(rng.randint(0, max(1, len(words) // 5))):
+            at = rng.randrange(len(words))
+            kind = rng.randrange(3)
+            words[at : at + 1] = [[], ["new" + rng.choice("abc")], [words[at], "added"]][kind]
+        rows.append((i, " ".join(words)))
+    lines = [tuple(line_dedup.line_words(t.encode())) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    links = collections.Counter()
+    for a in range(len(rows)):
+        for b in range(a):
+            longest = max(len(lines[a]), len(lines[b]))
+            alike = 5 * line_dedup.edit_distance(list(lines[a]), list(lines[b])) <= longest
+            if lines[a] == lines[b] or (alike and min(len(lines[a]), len(lines[b])) >= 5):
+                links[longest // 10] += lines[a] != lines[b]
+                high, low = max(find(a), find(b)), min(find(a), find(b))
+                root[high] = low
+    assert min(links[k] for k in (0, 1, 2, 4, 10)) > 0
+    out = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), whole=True)
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    for i, t in rows:
+        assert got[i] == ("" if find(i) != i and len(lines[i]) >= 5 else t), (i, t)
+    assert line_dedup.dedup(empty, whole=True).count() == 0
+
+
 def test_base_patterns_against_plain_regular_expressions():
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     ip, card, phone = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
