@@ -347,6 +347,27 @@ def test_whole_line_dedup_against_edit_similarity_alone(spark, empty):
     assert line_dedup.dedup(empty, whole=True).count() == 0
 
 
+def test_whole_line_dedup_of_short_lines_and_scripts_without_spaces(spark):
+    han = "今天天气很好我们一起去公园散步然后回家吃饭"
+    rows = [
+        (1, "Subscribe now\n\nfirst\n***\n" + han),
+        (2, "subscribe now!\n\nsecond\n---\n" + han[:-1] + "酒。"),
+        (3, " \n***\nSubscribe later\n完全不同的一句话在这里出现了一次而已\nขอบคุณ\nขอบคุณ"),
+        (4, "完全\n完全\nfirst"),
+    ]
+    out = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), report=True, whole=True)
+    got = {r["id"]: (r["text"], r["n_removed"]) for r in out.collect()}
+    assert got == {
+        1: (rows[0][1], 0),
+        2: ("\nsecond\n---", 2),
+        3: (" \nSubscribe later\n完全不同的一句话在这里出现了一次而已\nขอบคุณ", 2),
+        4: ("完全", 2),
+    }
+    assert line_dedup.line_words("Café, naïve 12 日本。한국어 말".encode()) == [
+        w.encode() for w in ("café", "naïve", "00", "日", "本", "한국어", "말")
+    ]
+
+
 def test_base_patterns_against_plain_regular_expressions():
     email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
     ip, card, phone = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
