@@ -9,9 +9,11 @@ sampled row is what a logistic regression on hashed words and word beginnings is
 fitted to. Every whole text is then scored by that regression in its own row.
 
 The fit uses at most ``CLASS_ROWS`` labelled rows of either class, the same ones for
-the same table, gathered on the driver as feature numbers. Scores see only the text.
+the same table, gathered on the driver as feature numbers. Their weights give the
+toxic ones the share ``PRIOR``, so that verdicts do not follow the class shares of the
+table or of the sample. Scores see only the text.
 
-Null and empty texts have no features and get the score of the base rate; null
+Null and empty texts have no features and get the score of the intercept; null
 labels are not learnt from; repeated rows score alike; without any labelled row
 all scores are 0; an empty table gives an empty result. Only the named columns are
 read.
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from quillframe.llm.common import map_rows, text
 
 CLASS_ROWS = 5000
+# The share that toxic rows are taken to have, at every size of table and sample.
+PRIOR = 0.5
 BUCKETS = 1 << 20
 BEGINNING = 5
 LEARNT_VOTERS, LEAST_ROWS, LEAST_ODDS = 60, 5, 12
@@ -75,24 +79,27 @@ class LabelModel:
     say: np.ndarray
 
 
-def fit_label_model(votes: np.ndarray, start: np.ndarray, two_sided: np.ndarray, trusted: np.ndarray, rounds: int = 20) -> LabelModel:
+def fit_label_model(votes: np.ndarray, start: np.ndarray, two_sided: np.ndarray, trusted: np.ndarray, rounds: int = 20, weight: np.ndarray | None = None) -> LabelModel:
     """Accuracies and correlations of voters (rows x voters, fired or not) by expectation maximisation.
 
     A voter that does not fire abstains, but for the ``two_sided`` ones. Shares of
     ``trusted`` voters start from, and are held near, firing on 95 and 5 of a
-    hundred rows of either class; those of all others come from the rows alone.
+    hundred rows of either class; those of all others come from the rows alone. Rows count by ``weight``.
     """
     n, m = votes.shape
     fired = votes.astype(np.float64)
+    weight = np.ones(n) if weight is None else weight * (n / weight.sum())
     p = np.clip(start.astype(np.float64), 0.02, 0.98)
     say, correlation = np.ones(m), np.eye(m)
     held = np.where(trusted, float(n), 1.0)
     for _ in range(rounds):
-        on_toxic = (fired.T @ p + held * np.where(trusted, 0.95, 0.1)) / (p.sum() + held)
-        on_clean = (fired.T @ (1 - p) + held * np.where(trusted, 0.05, 0.1)) / ((1 - p).sum() + held)
-        base = np.clip(p.mean(), 0.001, 0.999)
+        toxic, clean = weight * p, weight * (1 - p)
+        on_toxic = (fired.T @ toxic + held * np.where(trusted, 0.95, 0.1)) / (toxic.sum() + held)
+        on_clean = (fired.T @ clean + held * np.where(trusted, 0.05, 0.1)) / (clean.sum() + held)
+        base = np.clip(toxic.mean(), 0.001, 0.999)
         # What the classes leave unexplained, by pairs of voters.
         rest = fired - (p[:, None] * on_toxic + (1 - p)[:, None] * on_clean)
+        rest *= np.sqrt(weight)[:, None]
         spread = np.sqrt((rest * rest).sum(axis=0)) + 1e-9
         correlation = (rest.T @ rest) / np.outer(spread, spread)
         say = 1 / (1 + np.clip(np.abs(correlation) - np.eye(m) - 0.1, 0, None).sum(axis=1))
@@ -103,9 +110,12 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, two_sided: np.ndarray,
     return LabelModel(p, on_toxic, on_clean, correlation, say)
 
 
-def fit_linear(rows: list[np.ndarray], target: np.ndarray, steps: int = 300, rate: float = 1.0, shrink: float = 3e-4) -> tuple[np.ndarray, float]:
+def fit_linear(
+    rows: list[np.ndarray], target: np.ndarray, of_row: np.ndarray, steps: int = 300, rate: float = 1.0, shrink: float = 3e-4
+) -> tuple[np.ndarray, float]:
     """Logistic regression on present features with soft targets: gradient steps with momentum, L2.
 
+    Rows count by the weights ``of_row``.
     Features are centred on their shares, so the intercept takes up what all rows
     have in common; features of fewer than LEAST_ROWS rows are left out.
     """
@@ -113,11 +123,10 @@ def fit_linear(rows: list[np.ndarray], target: np.ndarray, steps: int = 300, rat
     rows = [r[counts[r] >= LEAST_ROWS] for r in rows]
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     used, flat = np.unique(np.concatenate(rows), return_inverse=True)
-    share = np.bincount(flat, minlength=len(used)) / len(rows)
-    # The rarer class weighs more, by the root of the ratio of the two.
-    weight = target * np.sqrt((1 - target.mean() + 1e-3) / (target.mean() + 1e-3)) + 1 - target
+    weight = of_row
+    share = np.bincount(flat, weight[owner], minlength=len(used)) / weight.sum()
     w, move_w = np.zeros(len(used)), np.zeros(len(used))
-    base = np.clip(target.mean(), 0.001, 0.999)
+    base = np.clip((weight * target).sum() / weight.sum(), 0.001, 0.999)
     b, move_b = float(np.log(base / (1 - base))), 0.0
     for _ in range(steps):
         z = np.bincount(owner, w[flat], minlength=len(rows)) + (b - share @ w)
@@ -176,6 +185,14 @@ def _sampled(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     return features, fired, found["y"].to_numpy()
 
 
+def class_weights(y: np.ndarray) -> np.ndarray:
+    """Weights that give the rows labelled toxic the share PRIOR of all, whatever their number."""
+    toxic = int((y == 1).sum())
+    if toxic in (0, len(y)):
+        return np.ones(len(y))
+    return np.where(y == 1, PRIOR / toxic, (1 - PRIOR) / (len(y) - toxic)) * len(y)
+
+
 def learnt_voters(features: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Features that are many times as frequent on label 1 as on label 0."""
     toxic = np.bincount(np.concatenate([f for f, t in zip(features, y, strict=True) if t == 1] or [np.zeros(0, np.int64)]), minlength=BUCKETS)
@@ -191,6 +208,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col:
     features, fired, y = _sampled(df, labels, id_col, text_col, label_col)
     if not features:
         return None
+    weight = class_weights(y)
     find = Features()
     voters = list(dict.fromkeys([find[w][0] for w in LEXICON] + learnt_voters(features, y).tolist()))
     place = {f: i for i, f in enumerate(voters)}
@@ -202,9 +220,8 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col:
     sides[-2:] = True  # the label, and whether any other voter fired
     trusted = np.zeros(votes.shape[1], bool)
     trusted[-2] = True
-    model = fit_label_model(votes, 0.5 * (y == 1) + 0.45 * votes[:, -1], sides, trusted)
-    w, b = fit_linear(features, model.posterior)
-    return w, b
+    model = fit_label_model(votes, 0.5 * (y == 1) + 0.45 * votes[:, -1], sides, trusted, weight=weight)
+    return fit_linear(features, model.posterior, weight)
 
 
 def score(

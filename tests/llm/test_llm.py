@@ -195,6 +195,24 @@ def test_toxicity_learns_once_from_an_id(spark):
     assert sorted(y) == [0, 1]
 
 
+def test_toxicity_verdicts_do_not_move_with_the_size_of_the_table(spark, monkeypatch):
+    """A table past the bound of one class, and of both: the sample's class shares differ."""
+    monkeypatch.setattr(weak_labels, "CLASS_ROWS", 400)
+    verdicts = []
+    for size in (800, 6400):
+        rows, labels = [], []
+        for i in range(size):
+            bad = i % 10 == 1
+            marked = (i // 10) % 10 < (6 if bad else 3)
+            rows.append((i, "alpha beta zorg" if marked else "alpha beta"))
+            labels.append((i, int(bad)))
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        known = spark.createDataFrame(labels, "doc_id long, toxic int")
+        verdicts.append({r["id"]: r["predicted"] for r in weak_labels.score(df, known).collect() if r["id"] < 800})
+    assert verdicts[0] == verdicts[1]
+    assert set(verdicts[0].values()) == {0, 1}
+
+
 def test_toxicity_on_awkward_rows(docs, spark):
     known = spark.createDataFrame([(1, 1), (5, 0), (None, 1), (7, None)], "doc_id long, toxic int")
     rows = weak_labels.score(clashing(docs), known).collect()
