@@ -15,6 +15,9 @@ read.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +43,22 @@ _BSD_THIRD = """
 """
 _BSD_END = """
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BULLETS = _BSD_START.replace("1. ", "* ").replace("2. ", "* "), _BSD_THIRD.replace("3. ", "* ")
+
+
+# A statement names a sign, a year or a place for one; a wrapped sentence may begin with "copyright notice".
+COPYRIGHT_LINE = (
+    r"(?m)^[ \t]*(copyright[^\n]*(\(c\)|©|(19|20)[0-9][0-9]|[\[<{](yyyy|year))|\(c\)[ \t]*copyright"
+    r"|\(c\)[^\n]*(19|20)[0-9][0-9]|©|all rights reserved[. \t]*$)[^\n]*$"
+)
+
+
+def _full(name: str) -> str:
+    """A stored text on one line, without its copyright lines."""
+    body = (Path(__file__).parent / "licence_texts" / f"{name}.txt").read_text("utf-8")
+    return " ".join(re.sub(COPYRIGHT_LINE, "", body, flags=re.IGNORECASE).split())
+
+
 KNOWN: list[tuple[str, str]] = [
     ("MIT", _MIT_GRANT),
     ("MIT", "MIT License\n\n" + _MIT_GRANT),
@@ -70,6 +89,21 @@ KNOWN: list[tuple[str, str]] = [
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
     ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("Apache-2.0", _full("Apache-2.0")),
+    ("Apache-2.0", _full("Apache-2.0").split("APPENDIX:")[0]),
+    ("GPL-2.0-only", _full("GPL-2")),
+    ("GPL-3.0-only", _full("GPL-3")),
+    ("LGPL-2.1-only", _full("LGPL-2.1")),
+    ("GPL-2.0-only", _full("GPL-2").split("How to Apply These Terms")[0]),
+    ("GPL-3.0-only", _full("GPL-3").split("How to Apply These Terms")[0]),
+    ("LGPL-2.1-only", _full("LGPL-2.1").split("How to Apply These Terms")[0]),
+    ("LGPL-3.0-only", _full("LGPL-3")),
+    ("MPL-2.0", _full("MPL-2.0")),
+    ("CC0-1.0", _full("CC0-1.0")),
+    ("BSD-2-Clause", _BULLETS[0] + _BSD_END),
+    ("BSD-2-Clause", "BSD 2-Clause License\n\n" + _BULLETS[0] + _BSD_END),
+    ("BSD-3-Clause", _BULLETS[0] + _BULLETS[1] + _BSD_END),
+    ("BSD-3-Clause", "BSD 3-Clause License\n\n" + _BULLETS[0] + _BULLETS[1] + _BSD_END),
 ]
 # Spellings taken as equal: the first is written as the second.
 SPELLINGS = [
@@ -84,7 +118,6 @@ SPELLINGS = [
     ("copyright owner", "copyright holder"),
     ("https://", "http://"),
 ]
-COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
 OTHER_THAN_WORDS = r"[^\p{L}\p{N}\n]+"
 
 

@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import pathlib
 import random
 import re
+import textwrap
 import zlib
 
 import duckdb
@@ -516,6 +518,22 @@ def test_licenses(spark, docs, empty):
     assert len(licenses.scan(clashing(docs)).collect()) == len(AWKWARD) and licenses.scan(empty).count() == 0
 
 
+def test_licenses_wrapped_with_bullets_and_in_full(spark):
+    """Texts of several lines at every usual width, so that any word may begin a line."""
+    rows, want = [], {}
+    for name, body in [(n, b) for n, b in licenses.KNOWN if 500 < len(b) < 4000]:
+        for width in range(70, 81):
+            wrapped = "\n\n".join(textwrap.fill(p, width, break_on_hyphens=False) for p in body.split("\n\n"))
+            rows.append((len(rows), "Copyright (c) 2001-2020, A. Name\nAll rights reserved.\n\n" + wrapped))
+            want[len(rows) - 1] = name
+    for path in sorted((pathlib.Path(licenses.__file__).parent / "licence_texts").glob("*.txt")):
+        rows.append((len(rows), path.read_text("utf-8").replace("\n", "\n  ")))
+        want[len(rows) - 1] = {"GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only"}.get(path.stem, path.stem)
+    assert {"ISC", "BSD-3-Clause", "Apache-2.0", "GPL-3.0-only", "MPL-2.0", "LGPL-2.1-only"} <= set(want.values())
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["id"]: r["license_id"] for r in got} == want
+
+
 def test_pipeline_stages(spark, docs, empty):
     for table in (docs, empty):
         now = table
