@@ -114,3 +114,26 @@ def even_shares(steps: int, ends: bool = True) -> Column:
 def rows_from_one(row: DataFrame, structs: list[Column]) -> DataFrame:
     """Turn a one-row frame into one row per struct, without another scan."""
     return row.select(F.inline(F.array(*structs)))
+
+
+def numbered(df: DataFrame, order: list[Column], name: str = "number") -> DataFrame:
+    """``df`` with a column ``name`` counting its rows from 0 in the given order.
+
+    Rows are sorted by ranges, one range a task, and written to the shared folder; the
+    driver sees only one count a range. Rows equal in all of ``order`` are numbered in any order.
+    """
+    spark = df.sparkSession
+    inner = F.monotonically_increasing_id().alias("_place")
+    path = scratch_path(spark, "numbered")
+    df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", inner).write.parquet(path)
+    placed = spark.read.parquet(path)
+    part = F.shiftright("_place", 33)
+    before, starts = 0, []
+    for r in placed.groupBy(part.alias("part")).count().orderBy("part").collect():
+        starts.append(F.struct(F.lit(r["part"]).cast("long").alias("part"), F.lit(before).cast("long").alias("start")))
+        before += r["count"]
+    within = F.col("_place").bitwiseAND((1 << 33) - 1)
+    if not starts:
+        return placed.select(*df.columns, F.lit(0).cast("long").alias(name)).limit(0)
+    table = F.map_from_entries(F.array(*starts))
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], (within + table[part]).alias(name))
