@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import bpe, hnsw, licenses, line_dedup, ngram_join, packing, pii, quality, url_filter, weak_labels
+from quillframe.llm import (
+    bpe, dialogue_repair, hnsw, lexical, licenses, line_dedup, mixing, ngram_join, packing, pii, quality, url_filter,
+    weak_labels,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -225,6 +228,69 @@ def _op10_sql() -> str:
     FROM docs LEFT JOIN found USING (row_id)"""
 
 
+def op11_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = mixing.shares(_table(spark, sf_dir, "documents"))
+    return told.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def _op11_sql() -> str:
+    """The stops by the order of size to weight; the threshold by a running sum over sorted hashes."""
+    weights = ", ".join(str(w) for w in mixing.WEIGHTS)
+    return f"""
+    WITH docs AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS hash,
+        len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+    sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS s,
+        [{weights}][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)}] AS w
+        FROM docs GROUP BY source),
+    placed AS (SELECT *, row_number() OVER o AS place, sum(w) OVER () - sum(w) OVER o AS rest_w,
+        sum(s) OVER () - {mixing.MOST} * sum(s) OVER o AS rest_s, sum(w) OVER () AS all_w, sum(s) OVER () AS all_s
+        FROM sources WINDOW o AS (ORDER BY CAST(s AS DOUBLE) / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+    steps AS (SELECT place, rest_w, rest_s FROM placed UNION ALL SELECT 0, max(all_w), max(all_s) FROM placed),
+    stop AS (SELECT min(p.place) - 1 AS place FROM placed p JOIN steps t ON t.place = p.place - 1
+        WHERE {mixing.MOST} * p.s * t.rest_w >= t.rest_s * p.w),
+    goals AS (SELECT source, s, CASE WHEN p.place <= stop.place THEN CAST({mixing.MOST} * s AS DOUBLE)
+        ELSE CAST(t.rest_s AS DOUBLE) * w / CAST(t.rest_w AS DOUBLE) END AS target
+        FROM placed p CROSS JOIN stop JOIN steps t ON t.place = stop.place),
+    times AS (SELECT *, CASE WHEN s > 0 THEN least(floor(target / s), {mixing.MOST}) ELSE 0 END AS times FROM goals),
+    rests AS (SELECT *, CASE WHEN times < {mixing.MOST} THEN greatest(target - times * s, 0) ELSE 0 END AS rest FROM times),
+    summed AS (SELECT doc_id, size, source, sum(size) OVER (PARTITION BY source ORDER BY left(hash, 15)) AS through,
+        sum(size) OVER (PARTITION BY source, left(hash, 15)) AS alike FROM docs)
+    SELECT doc_id, CAST(size AS BIGINT) AS size, r.s AS source_size, target, CAST(size * (times
+        + CASE WHEN 2 * (rest - (through - alike)) > alike THEN 1 ELSE 0 END) AS BIGINT) AS taken
+    FROM summed d JOIN rests r ON d.source IS NOT DISTINCT FROM r.source"""
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+def _op12_sql() -> str:
+    def terms(column: str) -> str:
+        lowered = f"translate(coalesce({column}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        pattern = r"[^\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+"
+        return f"regexp_extract_all({lowered}, '{pattern}')"
+
+    return f"""
+    WITH docs AS (SELECT row_number() OVER () AS row_id, doc_id, {terms('text')} AS terms FROM documents),
+    sizes AS (SELECT count(*) FILTER (len(terms) > 0) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM docs),
+    counts AS (SELECT row_id, doc_id, len(terms) AS n, term, count(*) AS tf
+        FROM (SELECT row_id, doc_id, terms, unnest(terms) AS term FROM docs) GROUP BY ALL),
+    weights AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w
+        FROM counts CROSS JOIN sizes GROUP BY term, n_docs),
+    items AS (SELECT DISTINCT item_id, text, unnest(list_distinct({terms('text')})) AS term FROM benchmark),
+    scored AS (SELECT item_id, text, row_id, doc_id, CAST(sum(w * ((1000000000 * tf)
+        // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+        FROM items JOIN counts USING (term) JOIN weights USING (term) CROSS JOIN sizes GROUP BY ALL),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS FIRST) AS rank
+        FROM scored WHERE score > 0)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= {lexical.K}"""
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue_repair.check(_table(spark, sf_dir, "conversations")).withColumnRenamed("conv", "conv_id")
+
+
 QUERIES: dict[str, Query] = {
     "op1_pack": op1_pack,
     "op2_url_filter": op2_url_filter,
@@ -236,9 +302,14 @@ QUERIES: dict[str, Query] = {
     "op8_ngram_join": op8_ngram_join,
     "op9_bpe": op9_bpe,
     "op10_licenses": op10_licenses,
+    "op11_mix": op11_mix,
+    "op12_lexical": op12_lexical,
+    "op13_repair": op13_repair,
 }
 ORACLES: dict[str, str] = {
     "op2_url_filter": _op2_sql(),
     "op3_quality": _op3_sql(),
     "op10_licenses": _op10_sql(),
+    "op11_mix": _op11_sql(),
+    "op12_lexical": _op12_sql(),
 }
