@@ -312,6 +312,34 @@ def _corr_pairs(spark, sf_dir):
     return found.select("a", "b", *_round(["r"]))
 
 
+# Columns with gaps of their own and one that is constant where the others are known.
+GAPS = """
+SELECT CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_quantity END AS a,
+  CASE WHEN l_orderkey % 11 = 0 THEN CAST('NaN' AS DOUBLE) ELSE l_extendedprice END AS b,
+  CASE WHEN l_linenumber = 3 THEN NULL ELSE l_discount + l_quantity / 100 END AS c,
+  CASE WHEN l_linenumber <> 3 THEN 0.1 ELSE l_tax END AS d,
+  1000000 + l_tax AS e
+FROM lineitem
+"""
+
+
+@_query(
+    "corr_pairs_gaps",
+    "WITH g AS MATERIALIZED (SELECT a, CASE WHEN NOT isnan(b) THEN b END AS b, c, d, e FROM ("
+    + GAPS
+    + ")) "
+    + " UNION ALL ".join(
+        f"""SELECT '{x}' AS a, '{y}' AS b, CASE WHEN MIN({x}) < MAX({x}) AND MIN({y}) < MAX({y})
+            THEN ROUND(CORR({x}, {y}), 4) END AS r
+        FROM g WHERE {x} IS NOT NULL AND {y} IS NOT NULL"""
+        for x, y in combinations("abcde", 2)
+    ),
+)
+def _corr_pairs_gaps(spark, sf_dir):
+    found = correlation.corr_pairs(_derive(spark, sf_dir, GAPS))
+    return found.select("a", "b", *_round(["r"]))
+
+
 @_query(
     "corr_long",
     " UNION ALL ".join(
@@ -351,6 +379,37 @@ def _scatter_points(spark, sf_dir):
     )
 
 
+@_query(
+    "scatter_sample",
+    """SELECT CAST(user_id AS DOUBLE) AS user_id, value, n FROM (
+        SELECT user_id, value, COUNT(*) AS n FROM events WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY 1, 2)
+    ORDER BY (CAST(ROUND(value * 100) AS BIGINT) * 7919 + user_id * 104729) % 1000003, user_id, value LIMIT 500""",
+)
+def _scatter_sample(spark, sf_dir):
+    points = _table(spark, sf_dir, "events")
+    # A hash that both engines can state.
+    hashed = F.expr("(CAST(ROUND(value * 100) AS BIGINT) * 7919 + CAST(user_id AS BIGINT) * 104729) % 1000003")
+    return correlation.scatter_sample(points, "user_id", "value", 500, hashed=hashed)
+
+
+@_query(
+    "scatter_grid",
+    """WITH p AS (SELECT CAST(l_extendedprice AS DOUBLE) AS x, CAST(l_quantity AS DOUBLE) AS y FROM lineitem),
+    ends AS (SELECT MIN(x) AS x0, MAX(x) AS x1, MIN(y) AS y0, MAX(y) AS y1 FROM p),
+    edges AS (SELECT i, CASE WHEN i = 50 THEN x1 ELSE i * ((x1 - x0) / 50) + x0 END AS xe,
+        CASE WHEN i = 50 THEN y1 ELSE i * ((y1 - y0) / 50) + y0 END AS ye FROM ends, range(51) t(i)),
+    cells AS (SELECT a.i + 1 AS x_bin, a.xe AS x_lo, b.xe AS x_hi FROM edges a JOIN edges b ON b.i = a.i + 1),
+    rows_ AS (SELECT a.i + 1 AS y_bin, a.ye AS y_lo, b.ye AS y_hi FROM edges a JOIN edges b ON b.i = a.i + 1)
+    SELECT CAST(x_bin AS INTEGER) AS x_bin, CAST(y_bin AS INTEGER) AS y_bin, ROUND(x_lo, 4) AS x_lo,
+        ROUND(x_hi, 4) AS x_hi, ROUND(y_lo, 4) AS y_lo, ROUND(y_hi, 4) AS y_hi, COUNT(*) AS n
+    FROM p JOIN cells ON x >= x_lo AND (x < x_hi OR (x_bin = 50 AND x = x_hi))
+        JOIN rows_ ON y >= y_lo AND (y < y_hi OR (y_bin = 50 AND y = y_hi)) GROUP BY ALL""",
+)
+def _scatter_grid(spark, sf_dir):
+    found = correlation.scatter_grid(_table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity")
+    return found.select("x_bin", "y_bin", *_round(["x_lo", "x_hi", "y_lo", "y_hi"]), "n")
+
+
 def _histogram_sql(c: str, source: str, bins: int = 20) -> str:
     return f"""
     SELECT '{c}' AS column_name, CAST(g.bin AS INTEGER) AS bin, g.lo, g.hi, COUNT(v.{c}) AS n

@@ -1,96 +1,149 @@
-"""Pearson correlations, pairwise complete."""
+"""Pearson correlations, pairwise complete, for all pairs of columns in one scan.
+
+Every task keeps one tile of co-moments: for each pair of columns the number of
+rows that have both, their means and centred products. An Arrow batch adds to it
+by a few matrix products of values and masks, so gaps cost nothing extra. Tiles
+are small (a row per pair and task) and are merged pair by pair.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.support import as_doubles, numeric_columns, rows_from_one
-
-# Pairs computed in one aggregation; wider tables take several passes so that
-# the generated code stays within what the JVM compiles.
-PAIRS_PER_PASS = 100
-GAPPY_PAIRS_PER_PASS = 6
-
-
-def pearson(x: str, y: str) -> Column:
-    """As an aggregate; NULL, not an error, when a column is constant."""
-    spread = F.sqrt(F.regr_sxx(x, y)) * F.sqrt(F.regr_syy(x, y))
-    return F.try_divide(F.regr_sxy(x, y), spread)
+from quillframe.support import as_doubles, cut_lineage, numeric_columns, small_or_cut
+
+# Rows, means and centred products of a pair, and the ranges that tell a constant exactly.
+_CELLS = ("n", "mx", "my", "cxx", "cyy", "cxy", "lx", "hx", "ly", "hy")
+_TILE = "i int, j int, " + ", ".join(f"{c} double" for c in _CELLS)
+
+
+class Moments:
+    """Co-moments of every column of ``x`` with every column of ``y``, over the rows that have both."""
+
+    def __init__(self, columns_x: int, columns_y: int):
+        shape = (columns_x, columns_y)
+        self.n, self.mx, self.my = np.zeros(shape), np.zeros(shape), np.zeros(shape)
+        self.cxx, self.cyy, self.cxy = np.zeros(shape), np.zeros(shape), np.zeros(shape)
+        self.lx, self.ly = np.full(shape, np.inf), np.full(shape, np.inf)
+        self.hx, self.hy = np.full(shape, -np.inf), np.full(shape, -np.inf)
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Rows of ``x`` and ``y``, NaN where a value is missing."""
+        batch = Moments(x.shape[1], y.shape[1])
+        dx, has_x, at_x = _centred(x)
+        dy, has_y, at_y = _centred(y)
+        batch.n = has_x.T @ has_y
+        some = np.maximum(batch.n, 1)
+        sx, sy = dx.T @ has_y, has_x.T @ dy
+        batch.mx, batch.my = at_x[:, None] + sx / some, at_y[None, :] + sy / some
+        batch.cxx = np.maximum((dx * dx).T @ has_y - sx * sx / some, 0)
+        batch.cyy = np.maximum(has_x.T @ (dy * dy) - sy * sy / some, 0)
+        batch.cxy = dx.T @ dy - sx * sy / some
+        batch.lx, batch.hx = _ranges(x, has_y)
+        low, high = _ranges(y, has_x)
+        batch.ly, batch.hy = low.T, high.T
+        self.merge(batch)
+
+    def merge(self, other: Moments) -> None:
+        n = self.n + other.n
+        share = other.n / np.maximum(n, 1)
+        dx, dy = other.mx - self.mx, other.my - self.my
+        both = self.n * share
+        self.cxx += other.cxx + dx * dx * both
+        self.cyy += other.cyy + dy * dy * both
+        self.cxy += other.cxy + dx * dy * both
+        self.mx += dx * share
+        self.my += dy * share
+        self.n = n
+        for low, high in (("lx", "hx"), ("ly", "hy")):
+            setattr(self, low, np.minimum(getattr(self, low), getattr(other, low)))
+            setattr(self, high, np.maximum(getattr(self, high), getattr(other, high)))
+
+
+def _ranges(x: np.ndarray, has_y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest of each column of ``x`` over the rows that each column of ``y`` has."""
+    low, high = np.empty((x.shape[1], has_y.shape[1])), np.empty((x.shape[1], has_y.shape[1]))
+    whole = None
+    for j in range(has_y.shape[1]):
+        rows = has_y[:, j] > 0
+        if rows.all():
+            whole = whole or _ends(x)
+            low[:, j], high[:, j] = whole
+        else:
+            low[:, j], high[:, j] = _ends(x[rows])
+    return low, high
+
+
+def _ends(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.fmin.reduce(x, axis=0, initial=np.inf), np.fmax.reduce(x, axis=0, initial=-np.inf)
+
+
+def _centred(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Deviations from a centre (0 where missing), the mask of values, and the centre.
+
+    The centre is the mean, kept within the range.
+    """
+    has = ~np.isnan(values)
+    filled = np.where(has, values, 0.0)
+    mean = filled.sum(axis=0) / np.maximum(has.sum(axis=0), 1)
+    low, high = _ends(values)
+    centre = np.where(low <= high, np.clip(mean, low, high), 0.0)
+    return np.where(has, values - centre, 0.0), has.astype(float), centre
+
+
+def _tiles(data: DataFrame, left: list[str], right: list[str]) -> DataFrame:
+    """The tile of each task, a row per pair of a left and a right column that occur together."""
+    columns = list(dict.fromkeys([*left, *right]))
+    x, y = [columns.index(c) for c in left], [columns.index(c) for c in right]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile = Moments(len(x), len(y))
+        with np.errstate(invalid="ignore", over="ignore"):
+            for batch in batches:
+                if batch.num_rows:
+                    values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                    tile.add(values[:, x], values[:, y])
+        for i in range(len(x)):
+            j = np.flatnonzero(tile.n[i])
+            if len(j):
+                arrays = [np.full(len(j), i, np.int32), j.astype(np.int32), *[getattr(tile, c)[i, j] for c in _CELLS]]
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["i", "j", *_CELLS])
+
+    return data.select(*columns).mapInArrow(run, _TILE)
 
 
 def _pairs(data: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """``(a, b, r)`` for the given pairs.
-
-    One pass finds means, ranges and gaps. Between two columns without gaps the
-    second pass needs a single sum per pair, of products of centred values. A
-    pair with a gap somewhere is computed on its own complete rows.
-    """
-    columns = sorted({c for pair in pairs for c in pair})
-    seen = data.agg(
-        F.count("*").alias("__rows"),
-        *[
-            F.struct(
-                F.count(c).alias("n"), F.avg(c).alias("mean"),
-                F.min(c).alias("lo"), F.max(c).alias("hi"),
-            ).alias(c)
-            for c in columns
-        ],
-    ).first()
-    constant = {c for c in columns if seen[c]["lo"] == seen[c]["hi"]}
-    whole = {c for c in columns if seen[c]["n"] == seen["__rows"]}
-    varied = [p for p in pairs if not constant & set(p)]
-    plain = [p for p in varied if whole >= set(p)]
-    gappy = [p for p in varied if not whole >= set(p)]
-
-    def named(a: str, b: str, r: Column) -> Column:
-        return F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r"))
-
-    def plain_pass(some: list[tuple[str, str]]) -> DataFrame:
-        used = sorted({c for pair in some for c in pair})
-        at = {c: i for i, c in enumerate(used)}
-        centred = data.select(*[(F.col(c) - F.lit(seen[c]["mean"])).alias(f"x{at[c]}") for c in used])
-        sums = [F.sum(f"x{i}").alias(f"s{i}") for i in at.values()]
-        squares = [F.sum(F.col(f"x{i}") * F.col(f"x{i}")).alias(f"q{i}") for i in at.values()]
-        products = [
-            F.sum(F.col(f"x{at[a]}") * F.col(f"x{at[b]}")).alias(f"p{k}")
-            for k, (a, b) in enumerate(some)
-        ]
-        one = centred.agg(*sums, *squares, *products)
-        n = F.lit(float(seen["__rows"]))
-
-        def moment(total: str, i: int, j: int) -> Column:
-            return F.col(total) - F.col(f"s{i}") * F.col(f"s{j}") / n
-
-        def r(k: int, i: int, j: int) -> Column:
-            if i == j:
-                return F.lit(1.0)
-            scale = F.sqrt(moment(f"q{i}", i, i)) * F.sqrt(moment(f"q{j}", j, j))
-            return F.try_divide(moment(f"p{k}", i, j), scale)
-
-        return rows_from_one(
-            one, [named(a, b, r(k, at[a], at[b])) for k, (a, b) in enumerate(some)]
-        )
-
-    def gappy_pass(some: list[tuple[str, str]]) -> DataFrame:
-        found = [named(a, b, pearson(b, a)).alias(f"p{k}") for k, (a, b) in enumerate(some)]
-        return rows_from_one(data.agg(*found), [F.col(f"p{k}") for k in range(len(some))])
-
-    parts = [plain_pass(p) for p in _chunks(plain, PAIRS_PER_PASS)]
-    parts += [gappy_pass(p) for p in _chunks(gappy, GAPPY_PAIRS_PER_PASS)]
-    undefined = [(a, b, None) for a, b in pairs if constant & {a, b}]
-    if undefined or not parts:
-        schema = "a string, b string, r double"
-        parts.append(data.sparkSession.createDataFrame(undefined, schema))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _chunks(items: list, size: int) -> list[list]:
-    return [items[i : i + size] for i in range(0, len(items), size)]
+    """``(a, b, r)`` for the given pairs, NULL where a column is constant; one scan of ``data``."""
+    spark = data.sparkSession
+    left, right = list(dict.fromkeys(a for a, _ in pairs)), list(dict.fromkeys(b for _, b in pairs))
+    asked = [(left.index(a), right.index(b), a, b) for a, b in pairs]
+    named = spark.createDataFrame(asked, "i int, j int, a string, b string")
+    if not pairs:
+        return named.select("a", "b", F.lit(None).cast("double").alias("r"))
+    # The tiles are read twice; writing them keeps the table itself at one scan.
+    tiles = cut_lineage(_tiles(data, left, right))
+    origin = tiles.groupBy("i", "j").agg(F.min("mx").alias("ox"), F.min("my").alias("oy"))
+    # Means as differences to the least one, which keeps their digits.
+    dx, dy = F.col("mx") - F.col("ox"), F.col("my") - F.col("oy")
+    n = F.col("n")
+    summed = tiles.join(small_or_cut(origin), ["i", "j"]).groupBy("i", "j").agg(
+        F.sum(n).alias("n"), F.sum(n * dx).alias("sx"), F.sum(n * dy).alias("sy"),
+        F.sum(F.col("cxx") + n * dx * dx).alias("qxx"), F.sum(F.col("cyy") + n * dy * dy).alias("qyy"),
+        F.sum(F.col("cxy") + n * dx * dy).alias("qxy"),
+        ((F.min("lx") < F.max("hx")) & (F.min("ly") < F.max("hy"))).alias("varied"),
+    )
+    cxx = F.col("qxx") - F.col("sx") * F.col("sx") / n
+    cyy = F.col("qyy") - F.col("sy") * F.col("sy") / n
+    cxy = F.col("qxy") - F.col("sx") * F.col("sy") / n
+    spread = F.sqrt(F.greatest(cxx, F.lit(0.0))) * F.sqrt(F.greatest(cyy, F.lit(0.0)))
+    r = F.when(F.col("varied") & (spread > 0), F.when(F.col("a") == F.col("b"), F.lit(1.0)).otherwise(cxy / spread))
+    return named.join(summed, ["i", "j"], "left").select("a", "b", r.alias("r"))
 
 
 def corr_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -135,6 +188,51 @@ def scatter_points(df: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
+def scatter_sample(
+    df: DataFrame, x: str, y: str, k: int = 1000, seed: int = 0, hashed: Column | None = None
+) -> DataFrame:
+    """``(x, y, n)`` of ``k`` distinct complete points at most, chosen by a seeded hash.
+
+    A bottom-k sketch: every task keeps the k points of least hash it has seen, and the least
+    k of these are the least k of all. The same points come out however the table is cut.
+    ``n`` counts the rows of each; ``hashed`` replaces the hash of the two values, of which a
+    tie goes to the smaller point.
+    """
+    if hashed is None:
+        hashed = F.xxhash64(F.lit(seed), F.col(x), F.col(y))
+    # Equal points fall together before the shuffle, and the limit keeps k rows a task.
+    return (
+        scatter_points(df, x, y)
+        .withColumn("__h", hashed)
+        .orderBy("__h", x, y)
+        .limit(k)
+        .drop("__h")
+    )
+
+
+def scatter_grid(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
+    """``(x_bin, y_bin, x_lo, x_hi, y_lo, y_hi, n)``: a chart of bins by bins cells, the empty ones left out.
+
+    However many points there are, at most ``bins * bins`` rows are shuffled a task.
+    """
+    # Imported here, as charts has the numbers of all charts but these.
+    from quillframe.operators.charts import _bin, _edges
+
+    data = as_doubles(df, [x, y]).where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    ends = data.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    edges = {"x": _edges(ends[0], ends[1], bins), "y": _edges(ends[2], ends[3], bins)}
+    placed = data.select(_bin(F.col(x), edges["x"]).alias("x_bin"), _bin(F.col(y), edges["y"]).alias("y_bin"))
+    counts = placed.groupBy("x_bin", "y_bin").agg(F.count("*").alias("n"))
+
+    def edge(axis: str, shift: int) -> Column:
+        return F.get(F.array(*[F.lit(e) for e in edges[axis]]), F.col(f"{axis}_bin") - 1 + shift)
+
+    return counts.select(
+        "x_bin", "y_bin", edge("x", 0).alias("x_lo"), edge("x", 1).alias("x_hi"),
+        edge("y", 0).alias("y_lo"), edge("y", 1).alias("y_hi"), "n",
+    )
+
+
 def target_correlations(
     df: DataFrame, target: str, features: Sequence[str] | None = None
 ) -> DataFrame:

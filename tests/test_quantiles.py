@@ -1,9 +1,11 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quillframe.operators import quantiles
 from quillframe.operators.charts import box_by_group, histogram, iqr_outliers
+from quillframe.operators.correlation import corr_pairs, scatter_grid, scatter_points, scatter_sample
 from quillframe.operators.profile import describe_numeric
 from quillframe.operators.quantiles import exact_quantiles
 
@@ -127,3 +129,57 @@ def test_large_column_is_never_one_aggregation_state(spark):
     plan = found._jdf.queryExecution().toString()
     assert "percentile(" not in plan
     assert found.first()["q"] == [49_999 / 2 * 1.5]
+
+
+def _gappy_rows(n=3000, columns=26, seed=4):
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(n, columns)) + 1e6 * rng.normal(size=columns)
+    base[:, 1] += 3 * base[:, 0]
+    base[rng.random((n, columns)) < 0.2] = np.nan
+    base[:, 5] = 0.1
+    base[~np.isnan(base[:, 6]), 7] = 0.3  # constant where column 6 is known
+    base[:, 8] = np.nan
+    return base
+
+
+def test_correlations_of_gappy_columns_take_one_scan(spark):
+    base = _gappy_rows()
+    names = [f"c{i}" for i in range(base.shape[1])]
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in base]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names)).repartition(6)
+    got = {(r.a, r.b): r.r for r in corr_pairs(df.mapInPandas(watched, df.schema)).collect()}
+    assert seen.value <= 2 * len(base)
+    want = pd.DataFrame(base, columns=names)
+    assert len(got) == 26 * 25 // 2
+    for (a, b), r in got.items():
+        both = want[[a, b]].dropna()
+        if len(both) == 0 or both.nunique().min() < 2:
+            assert r is None, (a, b)
+        else:
+            assert r == pytest.approx(np.corrcoef(both.T)[0, 1], abs=1e-9), (a, b)
+
+
+def test_correlations_of_nothing(spark):
+    none = spark.createDataFrame([], "a double, b double")
+    assert [tuple(r) for r in corr_pairs(none).collect()] == [("a", "b", None)]
+    assert corr_pairs(none.select("a")).count() == 0
+
+
+def test_scatter_sample_does_not_depend_on_partitions(spark):
+    rows = [(float(i % 40), float(i % 31), i) for i in range(2000)] + [(None, 1.0, 1), (float("nan"), 2.0, 1)]
+    df = spark.createDataFrame(rows, "x double, y double, z long")
+    some = sorted(map(tuple, scatter_sample(df, "x", "y", 100, seed=3).collect()))
+    assert some == sorted(map(tuple, scatter_sample(df.repartition(7), "x", "y", 100, seed=3).collect()))
+    assert len(some) == 100 and some != sorted(map(tuple, scatter_sample(df, "x", "y", 100, seed=4).collect()))
+    every = {tuple(r) for r in scatter_points(df, "x", "y").collect()}
+    assert set(some) < every
+    assert {tuple(r) for r in scatter_sample(df, "x", "y", 10_000).collect()} == every
+    cells = scatter_grid(df, "x", "y", 10).collect()
+    assert len(cells) <= 100 and sum(c.n for c in cells) == 2000
