@@ -459,6 +459,27 @@ def _box_by_group(spark, sf_dir):
     )
 
 
+_BOX_SQL = """WITH q AS (
+      SELECT {by}, COUNT(*) AS n, QUANTILE_CONT({v}, 0.25) AS q1, QUANTILE_CONT({v}, 0.5) AS median,
+             QUANTILE_CONT({v}, 0.75) AS q3
+      FROM ({source}) GROUP BY 1),
+    b AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)
+    SELECT b.{by}, b.n, ROUND(q1, 4) AS q1, ROUND(median, 4) AS median, ROUND(q3, 4) AS q3,
+      ROUND(LEAST(MIN(CASE WHEN {v} BETWEEN lo AND hi THEN {v} END), q1), 4) AS whisker_lo,
+      ROUND(GREATEST(MAX(CASE WHEN {v} BETWEEN lo AND hi THEN {v} END), q3), 4) AS whisker_hi,
+      COUNT(*) FILTER (NOT {v} BETWEEN lo AND hi) AS n_outside
+    FROM ({source}) s JOIN b ON s.{by} IS NOT DISTINCT FROM b.{by} GROUP BY b.{by}, b.n, q1, median, q3"""
+USER_VALUES = """SELECT CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id END AS user_id, value * value AS value
+FROM events WHERE value IS NOT NULL AND NOT isnan(value)"""
+
+
+@_query("box_by_user", _BOX_SQL.format(by="user_id", v="value", source=USER_VALUES))
+def _box_by_user(spark, sf_dir):
+    """Many groups, one of them a third of all rows, by radix selection."""
+    found = charts.box_by_group(_derive(spark, sf_dir, USER_VALUES), "value", "user_id", state_values=1)
+    return found.select("user_id", "n", *_round(["q1", "median", "q3", "whisker_lo", "whisker_hi"]), "n_outside")
+
+
 OUTLIER_INPUT = f"""
 SELECT {', '.join(NUMBERS)}, l_extendedprice * l_discount * l_tax AS product FROM lineitem
 """

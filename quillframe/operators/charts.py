@@ -9,8 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillframe.functions import fixed_values as V
-from quillframe.operators.quantiles import QUARTILES, STATE_VALUES, exact_quantiles
-from quillframe.support import as_doubles, numeric_columns, rows_from_one, small_or_cut
+from quillframe.operators.quantiles import (
+    QUARTILES, STATE_VALUES, approx_distinct, counts_of, exact_quantiles, ranked_counts,
+)
+from quillframe.support import as_doubles, cut_lineage, join_side, numeric_columns, rows_from_one
 
 
 def _edges(lo: float | None, hi: float | None, bins: int) -> list[float]:
@@ -75,7 +77,15 @@ def box_by_group(
     at the last values within 1.5 interquartile ranges of the box.
     """
     data = as_doubles(df, [value], [by]).where(F.col(value).isNotNull())
-    boxes = exact_quantiles(data, [value], QUARTILES, [by], state_values).select(
+    if approx_distinct(data, [value], [by])[value] <= state_values:
+        # Value counts give the box and, without the rows, what lies outside it.
+        counts = cut_lineage(counts_of(data, [value], [by]))
+        boxes = ranked_counts(counts, QUARTILES, [by])
+        rows = counts.select(by, F.col("value").alias(value), "times")
+    else:
+        boxes = exact_quantiles(data, [value], QUARTILES, [by], state_values, {value: state_values + 1})
+        rows = data.withColumn("times", F.lit(1))
+    boxes = boxes.select(
         by, "n",
         F.get("q", F.lit(0)).alias("q1"),
         F.get("q", F.lit(1)).alias("median"),
@@ -84,13 +94,12 @@ def box_by_group(
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     near = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
     return (
-        data.withColumnRenamed(by, "__group")
-        .join(small_or_cut(boxes), F.col("__group").eqNullSafe(F.col(by)))
+        join_side(rows, boxes, [by])
         .groupBy(by, "n", "q1", "median", "q3")
         .agg(
             F.min(F.when(near, F.col(value))).alias("near_lo"),
             F.max(F.when(near, F.col(value))).alias("near_hi"),
-            F.count_if(~near).alias("n_outside"),
+            F.sum(F.when(near, 0).otherwise(F.col("times"))).cast("long").alias("n_outside"),
         )
         .select(
             by, "n", "q1", "median", "q3",

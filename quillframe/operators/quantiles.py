@@ -3,32 +3,31 @@
 Columns with a bounded number of distinct values, which one cheap pass measures,
 are reduced to value counts, and the counts are ranked.
 
-A column beyond the bound is narrowed instead. Every target rank gets a slot: a
-bracket of values guessed from a sketch of some rows, whose rows below and
-inside are then counted exactly over all rows. A bracket that holds the rank is
-taken and narrowed further, until the distinct values inside it are few. Only
-those are shuffled and ranked, so no task ever holds a column or a group. The
-sketch only steers the search; what is counted and returned is exact.
+Beyond the bound ranks are found by radix selection. A double's bits are read as
+a whole number of the same order. Rows are counted by group and the first bits of
+that number; the bucket that holds a wanted rank is counted again by the next bits,
+for all groups, columns and ranks at once. Four rounds fix all 64 bits, however many
+groups there are; once few rows are left in the buckets, one round counts the rest.
+No task ever holds a column or a group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from itertools import product
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillframe.support import as_doubles, even_shares, small_or_cut
+from quillframe.support import as_doubles, cut_lineage, join_side
 
 QUARTILES = (0.25, 0.5, 0.75)
 # Most distinct values, over all groups, that one task may have to order.
 STATE_VALUES = 1_000_000
-# Rows that steer a bracket, and steps of the grid of quantiles drawn from them.
-SKETCH_ROWS = 2_000_000
-_GRID = 500
+# The bits of the ordered number left to the later rounds; each round tells 16 more apart.
+_SHIFTS = (48, 32, 16, 0)
 
 
 def approx_distinct(
@@ -61,9 +60,9 @@ def exact_quantiles(
     narrowed = [c for c in columns if seen[c] > state_values]
     parts = []
     if counted:
-        parts.append(_by_counts(data, counted, probs, by))
+        parts.append(ranked_counts(counts_of(data, counted, by), probs, by))
     if narrowed:
-        parts.append(_by_brackets(data, narrowed, probs, by, state_values))
+        parts.append(_by_radix(data, narrowed, probs, by, state_values))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -77,21 +76,23 @@ def _between(low: Column, high: Column, rank: Column) -> Column:
     return low + (rank - F.floor(rank)) * (high - low)
 
 
-def _by_counts(
-    data: DataFrame, columns: list[str], probs: list[float], by: list[str]
-) -> DataFrame:
-    """Value counts combine before and across the shuffle; few rows are ranked."""
+def _long(data: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    return data.unpivot(by, columns, "column_name", "value").where("value IS NOT NULL")
+
+
+def counts_of(data: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """``(*by, column_name, value, times)``; counts combine before and across the shuffle."""
+    return _long(data, columns, by).groupBy(*by, "column_name", "value").agg(F.count("*").alias("times"))
+
+
+def ranked_counts(counts: DataFrame, probs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """The quantiles of value counts as of `counts_of`."""
     group = [*by, "column_name"]
     whole = W.partitionBy(*group)
     upto = whole.orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    placed = (
-        data.unpivot(by, columns, "column_name", "value")
-        .where("value IS NOT NULL")
-        .groupBy(*group, "value")
-        .agg(F.count("*").alias("times"))
-        .withColumns({"end": F.sum("times").over(upto), "n": F.sum("times").over(whole)})
-        .withColumn("start", F.col("end") - F.col("times"))
-    )
+    placed = counts.withColumns(
+        {"end": F.sum("times").over(upto), "n": F.sum("times").over(whole)}
+    ).withColumn("start", F.col("end") - F.col("times"))
     ranks = [F.lit(p) * (F.col("n") - 1) for p in probs]
     found = placed.groupBy(*group, "n").agg(
         *[_at_rank(F.floor(r)).alias(f"lo{i}") for i, r in enumerate(ranks)],
@@ -101,195 +102,71 @@ def _by_counts(
     return found.select(*group, "n", F.array(*values).alias("q"))
 
 
-def _attach(rows: DataFrame, side: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
-    """Put a group's row of ``side`` beside each of its rows.
-
-    Without groups that row's values become constants.
-    """
-    added = [f for f in side.schema if f.name not in by]
-    if not by:
-        one = side.first()
-        return rows.withColumns(
-            {
-                f.name: F.struct(
-                    *[F.lit(one[f.name][p.name]).cast(p.dataType).alias(p.name) for p in f.dataType]
-                )
-                for f in added
-            }
-        )
-    keys = {b: f"__{b}" for b in by}
-    same = [F.col(b).eqNullSafe(F.col(k)) for b, k in keys.items()]
-    return rows.join(
-        small_or_cut(side.withColumnsRenamed(keys)), reduce(lambda x, y: x & y, same), how
-    ).drop(*keys.values())
-
-
-def _slot(fields: dict[str, str]) -> Column:
-    return F.expr("named_struct(" + ", ".join(f"'{n}', {e}" for n, e in fields.items()) + ")")
-
-
-_SLOT_FIELDS = ("n", "rank", "r_lo", "r_hi", "below", "n_in", "lo", "hi", "open")
-
-
-def _opening(group: str, p: float) -> Column:
-    """A slot as wide as the group, from its count and range."""
-    rank = f"({p}D * ({group}.n - 1))"
-    return _slot(
-        {
-            "n": f"{group}.n", "rank": rank, "r_lo": f"floor({rank})", "r_hi": f"ceil({rank})",
-            "below": "0L", "n_in": f"{group}.n", "lo": f"{group}.lo", "hi": f"{group}.hi",
-            "open": f"coalesce({group}.lo < {group}.hi, false)",
-        }
-    )
+def _ordered(value: Column) -> Column:
+    """The bits of a double as a whole number that sorts as the double does."""
 
+    @F.pandas_udf("long")
+    def ordered(values: pd.Series) -> pd.Series:
+        # Adding zero makes one of the two zeros.
+        bits = (values.to_numpy(dtype="float64") + 0.0).view("int64")
+        return pd.Series(bits ^ ((bits >> 63) & 0x7FFFFFFFFFFFFFFF))
 
-def _aim(s: str, all_rows: bool) -> Column:
-    """The bracket the sketch suggests: some grid steps around the rank.
+    return ordered(value)
 
-    One step covers the error of the sketch; of a part of the rows it also has to
-    cover four standard errors of their quantile. Without any row there is none.
-    """
-    margin = "1" if all_rows else f"(1 + ceil({_GRID} * 2 / sqrt(nullif(g_{s}.m, 0))))"
-    low = f"(floor(({s}.r_lo - {s}.below) / nullif({s}.n_in, 0) * {_GRID}) - {margin})"
-    high = f"(ceil(({s}.r_hi - {s}.below) / nullif({s}.n_in, 0) * {_GRID}) + {margin})"
-    return _slot(
-        {
-            "lo": f"CASE WHEN {low} <= 0 THEN {s}.lo "
-            f"ELSE get(g_{s}.grid, CAST(least({low}, {_GRID}) AS INT)) END",
-            "hi": f"CASE WHEN {high} >= {_GRID} THEN {s}.hi "
-            f"ELSE get(g_{s}.grid, CAST(greatest({high}, 0) AS INT)) END",
-        }
-    )
 
+def _value(number: Column) -> Column:
+    """The double of an ordered number."""
 
-def _narrow(s: str, state_values: int) -> Column:
-    """Take the suggested bracket if the exact counts show that it holds both ranks.
+    @F.pandas_udf("double")
+    def value(numbers: pd.Series) -> pd.Series:
+        bits = numbers.to_numpy(dtype="int64")
+        return pd.Series((bits ^ ((bits >> 63) & 0x7FFFFFFFFFFFFFFF)).view("float64"))
 
-    One that misses is tried again with other rows. One that is no smaller, as
-    with many equal values, is as narrow as it gets.
-    """
-    below = f"({s}.below + c_{s}.skipped)"
-    holds = f"({s}.r_lo >= {below} AND {s}.r_hi < {below} + c_{s}.inside)"
-    taken = f"({s}.open AND coalesce({holds}, false))"
-    more = (
-        f"c_{s}.inside < {s}.n_in AND c_{s}.values > {state_values} AND a_{s}.lo < a_{s}.hi"
-    )
-    fields = {f: f"{s}.{f}" for f in _SLOT_FIELDS}
-    fields["below"] = f"if({taken}, {below}, {s}.below)"
-    fields["n_in"] = f"if({taken}, c_{s}.inside, {s}.n_in)"
-    fields["lo"] = f"if({taken}, a_{s}.lo, {s}.lo)"
-    fields["hi"] = f"if({taken}, a_{s}.hi, {s}.hi)"
-    fields["open"] = f"if({taken}, {more}, {s}.open)"
-    return _slot(fields)
+    return value(number)
 
 
-def _by_brackets(
-    data: DataFrame, columns: list[str], probs: list[float], by: list[str], state_values: int
-) -> DataFrame:
-    slots = {f"s{k}": (c, p) for k, (c, p) in enumerate(product(columns, probs))}
-    ranges = data.groupBy(*by).agg(
-        *[
-            F.struct(F.count(c).alias("n"), F.min(c).alias("lo"), F.max(c).alias("hi")).alias(f"r_{c}")
-            for c in columns
-        ]
-    )
-    state = small_or_cut(
-        ranges.select(*by, *[_opening(f"`r_{c}`", p).alias(s) for s, (c, p) in slots.items()])
-    )
-    grid = even_shares(_GRID)
-    seed = 0
-    while True:
-        sizes = state.agg(
-            *[F.sum(F.when(F.col(s)["open"], F.col(s)["n_in"])).alias(s) for s in slots]
-        ).first()
-        busy = {s: slots[s] for s in slots if sizes[s]}
-        if not busy:
-            break
-        seed += 1
-        share = SKETCH_ROWS / max(sizes[s] for s in busy)
-        some = data.sample(fraction=share, seed=seed) if share < 1 else data
-        held = {
-            s: F.when(F.col(s)["open"] & _within(F.col(c), F.col(s)), F.col(c))
-            for s, (c, _) in busy.items()
-        }
-        sketches = _attach(some, state, by).groupBy(*by).agg(
-            *[
-                F.struct(
-                    F.count(v).alias("m"), F.percentile_approx(v, grid).alias("grid")
-                ).alias(f"g_{s}")
-                for s, v in held.items()
-            ]
-        )
-        aimed = small_or_cut(
-            _attach(state, sketches, by, "left").select(
-                *by, *slots, *[_aim(s, share >= 1).alias(f"a_{s}") for s in busy]
-            )
-        )
-        counts = _attach(data, aimed, by).groupBy(*by).agg(
-            *[_counted(F.col(c), F.col(s), F.col(f"a_{s}")).alias(f"c_{s}") for s, (c, _) in busy.items()]
-        )
-        state = small_or_cut(
-            _attach(aimed, counts, by).select(
-                *by, *[(_narrow(s, state_values) if s in busy else F.col(s)).alias(s) for s in slots]
-            )
-        )
-    return _select_ranks(data, state, slots, by)
-
-
-def _within(value: Column, bracket: Column) -> Column:
-    return value.between(bracket["lo"], bracket["hi"])
-
-
-def _counted(value: Column, slot: Column, aimed: Column) -> Column:
-    """Rows of the old bracket below and inside the suggested one, all rows counted."""
-    inside = _within(value, aimed)
-    return F.struct(
-        F.count_if((value >= slot["lo"]) & (value < aimed["lo"])).alias("skipped"),
-        F.count_if(inside).alias("inside"),
-        F.approx_count_distinct(F.when(inside, value)).alias("values"),
-    )
+def _hit(rows: DataFrame, within: list[str], keep: list[str]) -> DataFrame:
+    """The buckets that hold a wanted rank, from counts with ``below``, ``ranks`` and ``bucket``."""
+    upto = W.partitionBy(*within).orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
+    end = F.col("below") + F.sum("times").over(upto)
+    placed = rows.withColumn("end", end).withColumn("start", F.col("end") - F.col("times"))
+    mine = F.filter("ranks", lambda r: (r >= F.col("start")) & (r < F.col("end")))
+    return placed.select(
+        *keep, F.col("bucket").alias("prefix"), F.col("start").alias("below"), F.col("times").alias("inside"),
+        mine.alias("ranks"),
+    ).where(F.size("ranks") > 0)
 
 
-def _select_ranks(
-    data: DataFrame, state: DataFrame, slots: dict[str, tuple[str, float]], by: list[str]
+def _by_radix(
+    data: DataFrame, columns: list[str], probs: list[float], by: list[str], state_values: int
 ) -> DataFrame:
-    """Count the values inside the brackets and read off the target ranks."""
-    rows = _attach(data, state, by)
-    near = reduce(
-        lambda x, y: x | y, [_within(F.col(c), F.col(s)) for s, (c, _) in slots.items()]
-    )
-    hits = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("slot"), F.lit(c).alias("column_name"), F.col(c).alias("value"),
-                F.col(s).alias("s"),
-            )
-            for i, (s, (c, _)) in enumerate(slots.items())
-        ]
-    )
     group = [*by, "column_name"]
-    target = ["n", "rank", "r_lo", "r_hi", "below"]
-    found = (
-        rows.where(near)
-        .select(*by, F.inline(F.filter(hits, lambda h: _within(h["value"], h["s"]))))
-        .select(*group, "slot", "value", *[F.col(f"s.{t}").alias(t) for t in target])
-        .groupBy(*group, "slot", "value", *target)
-        .agg(F.count("*").alias("times"))
-    )
-    upto = W.partitionBy(*group, "slot").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    end = F.col("below") + F.sum("times").over(upto)
-    placed = found.withColumn("end", end).withColumn("start", F.col("end") - F.col("times"))
-
-    picked = (
-        placed.groupBy(*group, "slot", "rank", "n")
-        .agg(_at_rank(F.col("r_lo")).alias("lo"), _at_rank(F.col("r_hi")).alias("hi"))
-        .select(
-            *group, "slot", "n",
-            _between(F.col("lo"), F.col("hi"), F.col("rank")).alias("v"),
-        )
-    )
-    # One value per probability, so the arrays are short.
-    in_order = F.array_sort(F.collect_list(F.struct("slot", "v")))
-    return picked.groupBy(*group).agg(
-        F.max("n").alias("n"), F.transform(in_order, lambda s: s["v"]).alias("q")
+    rows = _long(data, columns, by).select(*group, _ordered(F.col("value")).alias("number"))
+    first = rows.groupBy(*group, F.shiftright("number", _SHIFTS[0]).alias("bucket")).agg(F.count("*").alias("times"))
+    first = first.withColumn("n", F.sum("times").over(W.partitionBy(*group)))
+    ranks = F.array_distinct(
+        F.array(*[f(F.lit(p) * (F.col("n") - 1)).cast("long") for p in probs for f in (F.floor, F.ceil)])
     )
+    first = first.withColumns({"ranks": ranks, "below": F.lit(0).cast("long")})
+    slots = cut_lineage(_hit(first, group, [*group, "n"]))
+    was = _SHIFTS[0]
+    while was:
+        # Few rows left in all buckets: the next round may tell all values apart.
+        left = slots.agg(F.sum("inside")).first()[0] or 0
+        shift = 0 if left <= state_values else was - 16
+        aside = slots.select(*group, "prefix")
+        inside = join_side(rows.withColumn("prefix", F.shiftright("number", was)), aside, [*group, "prefix"])
+        level = inside.groupBy(*group, "prefix", F.shiftright("number", shift).alias("bucket"))
+        level = join_side(level.agg(F.count("*").alias("times")), slots.drop("inside"), [*group, "prefix"])
+        slots = cut_lineage(_hit(level, [*group, "prefix"], [*group, "n"]))
+        was = shift
+    found = slots.select(*group, "n", F.explode("ranks").alias("rank"), _value(F.col("prefix")).alias("value"))
+    # Two ranks a probability at most.
+    known = found.groupBy(*group, "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
+
+    def quantile(p: float) -> Column:
+        rank = F.lit(p) * (F.col("n") - 1)
+        low, high = [F.element_at("at", f(rank).cast("long")) for f in (F.floor, F.ceil)]
+        return _between(low, high, rank)
+
+    return known.select(*group, "n", F.array(*[quantile(p) for p in probs]).alias("q"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from functools import cache
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 # A side of at most this many rows may be brought to the driver and broadcast.
 SMALL_SIDE_ROWS = 20_000
+# A larger side is repeated so many times for a join, that rows of one key are spread.
+SALTS = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,10 +59,34 @@ def small_or_cut(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
     larger one is checkpointed and carries no hint, so Spark chooses a shuffle
     join, with adaptive splitting of skewed keys.
     """
+    small = _small(df, max_rows)
+    return cut_lineage(df) if small is None else small
+
+
+def _small(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame | None:
+    """``df`` as a literal table to broadcast, if it is small."""
     head = df.take(max_rows + 1)
     if len(head) <= max_rows:
         return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))
-    return cut_lineage(df)
+    return None
+
+
+def join_side(rows: DataFrame, side: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join of ``rows`` with a table of few rows a key, on ``on``, null keys being equal.
+
+    A side of at most ``SMALL_SIDE_ROWS`` rows is broadcast. A larger one is repeated
+    under ``SALTS`` numbers, and a row looks under the one of its partition, so that a key which
+    many rows share is not one task's.
+    """
+    keys = {c: f"__{c}" for c in on}
+    side = side.withColumnsRenamed(keys)
+    small = _small(side)
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in keys.items()]
+    if small is None:
+        small = cut_lineage(side).withColumn("__side", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+        same.append(F.col("__salt") == F.col("__side"))
+    return rows.join(small, reduce(lambda x, y: x & y, same)).drop("__salt", "__side", *keys.values())
 
 
 def spread(df: DataFrame) -> DataFrame:

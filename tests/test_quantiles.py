@@ -3,11 +3,13 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quillframe import support
 from quillframe.operators import quantiles
 from quillframe.operators.charts import box_by_group, histogram, iqr_outliers
 from quillframe.operators.correlation import corr_pairs, scatter_grid, scatter_points, scatter_sample
 from quillframe.operators.profile import describe_numeric
 from quillframe.operators.quantiles import exact_quantiles
+from quillframe.support import join_side
 
 PROBS = [0.0, 0.01, 0.75]
 
@@ -27,9 +29,8 @@ def _data(seed, n=4000):
     }
 
 
-@pytest.mark.parametrize("state_values,sketched", [(30, 900), (10**6, 10**6)])
-def test_whole_table_equals_numpy(spark, monkeypatch, state_values, sketched):
-    monkeypatch.setattr(quantiles, "SKETCH_ROWS", sketched)
+@pytest.mark.parametrize("state_values", [30, 10**6])
+def test_whole_table_equals_numpy(spark, state_values):
     data = {k: v for k, v in _data(1).items() if k != "even"}
     df = _frame(spark, data).repartition(5).cache()
     found = exact_quantiles(df, list(data), PROBS, state_values=state_values).collect()
@@ -41,8 +42,7 @@ def test_whole_table_equals_numpy(spark, monkeypatch, state_values, sketched):
 
 
 @pytest.mark.parametrize("state_values", [20, 10**6])
-def test_groups_with_one_hot_group(spark, monkeypatch, state_values):
-    monkeypatch.setattr(quantiles, "SKETCH_ROWS", 1500)
+def test_groups_with_one_hot_group(spark, state_values):
     data = {k: v for k, v in _data(2).items() if k != "even"}
     rng = np.random.default_rng(3)
     group = np.where(rng.uniform(size=4000) < 0.4, 0, rng.integers(1, 9, 4000))
@@ -55,14 +55,28 @@ def test_groups_with_one_hot_group(spark, monkeypatch, state_values):
         assert np.allclose(row["q"], np.quantile(values, PROBS), rtol=1e-12, atol=1e-12)
 
 
-def test_brackets_checkpoint_when_groups_are_many(spark, monkeypatch):
-    monkeypatch.setattr(
-        quantiles, "small_or_cut", lambda df: __import__("quillframe.support").support.cut_lineage(df)
-    )
-    data = {"g": np.arange(2000) % 50, "v": np.random.default_rng(4).normal(size=2000)}
-    found = exact_quantiles(_frame(spark, data), ["v"], [0.5], ["g"], 10).collect()
-    for row in found:
-        assert np.isclose(row["q"][0], np.median(data["v"][data["g"] == row["g"]]))
+def test_many_groups_take_the_rounds_of_few(spark, monkeypatch):
+    """Scans of the rows by radix selection; with sides joined both ways."""
+    rounds = {}
+    for groups, small in ((10, 20_000), (10_000, 20_000), (3000, 0)):
+        monkeypatch.setattr(support._small, "__defaults__", (small,))
+        rng = np.random.default_rng(groups)
+        data = {"g": rng.integers(0, groups, 30_000), "v": np.concatenate([rng.normal(size=20_000), np.full(10_000, -0.0)])}
+        passes = []
+        monkeypatch.setattr(quantiles, "join_side", lambda *a: (passes.append(1), join_side(*a))[1])
+        found = exact_quantiles(_frame(spark, data), ["v"], [0.5], ["g"], 10, {"v": 10**9}).collect()
+        rounds[groups] = len(passes)
+        want = pd.DataFrame(data).groupby("g")["v"].median()
+        assert {r["g"]: r["q"][0] for r in found} == pytest.approx(want.to_dict(), abs=1e-12)
+    assert rounds[10] == rounds[10_000] == rounds[3000] <= 8
+
+
+def test_order_of_numbers_is_the_order_of_doubles(spark):
+    values = [-np.inf, -1e300, -2.5, -1e-310, 0.0, 5e-324, 1.0, 1.0000000000000002, 1e300, np.inf]
+    df = _frame(spark, {"v": values}).repartition(3)
+    rows = df.select("v", quantiles._ordered(F.col("v")).alias("k")).withColumn("back", quantiles._value(F.col("k"))).collect()
+    assert [r["v"] for r in sorted(rows, key=lambda r: r["k"])] == values
+    assert all(r["v"] == r["back"] for r in rows)
 
 
 def test_missing_values_are_left_out(spark):
@@ -99,10 +113,11 @@ def test_histogram_of_one_value(spark):
     assert by_bin[0]["lo"] == edges[0]
 
 
-def test_box_figures(spark):
+@pytest.mark.parametrize("state_values", [1, 10**6])
+def test_box_figures(spark, state_values):
     values = [1.0, 2.0, 3.0, 4.0, 5.0, 100.0]
     df = spark.createDataFrame([("g", v) for v in values] + [(None, 1.0)], "g string, v double")
-    rows = {r["g"]: r for r in box_by_group(df, "v", "g").collect()}
+    rows = {r["g"]: r for r in box_by_group(df, "v", "g", state_values).collect()}
     row = rows["g"]
     assert (row["q1"], row["median"], row["q3"]) == (2.25, 3.5, 4.75)
     assert (row["whisker_lo"], row["whisker_hi"], row["n_outside"]) == (1.0, 5.0, 1)
