@@ -464,9 +464,9 @@ _BOX_SQL = """WITH q AS (
              QUANTILE_CONT({v}, 0.75) AS q3
       FROM ({source}) GROUP BY 1),
     b AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)
-    SELECT b.{by}, b.n, ROUND(q1, 4) AS q1, ROUND(median, 4) AS median, ROUND(q3, 4) AS q3,
-      ROUND(LEAST(MIN(CASE WHEN {v} BETWEEN lo AND hi THEN {v} END), q1), 4) AS whisker_lo,
-      ROUND(GREATEST(MAX(CASE WHEN {v} BETWEEN lo AND hi THEN {v} END), q3), 4) AS whisker_hi,
+    SELECT b.{by}, b.n, ROUND(q1, 6) AS q1, ROUND(median, 6) AS median, ROUND(q3, 6) AS q3,
+      ROUND(LEAST(MIN(CASE WHEN {v} BETWEEN lo AND hi THEN {v} END), q1), 6) AS whisker_lo,
+      ROUND(GREATEST(MAX(CASE WHEN {v} BETWEEN lo AND hi THEN {v} END), q3), 6) AS whisker_hi,
       COUNT(*) FILTER (NOT {v} BETWEEN lo AND hi) AS n_outside
     FROM ({source}) s JOIN b ON s.{by} IS NOT DISTINCT FROM b.{by} GROUP BY b.{by}, b.n, q1, median, q3"""
 USER_VALUES = """SELECT CASE WHEN event_id % 3 = 0 THEN NULL ELSE user_id END AS user_id, value * value AS value
@@ -477,7 +477,7 @@ FROM events WHERE value IS NOT NULL AND NOT isnan(value)"""
 def _box_by_user(spark, sf_dir):
     """Many groups, one of them a third of all rows, by radix selection."""
     found = charts.box_by_group(_derive(spark, sf_dir, USER_VALUES), "value", "user_id", state_values=1)
-    return found.select("user_id", "n", *_round(["q1", "median", "q3", "whisker_lo", "whisker_hi"]), "n_outside")
+    return found.select("user_id", "n", *_round(["q1", "median", "q3", "whisker_lo", "whisker_hi"], 6), "n_outside")
 
 
 OUTLIER_INPUT = f"""
@@ -1273,27 +1273,104 @@ def _run_summary(spark, sf_dir):
     "csv_roundtrip",
     f"""SELECT event_type, COUNT(*) AS n, SUM(event_id) AS ids, COUNT(value) AS n_value,
       ROUND(SUM(value), 2) AS total, SUM(LENGTH(props)) AS props_chars,
-      'bigint,string,double,string' AS types
+      'bigint,string,double,string' AS types, true AS many_tasks
     FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END AS event_type,
-            CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS value, props FROM events)
+            CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS value,
+            props || chr(10) || '"' || chr(10) || ',' || props AS props FROM events)
     GROUP BY event_type""".replace("SUM(event_id)", "CAST(SUM(event_id) AS BIGINT)").replace(
         "SUM(LENGTH(props))", "CAST(SUM(LENGTH(props)) AS BIGINT)"
     ),
 )
 def _csv_roundtrip(spark, sf_dir):
+    """Cells with line breaks, quotes and separators, one large file cut into many ranges."""
     path = scratch_path(spark, "csv")
     _derive(
         spark, sf_dir,
         """SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'N/A' ELSE event_type END AS event_type,
-        CASE WHEN event_id % 7 = 0 THEN 'nan' ELSE CAST(value AS STRING) END AS value, props
+        CASE WHEN event_id % 7 = 0 THEN 'nan' ELSE CAST(value AS STRING) END AS value,
+        CONCAT(props, CHR(10), '"', CHR(10), ',', props) AS props
         FROM events""",
     ).write.option("escape", '"').csv(path, header=True)
-    read = tables.read_csv_table(spark, path, multiline=False)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+        read = tables.read_csv_table(spark, path)
+        many = spark.read.text(path).rdd.getNumPartitions() >= 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
     types = ",".join(f.dataType.simpleString() for f in read.schema)
     return read.groupBy("event_type").agg(
         F.count("*").alias("n"), F.sum("event_id").alias("ids"), F.count("value").alias("n_value"),
         F.round(F.sum("value"), 2).alias("total"),
-        F.sum(F.length("props")).alias("props_chars"), F.lit(types).alias("types"),
+        F.sum(F.length("props")).alias("props_chars"), F.lit(types).alias("types"), F.lit(many).alias("many_tasks"),
+    )
+
+
+# A file for every document: by its number in cp1251 or UTF-8, columns in either order, of good rows, with a row too
+# many cells long, with an open quote, with a header only, without any byte, or of another kind.
+UPLOAD_KINDS = """
+SELECT doc_id, CASE doc_id % 11 WHEN 0 THEN 'long' WHEN 1 THEN 'open' WHEN 2 THEN 'bare' WHEN 3 THEN 'empty'
+    WHEN 4 THEN 'notes' WHEN 5 THEN 'other' WHEN 6 THEN 'cyrillic' ELSE 'plain' END AS kind,
+  REPLACE(text, '"', '""') AS body, n_chars, source, COALESCE(LENGTH(text), 0) AS chars
+FROM documents WHERE text IS NOT NULL AND n_chars IS NOT NULL AND source IS NOT NULL
+"""
+_UPLOAD_TEXT = '''
+CASE kind WHEN 'bare' THEN 'id,body,share\n' WHEN 'empty' THEN ''
+  WHEN 'long' THEN CONCAT('id,body,share\n', doc_id, ',"', body, '",1.50,more\n')
+  WHEN 'open' THEN CONCAT('id,body,share\n', doc_id, ',"', body, ',1.50\n')
+  WHEN 'other' THEN CONCAT('share,id,body\r\n', n_chars, '.255,', doc_id, ',"', body, '"\r\n\r\nNA,', doc_id, ',short\r\n1.5\r\n')
+  WHEN 'cyrillic' THEN CONCAT('id,body,share\n', doc_id, ',"Привет\n""мир""",', n_chars, '\n')
+  ELSE CONCAT('id,body,share\n', doc_id, ',"', body, '",', n_chars, '\n', doc_id, ',,\n') END
+'''
+
+
+def _upload_files(spark, sf_dir) -> str:
+    """Write every upload as a file of its own, named by its bytes; the folder."""
+    path = scratch_path(spark, "uploads")
+    rows = _derive(spark, sf_dir, UPLOAD_KINDS).withColumn("content", F.expr(_UPLOAD_TEXT))
+    encoded = F.when(F.col("kind") == "cyrillic", files.encoded_cp1251(F.col("content"))).otherwise(F.encode("content", "UTF-8"))
+    name = F.concat(F.col("doc_id"), F.when(F.col("kind") == "notes", " notes.txt").otherwise(" table.csv"))
+    files.write_files(rows.select(name.alias("name"), encoded.alias("content")), path)
+    return path
+
+
+@_query(
+    "admit_uploads",
+    f"""SELECT doc_id, kind, CASE WHEN kind IN ('bare') THEN 0 WHEN kind IN ('other', 'plain') THEN
+        CASE kind WHEN 'other' THEN 3 ELSE 2 END WHEN kind = 'cyrillic' THEN 1 END AS "rows",
+      CASE kind WHEN 'notes' THEN {_lit(V.REJECT_EXTENSION)} WHEN 'long' THEN {_lit(V.REJECT_READ)}
+        WHEN 'open' THEN {_lit(V.REJECT_READ)} WHEN 'empty' THEN {_lit(V.REJECT_READ)}
+        WHEN 'bare' THEN {_lit(V.REJECT_EMPTY)} END AS reason FROM ({UPLOAD_KINDS})""",
+)
+def _admit_uploads(spark, sf_dir):
+    found = files.admit_files(spark, _upload_files(spark, sf_dir))
+    doc_id = F.regexp_extract("path", "([0-9]+) [a-z]+[.][a-z]+$", 1).cast("long")
+    kinds = _derive(spark, sf_dir, UPLOAD_KINDS).select("doc_id", "kind")
+    return found.withColumn("doc_id", doc_id).join(kinds, "doc_id").select("doc_id", "kind", "rows", "reason")
+
+
+@_query(
+    "read_uploads",
+    f"""SELECT kind, row_no, COUNT(*) AS n, CAST(SUM(id) AS BIGINT) AS ids, CAST(SUM(LENGTH(body)) AS BIGINT) AS chars,
+      COUNT(body) AS n_body, SUM(share) AS share, MIN(encoding) AS encoding FROM (
+      SELECT kind, 0 AS row_no, doc_id AS id, CASE kind WHEN 'cyrillic' THEN 'Привет' || chr(10) || '"мир"'
+          ELSE NULLIF(REPLACE(body, '""', '"'), '') END AS body,
+        CAST(CASE kind WHEN 'other' THEN ROUND(CAST(n_chars || '.255' AS DECIMAL(18, 3)), 2) ELSE n_chars END AS DECIMAL(12, 2)) AS share,
+        CASE kind WHEN 'cyrillic' THEN 'cp1251' ELSE 'utf-8' END AS encoding
+      FROM ({UPLOAD_KINDS}) WHERE kind IN ('plain', 'other', 'cyrillic')
+      UNION ALL SELECT kind, 1, doc_id, CASE kind WHEN 'other' THEN 'short' END, NULL, 'utf-8'
+      FROM ({UPLOAD_KINDS}) WHERE kind IN ('plain', 'other')
+      UNION ALL SELECT kind, 2, NULL, NULL, 1.5, 'utf-8' FROM ({UPLOAD_KINDS}) WHERE kind = 'other') GROUP BY 1, 2""",
+)
+def _read_uploads(spark, sf_dir):
+    schema = "id bigint, body string, share decimal(12,2)"
+    rows = files.read_admitted_csv(spark, _upload_files(spark, sf_dir), schema)
+    doc_id = F.regexp_extract("path", "([0-9]+) [a-z]+[.][a-z]+$", 1).cast("long")
+    kinds = _derive(spark, sf_dir, UPLOAD_KINDS).select("doc_id", "kind")
+    rows = rows.withColumn("doc_id", doc_id).join(kinds, "doc_id")
+    return rows.groupBy("kind", "row_no").agg(
+        F.count("*").alias("n"), F.sum("id").alias("ids"), F.sum(F.length("body")).alias("chars"),
+        F.count("body").alias("n_body"), F.sum("share").alias("share"), F.min("encoding").alias("encoding"),
     )
 
 

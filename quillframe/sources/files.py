@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillframe.functions import fixed_values as V
-from quillframe.functions.text import rest_of
-from quillframe.sources.tables import null_if_missing
+from quillframe.sources.csv_records import cells, column_names, records_of
+from quillframe.sources.tables import null_if_missing, typed
 
 _MB = 1024 * 1024
 # Each byte from 0x80 on as Latin-1 and as cp1251 read it.
@@ -72,56 +78,138 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", "content")
 
 
-def _data_lines(text: Column) -> Column:
-    """Non-blank lines behind the header."""
-    lines = F.filter(F.split(text, "\r\n|\n|\r", -1), lambda x: F.trim(x) != "")
-    return rest_of(lines)
+def write_files(rows: DataFrame, path: str) -> None:
+    """Write each row of ``(name, content)`` as a file of that name below ``path``, in parallel.
+
+    Any store that Arrow's file systems reach will do. A task that runs again writes the same files.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(path)
+        store.create_dir(folder)
+        done = 0
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
+                with store.open_output_stream(f"{folder}/{name}") as out:
+                    out.write(content.as_py())
+                done += 1
+        yield pa.RecordBatch.from_pydict({"done": pa.array([done], pa.int64())})
+
+    rows.select("name", "content").mapInArrow(run, "done long").agg(F.sum("done")).collect()
+
+
+def encoded_cp1251(text: Column) -> Column:
+    """The bytes of a text in cp1251; characters that it lacks become question marks."""
+    return F.encode(F.translate(text, _AS_CP1251, _AS_LATIN), "ISO-8859-1")
+
+
+def _opened(spark: SparkSession, path: str, max_mb: int) -> tuple[DataFrame, DataFrame, Column]:
+    """All files below the path, those without any byte, and which of the others are to be parsed."""
+    files = list_files(spark, path)
+    fits = has_table_extension(F.col("path")) & (F.col("length") <= max_mb * _MB)
+    # The reader leaves files of no length out; the listing has them.
+    named = [(re.sub(r"^(\w+):///", r"\1:/", unquote(f)), 0) for f in files.inputFiles()]
+    listed = spark.createDataFrame(named, "path string, length long")
+    bare = listed.join(files.select("path"), "path", "left_anti")
+    return files, bare, fits & F.col("path").endswith(F.lit(V.TABLE_EXTENSIONS[0]))
+
+
+def _decoded(content: bytes) -> tuple[str, str]:
+    """(encoding, text): the first encoding, in the order tried, that takes the whole content."""
+    for encoding in V.ENCODINGS:
+        try:
+            return encoding, content.decode(encoding)
+        except UnicodeDecodeError:
+            continue
+    raise ValueError("no encoding fits")
+
+
+def parse_table(content: bytes, sep: str = ",") -> tuple[str, list[str], list[list[str]]]:
+    """(encoding, column names, rows) of a CSV file's bytes; ValueError where it cannot be read.
+
+    A file is not readable without a header, with a row of more cells than that, or with a
+    quoted cell that is never closed. Shorter rows are left as they are.
+    """
+    encoding, text = _decoded(content)
+    records = records_of(text.removeprefix("\ufeff"), sep)
+    head = next(records, None)
+    if head is None:
+        raise ValueError("no header")
+    names = column_names(head, sep)
+    rows = [cells(r, sep) for r in records]
+    if any(len(r) > len(names) for r in rows):
+        raise ValueError("a row has more cells than the header")
+    return encoding, names, rows
 
 
 def admit_files(spark: SparkSession, path: str, max_mb: int = V.MAX_FILE_MB) -> DataFrame:
-    """``(path, length, rows, reason)`` for every file below ``path``.
+    """``(path, length, rows, reason)`` for every file below ``path``, files of no bytes among them.
 
     Ending and size are checked from the listing, so bytes are read only for the
-    files that pass both. Workbooks are not readable here and say so.
+    files that pass both; these are parsed as `parse_table` says, one file at a time.
+    Workbooks are not readable here and say so.
     """
-    files = list_files(spark, path)
-    fits = has_table_extension(F.col("path")) & (F.col("length") <= max_mb * _MB)
-    is_csv = F.col("path").endswith(F.lit(V.TABLE_EXTENSIONS[0]))
-    opened = (
-        with_decoded_text(files.where(fits & is_csv))
-        .select("path", "length", F.size(_data_lines(F.col("text"))).alias("rows"))
-        .withColumn("readable", F.lit(True))
-    )
-    closed = files.where(~(fits & is_csv)).select(
-        "path", "length", F.lit(None).cast("int").alias("rows"), F.lit(False).alias("readable")
-    )
-    judged = opened.unionByName(closed)
+    files, bare, parsed = _opened(spark, path, max_mb)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = []
+            for content in batch.column("content"):
+                try:
+                    counts.append(len(parse_table(content.as_py())[2]))
+                except ValueError:
+                    counts.append(None)
+            columns = [batch.column("path"), batch.column("length"), pa.array(counts, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["path", "length", "rows"])
+
+    opened = files.where(parsed).mapInArrow(run, "path string, length long, rows int")
+    closed = files.where(~parsed).select("path", "length").unionByName(bare)
+    judged = opened.unionByName(closed, allowMissingColumns=True)
+    readable = F.col("rows").isNotNull()
     return judged.select(
         "path", "length", "rows",
-        admission_reason(
-            F.col("path"), F.col("length"), F.col("readable"), F.col("rows"), max_mb
-        ).alias("reason"),
+        admission_reason(F.col("path"), F.col("length"), readable, F.col("rows"), max_mb).alias("reason"),
     )
 
 
 def read_admitted_csv(
-    spark: SparkSession, path: str, schema: str, max_mb: int = V.MAX_FILE_MB
+    spark: SparkSession, path: str, schema: str | T.StructType, max_mb: int = V.MAX_FILE_MB
 ) -> DataFrame:
-    """Rows of all CSV files within the size limit, each read in its own encoding.
+    """``(path, encoding, row_no, ...)``: the rows of all CSV files that are admitted, each in its own encoding.
 
-    Files are spread over the cluster; the size rule bounds what one task holds.
+    Cells are matched to the columns of ``schema`` by the names in the file's header,
+    whatever their order; a column that the file lacks is NULL. Files that cannot be
+    read have no rows here, `admit_files` says why. Files are spread over the cluster;
+    the size rule bounds what one task holds.
     """
-    fits = F.col("path").endswith(F.lit(V.TABLE_EXTENSIONS[0])) & (
-        F.col("length") <= max_mb * _MB
-    )
-    texts = with_decoded_text(list_files(spark, path).where(fits))
-    names = [part.split()[0] for part in schema.split(",")]
-    as_text = ", ".join(f"{n} string" for n in names)
-    rows = texts.select(
-        "path", "encoding", F.posexplode(_data_lines(F.col("text"))).alias("row_no", "line")
-    ).withColumn("row", F.from_csv("line", as_text, {"escape": '"', "mode": "FAILFAST"}))
-    typed = [part.split() for part in schema.split(",")]
-    return rows.select(
-        "path", "encoding", "row_no",
-        *[null_if_missing(F.col(f"row.{n}")).cast(t).alias(n) for n, t in typed],
-    )
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    wanted = fields.names
+    names = [f"c{i}" for i in range(len(wanted))]
+    files, _, parsed = _opened(spark, path, max_mb)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                try:
+                    encoding, header, rows = parse_table(content.as_py())
+                except ValueError:
+                    continue
+                at = [header.index(c) if c in header else len(header) for c in wanted]
+                for first in range(0, len(rows), 4096):
+                    some = rows[first : first + 4096]
+                    columns = [[r[i] if i < len(r) else None for r in some] for i in at]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([file] * len(some), pa.string()), pa.array([encoding] * len(some), pa.string()),
+                            pa.array(range(first, first + len(some)), pa.int32()),
+                            *[pa.array(c, pa.string()) for c in columns],
+                        ],
+                        names=["path", "encoding", "row_no", *names],
+                    )
+
+    as_text = "path string, encoding string, row_no int, " + ", ".join(f"{n} string" for n in names)
+    rows = files.where(parsed).select("path", "content").mapInArrow(run, as_text)
+    columns = [typed(null_if_missing(F.col(n)), f.dataType).alias(f.name) for n, f in zip(names, fields, strict=True)]
+    return rows.select("path", "encoding", "row_no", *columns)

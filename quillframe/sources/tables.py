@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillframe.functions import fixed_values as V
+from quillframe.sources.csv_records import read_cells
 
-_BAD = "__malformed"
 _OVERLONG = "CSV row has more fields than the header"
 # Checked before casting, because a failing cast of a text costs an exception.
 _WHOLE = r"^\s*[+-]?[0-9]+\s*$"
@@ -19,38 +19,22 @@ def null_if_missing(col: Column) -> Column:
     return F.when(~col.isin(*V.MISSING_TOKENS), col)
 
 
-def _field_count(line: Column, sep: str) -> Column:
-    """Fields of a CSV line; separators inside quotes do not count."""
-    bare = F.regexp_replace(line, '"(?:[^"]|"")*+"', "")
-    return F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) + 1
+def typed(text: Column, kind: T.DataType) -> Column:
+    """A text as the type; a whole number may be written with a fraction part, as in "1.0"."""
+    if isinstance(kind, T.IntegralType):
+        text = F.coalesce(text.try_cast("bigint"), text.cast("double").cast("bigint"))
+    return text.cast(kind)
 
 
-def read_csv_text(
-    spark: SparkSession, path: str, sep: str = ",", multiline: bool = True
-) -> DataFrame:
+def read_csv_text(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """All columns as text, missing tokens as NULL.
 
     A row with more fields than the header stops the job; a shorter one is
-    filled with NULL. With ``multiline`` a quoted cell may span lines, and a file
-    is then one task: right for files that passed the size rule. Switch it off
-    for large files without such cells, so that they are split.
+    filled with NULL. A quoted cell may span lines; files of any size are read in
+    ranges by many tasks all the same.
     """
-    # Pruning would hide over-long rows: the parser then never counts the fields.
-    options = {
-        "header": True, "sep": sep, "multiLine": multiline, "escape": '"',
-        "columnPruning": False,
-    }
-    columns = spark.read.options(**options).csv(path).columns
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, _BAD]])
-    rows = spark.read.options(
-        **options, mode="PERMISSIVE", columnNameOfCorruptRecord=_BAD
-    ).schema(schema).csv(path)
-    width = _field_count(F.col(f"`{_BAD}`"), sep)
-    refused = F.when(width > len(columns), F.raise_error(F.lit(_OVERLONG)).cast("string"))
-    # Kept as a filter so that the check runs whatever columns are read later.
-    return rows.where(refused.isNull()).select(
-        *[null_if_missing(F.col(f"`{c}`")).alias(c) for c in columns]
-    )
+    rows = read_cells(spark, path, sep, _OVERLONG)
+    return rows.select(*[null_if_missing(F.col(f"`{c}`")).alias(c) for c in rows.columns])
 
 
 def infer_types(df: DataFrame) -> DataFrame:
@@ -83,19 +67,11 @@ def read_csv_table(
     path: str,
     schema: str | T.StructType | None = None,
     sep: str = ",",
-    multiline: bool = True,
 ) -> DataFrame:
     """A CSV table with the given types, or with types inferred from all its rows."""
-    text = read_csv_text(spark, path, sep, multiline)
+    text = read_csv_text(spark, path, sep)
     if schema is None:
         return infer_types(text)
     fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
-    # A whole number may be written with a fraction part, as in "1.0".
-    def typed(f: T.StructField) -> Column:
-        col = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.IntegralType):
-            col = col.cast("double")
-        return col.cast(f.dataType).alias(f.name)
-
-    return text.select(*[typed(f) for f in fields])
+    return text.select(*[typed(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fields])
