@@ -27,7 +27,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: computed once, safe from lost executors."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept.scratch = path
+    return kept
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of `stored` tables. Only once all that was made of them is itself written."""
+    for table in tables:
+        path = getattr(table, "scratch", None)
+        if path is not None:
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def map_rows(
@@ -76,6 +88,6 @@ def text(name: str) -> Column:
     return F.coalesce(F.col(f"`{name}`"), F.lit(""))
 
 
-def salted(df: DataFrame, keys: list[str], aggs: list[Column]) -> DataFrame:
-    """A grouped aggregate; Spark's map-side step already keeps one row per key and task."""
-    return df.groupBy(*keys).agg(*aggs)
+def text_key(text_col: str) -> Column:
+    """A digest that tells texts of one id apart."""
+    return F.xxhash64(utf8(text_col))

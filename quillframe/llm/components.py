@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import stored
+from quillframe.llm.common import discard, stored
 
 
 def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -37,7 +37,8 @@ def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
         both = small.union(small.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stored(large.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
+        before, now = now, stored(large.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
+        discard(before)
         count = now.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(count) == seen:
             break

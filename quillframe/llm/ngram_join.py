@@ -1,16 +1,16 @@
-"""Exact Jaccard self-join of word n-gram sets, with bitmaps that bound the overlap.
+"""Exact Jaccard self-join of word n-gram sets: size-banded tiles, and bitmaps that bound the overlap.
 
 1. Every text becomes the sorted array of 64-bit hashes of its distinct n-grams.
    Equal sets are one class; only one representative of a class goes on.
-2. Two sets that link have sizes within the threshold of each other and share an
-   entry of their prefixes (the first few n-grams in an order common to all). The
-   order puts n-grams that a sample of documents shows to be frequent last, which
-   keeps common passages out of the prefixes; any order gives the same result.
-3. First, in each tile (a prefix n-gram and a band of sizes) every set is compared
-   with one member only, in two rounds. Verified links give first components.
-4. Then tiles that hold more than one component are joined with themselves, for
-   pairs of different components that pass the size and position bounds.
-5. Each candidate pair passes the bitmap bound (the bits in which two parity
+2. Sets are banded by size. Two sets that link and of which the larger lies in a band differ in
+   at most k n-grams, k being the same for the band. Their n-grams are dealt to more than k parts by
+   hash, so one part at least is equal in both. A set is filed under a tile, (band, part, digest
+   of the part), for each part, in its own band and in those where larger partners may lie. A part of some six
+   n-grams is rarely shared by chance, and a passage that many texts hold fills few whole parts.
+   Empty parts are equal without saying much, so they are not filed: a set with too many of them
+   for that is dealt once more in another way, until it has few (`deal`).
+3. `tiles.linked_groups` compares the members of a tile and finds the connected groups.
+4. Each candidate pair passes the bitmap bound (the bits in which two parity
    bitmaps differ are a lower bound of the sets' difference) before the arrays
    are intersected.
 
@@ -26,24 +26,23 @@ Only the named columns are read.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from quillframe.llm.common import map_rows, stored, utf8
-from quillframe.llm.components import components
+from quillframe.llm.common import discard, map_rows, stored, text_key, utf8
+from quillframe.llm.tiles import linked_groups
 
-# The sample that shows which n-grams are frequent: rows, and how many of them hold one.
-SAMPLE_ROWS, FREQUENT_IN = 8000, 8
-# Places in the prefix (first, how many) whose tiles are compared with one member, round by round.
-STAR_ROUNDS = ((1, 3), (4, 8))
+# Sizes of a band differ by this factor at most; more tiles a set, or more bands to look in.
+BAND_RATIO = 1.5
+# Ways to deal n-grams to parts; the last one files empty parts too.
+DEALS = 12
 CACHE_WORDS = 500_000
 # Ids brought to every task instead of shuffling texts: at most this many (8 bytes each).
 BROADCAST_IDS = 500_000
-SCHEMA = "n long, class binary, prefix array<long>, bits binary"
+SCHEMA = "key long, n long, class binary, tiles array<long>, bits binary"
 
 
 class WordHashes(dict):
@@ -98,56 +97,78 @@ def most_overlap(a: int, b: int, bits_a: bytes, bits_b: bytes) -> int:
     return (a + b - int(np.bitwise_count(x ^ y).sum())) // 2
 
 
-def sketches(
-    df: DataFrame, id_col: str, text_col: str, size: int, percent: int, frequent: np.ndarray
-) -> DataFrame:
-    """(id, n, class, prefix, bits) of every row; an empty set has class null."""
+def bands(n: int, percent: int) -> list[tuple[int, int]]:
+    """(lowest, highest) size of the bands in which a set of size ``n`` is filed.
+
+    Its own, and those where a larger set that links with it may lie.
+    """
+    low, out = 1, []
+    while 100 * n >= percent * low:
+        high = max(low + 1, math.ceil(low * max(BAND_RATIO, 100 / percent))) - 1
+        if n <= high:
+            out.append((low, high))
+        low = high + 1
+    return out
+
+
+def _mixed(codes: np.ndarray) -> np.ndarray:
+    codes = (codes ^ (codes >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return codes ^ (codes >> np.uint64(29))
+
+
+def deal(codes: np.ndarray, percent: int) -> np.ndarray:
+    """The tiles of a set.
+
+    Of two sets of a band that link, all but k parts are equal. With k + 1 + spare parts
+    that is more than ``spare``; if one of the sets has at most ``spare`` empty parts, an equal part is left
+    that is not empty, and both are filed under it. If both have more, both are dealt again.
+    """
+    out = [np.zeros(0, np.uint64)]
+    for low, high in bands(len(codes), percent):
+        most = 2 * high * (100 - percent) // (100 + percent)
+        if not most:
+            continue  # Only equal sets link.
+        spare = 2 if most >= 5 else 0
+        parts = most + 1 + spare
+        for turn in range(DEALS):
+            seed = np.uint64((low * DEALS + turn) * 0x9E3779B97F4A7C15 % (1 << 64))
+            mixed = _mixed(codes + seed)
+            part = ((mixed >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+            sums = np.zeros(parts, np.uint64)
+            np.add.at(sums, part, _mixed(mixed))
+            held = np.bincount(part, minlength=parts) > 0
+            empty = parts - int(held.sum())
+            if turn == DEALS - 1:
+                held[:] = True
+            at = np.flatnonzero(held)
+            out.append(_mixed(sums[at] + _mixed(at.astype(np.uint64) + seed)))
+            if empty <= spare:
+                break
+    return np.concatenate(out)
+
+
+def sketches(df: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """(id, key, n, class, tiles, bits) of every row; key is a digest of the text, an empty set has class null."""
 
     def make():
         words = WordHashes()
 
         def work(given: dict[str, list]) -> dict[str, list]:
-            out: dict[str, list] = {"id": given["id"], "n": [], "class": [], "prefix": [], "bits": []}
+            out: dict[str, list] = {c: given[c] for c in ("id", "key")} | {c: [] for c in ("n", "class", "tiles", "bits")}
             for t in given["text"]:
                 codes = ngrams(t, size, words)
                 n = len(codes)
-                keep = n - -(-percent * n // 100) + 1 if n else 0
-                late = np.isin(codes, frequent, assume_unique=True) if len(frequent) else np.zeros(n, bool)
-                first = codes[~late][:keep]
-                if len(first) < keep:
-                    first = np.concatenate([first, codes[late][: keep - len(first)]])
                 out["n"].append(n)
                 out["class"].append(hashlib.blake2b(codes.tobytes(), digest_size=16).digest() if n else None)
-                out["prefix"].append(first.view(np.int64))
+                out["tiles"].append(deal(codes, percent).view(np.int64))
                 out["bits"].append(parity_bits(codes))
             return out
 
         return work
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_rows(df, {"id": F.col(f"`{id_col}`"), "text": utf8(text_col)}, make, f"id {kind}, {SCHEMA}")
-
-
-def frequent_ngrams(df: DataFrame, id_col: str, text_col: str, size: int) -> np.ndarray:
-    """N-grams that FREQUENT_IN of about SAMPLE_ROWS rows hold; steers the order only.
-
-    The sample is bounded, so the list is (by the length of its texts), whatever the table's size.
-    """
-    total = df.count()
-    share = min(1.0, SAMPLE_ROWS / max(total, 1))
-    some = df.filter(F.pmod(F.xxhash64(F.col(f"`{id_col}`"), F.lit(17)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-
-    def make():
-        words = WordHashes()
-
-        def work(given: dict[str, list]) -> dict[str, list]:
-            return {"codes": [ngrams(t, size, words).view(np.int64) for t in given["text"]]}
-
-        return work
-
-    codes = map_rows(some, {"text": utf8(text_col)}, make, "codes array<long>")
-    often = codes.select(F.explode("codes").alias("code")).groupBy("code").count().filter(F.col("count") >= FREQUENT_IN)
-    return np.sort(np.array([r[0] for r in often.select("code").collect()], np.int64).view(np.uint64))
+    columns = {"id": F.col(f"`{id_col}`"), "key": text_key(text_col), "text": utf8(text_col)}
+    return map_rows(df, columns, make, f"id {kind}, {SCHEMA}")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, df: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
@@ -208,9 +229,27 @@ def _linked(pairs: DataFrame, sets: DataFrame, df: DataFrame, id_col: str, text_
     return stored(checked.filter("fine").drop("fine"), "ngram-links")
 
 
-def band(n: Column, percent: int) -> Column:
-    """Sizes that can link lie in one band or in neighbouring ones."""
-    return F.floor(F.log(n.cast("double")) / F.lit(float(np.log(100 / percent)))).cast("int")
+def classes(
+    df: DataFrame, id_col: str, text_col: str, size: int, percent: int
+) -> tuple[DataFrame, DataFrame]:
+    """(id, key, n, class) of every row, and (class, id, component, component_id) of every class.
+
+    ``component`` is the class that stands for the component, ``component_id`` the smallest id in it.
+    """
+    every = stored(sketches(df, id_col, text_col, size, percent), "ngram-sketches")
+    sets = stored(
+        every.filter("n > 0").groupBy("class").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "bits")]),
+        "ngram-sets",
+    )
+    filed = every.select(F.col("class").alias("node"), F.explode("tiles").alias("tile"))
+    roots = linked_groups(filed, lambda pairs: _linked(pairs, sets, df, id_col, text_col, size, percent))
+    named = sets.select("class", "id").join(roots.withColumnRenamed("node", "class"), "class", "left")
+    named = named.withColumn("component", F.coalesce("root", "class")).drop("root")
+    smallest = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    found = stored(named.join(smallest, "component").select("class", "id", "component", "component_id"), "ngram-classes")
+    rows = stored(every.select("id", "key", "n", "class"), "ngram-rows")
+    discard(every, sets, roots)
+    return rows, found
 
 
 def groups(
@@ -221,78 +260,30 @@ def groups(
     percent: int = 85,
 ) -> DataFrame:
     """(id, n, component_id): the size of each row's set and the smallest id reachable by links."""
-    frequent = frequent_ngrams(df, id_col, text_col, size)
-    every = stored(sketches(df, id_col, text_col, size, percent, frequent), "ngram-sketches")
-    sets = stored(
-        every.filter("n > 0")
-        .groupBy("class")
-        .agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "prefix", "bits")]),
-        "ngram-sets",
-    )
-
-    roots = None
-    for start, keys in STAR_ROUNDS:
-        heads = sets.select(
-            "class", band(F.col("n"), percent).alias("band"), F.explode(F.slice("prefix", start, keys)).alias("key")
-        )
-        if roots is not None:
-            heads = heads.join(roots.withColumnRenamed("node", "class"), "class", "left")
-        heads = heads.withColumn("root", F.coalesce("root", "class") if roots is not None else F.col("class"))
-        # Another member leads each tile, so that one odd set does not lead them all.
-        lead = F.min(F.struct(F.xxhash64("class", "key"), F.col("class").alias("a"), F.col("root").alias("lead")))
-        least = heads.groupBy("key", "band").agg(
-            lead.alias("lead"), F.min("root").alias("low"), F.max("root").alias("high")
-        )
-        least = least.filter("low <> high").select("key", "band", "lead.a", "lead.lead")
-        stars = heads.join(least, ["key", "band"]).filter("root <> lead")
-        stars = stars.select("a", F.col("class").alias("b")).distinct()
-        found = _linked(stars, sets, df, id_col, text_col, size, percent)
-        roots = stored(components(found, known=roots), "ngram-roots")
-
-    rows = sets.select("class", "n", F.posexplode("prefix").alias("pos", "key"))
-    rows = rows.join(roots.withColumnRenamed("node", "class"), "class", "left")
-    rows = rows.withColumn("root", F.coalesce("root", "class"))
-    tile = Window.partitionBy("key")
-    rows = rows.withColumn("low", F.min("root").over(tile)).withColumn("high", F.max("root").over(tile))
-    rows = stored(rows.filter("low <> high").drop("low", "high"), "ngram-tiles")
-    x, y = [rows.select(F.col("key"), *[F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "pos", "root")]) for s in "ab"]
-    needed = F.ceil(F.lit(percent) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
-    pairs = (
-        x.join(y, "key")
-        .filter(
-            (F.col("root_a") != F.col("root_b"))
-            & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("class_a") < F.col("class_b"))))
-            & (F.col("n_b") * percent <= F.col("n_a") * 100)
-            & (1 + F.least(F.col("n_a") - F.col("pos_a") - 1, F.col("n_b") - F.col("pos_b") - 1) >= needed)
-        )
-        .select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
-        .distinct()
-    )
-    second = _linked(pairs, sets, df, id_col, text_col, size, percent)
-    roots = stored(components(second, known=roots), "ngram-roots")
-
-    named = sets.select("class", "id").join(roots.withColumnRenamed("node", "class"), "class", "left")
-    named = named.withColumn("root", F.coalesce("root", "class"))
-    smallest = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    of_class = named.join(smallest, "root").select("class", "component_id")
-    out = every.select("id", "n", "class").join(of_class, "class", "left")
+    rows, found = classes(df, id_col, text_col, size, percent)
+    out = rows.join(found.select("class", "component_id"), "class", "left")
     return out.select("id", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def keep_one(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, percent: int = 85
 ) -> DataFrame:
-    """``df`` without the rows that link, over any number of steps, to one of a smaller id; repeated rows stay once.
+    """``df`` with one row of each connected group: that of the smallest id, and of its texts the least by digest.
 
-    Rows without an id, or without words, stay.
+    Texts of one id in different groups stay apart; repeated rows stay once. Rows without an id, or without words, stay.
     """
-    found = stored(groups(df, id_col, text_col, size, percent), "ngram-groups")
-    gone = found.filter(F.col("id") != F.col("component_id")).select(F.col("id").alias("gone")).distinct()
+    rows, found = classes(df, id_col, text_col, size, percent)
+    named = rows.filter("id IS NOT NULL AND n > 0").join(found.select("class", "component"), "class")
+    first = named.groupBy("component").agg(F.min(F.struct("id", "key")).alias("first"))
+    gone = named.join(first, "component").filter(F.struct("id", "key") != F.col("first"))
+    gone = stored(gone.select(F.col("id").alias("gone_id"), F.col("key").alias("gone_key")).distinct(), "ngram-gone")
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    left = df.join(gone, F.col(f"`{id_col}`") == F.col("gone"), "left_anti")
-    again = found.filter("id IS NOT NULL").groupBy("id").count().filter("count > 1").select(F.col("id").alias("again"))
+    key = text_key(text_col)
+    left = df.join(gone, (F.col(f"`{id_col}`") == F.col("gone_id")) & (key == F.col("gone_key")), "left_anti")
+    again = rows.filter("id IS NOT NULL").groupBy("id", "key").count().filter("count > 1")
+    again = again.select(F.col("id").alias("again"), F.col("key").alias("again_key"))
     if again.isEmpty():
         return left
-    same = F.col(f"`{id_col}`") == F.col("again")
+    same = (F.col(f"`{id_col}`") == F.col("again")) & (key == F.col("again_key"))
     return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))

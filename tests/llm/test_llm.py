@@ -12,11 +12,12 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from quillframe.llm import (
-    bpe, components, hnsw, licenses, line_dedup, ngram_join, packing, pii, quality, queries, url_filter, weak_labels,
+    bpe, components, hnsw, licenses, line_dedup, ngram_join, packing, pii, quality, queries, tiles, url_filter, weak_labels,
 )
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -494,6 +495,60 @@ def test_ngram_join_against_all_pairs(spark, docs, empty):
     assert ngram_join.groups(empty).count() == 0
 
 
+def test_sets_that_link_share_a_tile():
+    rng = np.random.default_rng(12)
+    for n in [1, 2, 6, 7, 8, 12, 13, 19, 20, 30, 44, 45, 100, 400, 2000] * 4:
+        for percent in (80, 85):
+            base = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+            # The most that may differ: members replaced, left out or added.
+            gone = int(rng.integers(0, n + 1))
+            for more in range(n + 1):
+                both = len(base) - gone
+                if 100 * both >= percent * (len(base) + more):
+                    continue
+                break
+            other = np.unique(np.concatenate([base[gone:], rng.integers(0, 1 << 62, max(more - 1, 0)).astype(np.uint64)]))
+            both, all_ = len(np.intersect1d(base, other)), len(np.union1d(base, other))
+            if both < all_ and 100 * both >= percent * all_:
+                assert len(np.intersect1d(ngram_join.deal(base, percent), ngram_join.deal(other, percent))), (n, percent)
+    sizes = {n for n in range(1, 3000) for _ in [0] if not any(a <= n <= b for a, b in ngram_join.bands(n, 85))}
+    assert not sizes
+
+
+def test_a_text_that_shares_its_id_with_a_copy_stays(spark):
+    copy = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, copy), (2, copy + " end"), (2, "quite another text of some words"), (3, copy.upper()), (None, copy)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in ngram_join.keep_one(df).collect()} == {rows[0], rows[2], rows[4]}
+
+
+def test_large_groups_are_not_paired(spark):
+    """A hub and copies of it that are not alike among themselves; pairs looked at grow with the members."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    seen = {}
+    for members in (60, 240):
+        rows = [(0, " ".join(base))]
+        for i in range(1, members):
+            words = list(base)
+            for at in rng.sample(range(0, 120, 4), 2):
+                words[at] = f"n{i}x{at}"
+            rows.append((i, " ".join(words)))
+        asked = []
+        filed = ngram_join.sketches(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 4, 85)
+        filed = filed.select(F.col("id").alias("node"), F.explode("tiles").alias("tile"))
+
+        def link(pairs):
+            pairs = pairs.collect()
+            asked.append(len(pairs))
+            return spark.createDataFrame([(r.a, r.b) for r in pairs if r.a == 0], "a long, b long")
+
+        found = tiles.linked_groups(filed, link).collect()
+        assert {r.node for r in found} == set(range(members)) and {r.root for r in found} == {0}
+        seen[members] = sum(asked)
+    assert seen[240] <= 6 * seen[60] <= 6 * 4 * 60
+
+
 def test_bitmaps_bound_from_above():
     rng = np.random.default_rng(4)
     for _ in range(100):
