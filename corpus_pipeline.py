@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.llm import line_dedup, ngram_join, packing, pii, quality
-from quillframe.llm.common import stored
+from quillframe.llm.common import discard, stored
 
 # Near-duplicate documents: shingles of so many words, and the similarity in percent.
 SHINGLE_WORDS, SIMILAR_PERCENT = 5, 80
@@ -28,7 +28,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each line kept at its first occurrence only."""
-    return _counted(line_dedup.dedup(docs, whole=True))
+    return _counted(line_dedup.dedup(docs))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,5 +64,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
     return docs
