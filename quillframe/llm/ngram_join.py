@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -116,6 +117,21 @@ def _mixed(codes: np.ndarray) -> np.ndarray:
     return codes ^ (codes >> np.uint64(29))
 
 
+@cache
+def parts_of(low: int, high: int, percent: int) -> tuple[int, int]:
+    """(parts, spare) of a band: the most n-grams in which linked sets differ, 1, and the empty parts to expect."""
+    most = 2 * high * (100 - percent) // (100 + percent)
+    spare = 0
+    while most:
+        parts = most + 1 + spare
+        empty = parts * math.exp(-low * percent / 100 / parts)
+        # Where that takes too many parts, as with few n-grams, sets are rather dealt again.
+        if low < 30 or empty + 2 * math.sqrt(empty) <= spare or spare > most // 3:
+            return parts, spare
+        spare += 1
+    return 0, 0
+
+
 def deal(codes: np.ndarray, percent: int) -> np.ndarray:
     """The tiles of a set.
 
@@ -125,11 +141,9 @@ def deal(codes: np.ndarray, percent: int) -> np.ndarray:
     """
     out = [np.zeros(0, np.uint64)]
     for low, high in bands(len(codes), percent):
-        most = 2 * high * (100 - percent) // (100 + percent)
-        if not most:
+        parts, spare = parts_of(low, high, percent)
+        if not parts:
             continue  # Only equal sets link.
-        spare = 2 if most >= 5 else 0
-        parts = most + 1 + spare
         for turn in range(DEALS):
             seed = np.uint64((low * DEALS + turn) * 0x9E3779B97F4A7C15 % (1 << 64))
             mixed = _mixed(codes + seed)
