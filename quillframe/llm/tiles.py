@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import discard, stored
@@ -43,22 +43,38 @@ def _rooted(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def linked_groups(filed: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, root) of every node with a link; ``link`` returns the (a, b) of given pairs that link, a < b."""
+def linked_groups(
+    filed: DataFrame,
+    link: Callable[[DataFrame], DataFrame],
+    side: DataFrame | None = None,
+    may: Callable[[str, str], Column] | None = None,
+) -> DataFrame:
+    """(node, root) of every node with a link; ``link`` returns the (a, b) of given pairs that link, a < b.
+
+    ``side`` (node, ...) has what ``may`` needs of two nodes to tell pairs that cannot link; it is given the
+    suffixes of their columns.
+    """
     rows = _live(filed)
+    extra = [] if side is None else [c for c in side.columns if c != "node"]
+    if may is None:
+        may = lambda a, b: F.lit(True)
     sizes = rows.groupBy("tile").agg(F.count("node").alias("size"))
     company = rows.join(sizes, "tile").groupBy("node").agg(F.sum("size").alias("company"))
-    rows = stored(rows.join(company, "node"), "tile-rows")
+    rows = rows.join(company, "node")
+    rows = stored(rows if side is None else rows.join(side, "node"), "tile-rows")
 
     roots = None
     for turn in range(2):
         now = _rooted(rows, roots)
         # A tile's components, with the member that speaks for each.
-        rank = F.struct(F.col("company") if turn == 0 else F.xxhash64("node", "tile"), F.col("node"))
+        rank = F.struct(F.col("company") if turn == 0 else F.xxhash64("node", "tile"), F.col("node"), *extra)
         parts = now.groupBy("tile", "root").agg(F.count("node").alias("size"), F.max(rank).alias("head"))
         lead = parts.groupBy("tile").agg(F.max(F.struct("size", "head", "root")).alias("lead"), F.count("root").alias("parts"))
-        lead = lead.filter("parts > 1").select("tile", F.col("lead.head.node").alias("lead"), F.col("lead.root").alias("lead_root"))
-        stars = now.join(lead, "tile").filter("root <> lead_root")
+        lead = lead.filter("parts > 1").select(
+            "tile", F.col("lead.head.node").alias("lead"), F.col("lead.root").alias("lead_root"),
+            *[F.col(f"lead.head.{c}").alias(f"{c}_lead") for c in extra],
+        )
+        stars = now.join(lead, "tile").filter((F.col("root") != F.col("lead_root")) & may("", "_lead"))
         stars = stars.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
         found = link(stars)
         before, roots = roots, stored(components(found, known=roots), "tile-roots")
@@ -68,10 +84,12 @@ def linked_groups(filed: DataFrame, link: Callable[[DataFrame], DataFrame]) -> D
     parts = now.groupBy("tile", "root").agg(F.count("node").alias("size"))
     most = parts.groupBy("tile").agg(F.max(F.struct("size", "root")).alias("most"), F.count("root").alias("parts"))
     rest = now.join(most.filter("parts > 1").select("tile", F.col("most.root").alias("most")), "tile")
-    rest = stored(rest.select("tile", "node", "root", "most"), "tile-rest")
-    x, y = [rest.select("tile", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "most")]) for s in "ab"]
+    rest = stored(rest.select("tile", "node", "root", "most", *extra), "tile-rest")
+    x, y = [rest.select("tile", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "most", *extra)]) for s in "ab"]
     pairs = x.filter("root_a <> most_a").join(y, "tile").filter(
-        (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("most_b")) | (F.col("node_a") < F.col("node_b")))
+        (F.col("root_a") != F.col("root_b"))
+        & ((F.col("root_b") == F.col("most_b")) | (F.col("node_a") < F.col("node_b")))
+        & may("_a", "_b")
     )
     pairs = pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
     found = link(pairs)
