@@ -6,7 +6,6 @@ cells) are derived from every row by SQL that both engines run as it stands.
 
 from __future__ import annotations
 
-import importlib.util
 from collections.abc import Callable
 from itertools import combinations
 
@@ -559,6 +558,25 @@ def _group_means(spark, sf_dir):
     return found.select("class", "column_name", "n", *_round(["mean"]))
 
 
+RETURNED_GAPS = f"""
+SELECT {', '.join(NUMBERS)}, CASE WHEN l_linenumber = 2 THEN NULL WHEN l_linenumber = 4 THEN CAST('NaN' AS DOUBLE)
+  WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS returned FROM lineitem
+"""
+
+
+@_query(
+    "group_means_gaps",
+    " UNION ALL ".join(
+        f"""SELECT returned AS class, '{c}' AS column_name, COUNT({c}) AS n,
+        ROUND(AVG({c}), 4) AS mean FROM ({RETURNED_GAPS}) WHERE NOT isnan(returned) GROUP BY returned"""
+        for c in NUMBERS
+    ),
+)
+def _group_means_gaps(spark, sf_dir):
+    found = groups.group_means(_derive(spark, sf_dir, RETURNED_GAPS), "returned", NUMBERS)
+    return found.select("class", "column_name", "n", *_round(["mean"]))
+
+
 def _group_diff_sql(c: str) -> str:
     return f"""
     SELECT '{c}' AS column_name, ROUND(a, 4) AS mean_in, ROUND(b, 4) AS mean_out,
@@ -1265,6 +1283,25 @@ def _run_summary(spark, sf_dir):
     return transcripts.run_summary(_derive(spark, sf_dir, TRACE))
 
 
+# The table a run looks at: the documents of one source.
+RUN_TABLE = """
+SELECT c.conv_id, t.n AS "rows", CAST(5 AS BIGINT) AS cols
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+JOIN (SELECT source, COUNT(*) AS n FROM documents GROUP BY source) t ON t.source = CONCAT('src', c.conv_id % 20)
+"""
+
+
+@_query(
+    "run_summary_shape",
+    f"""SELECT s.*, t."rows", t.cols FROM (SELECT conv_id, COUNT(*) AS events,
+        COUNT(*) FILTER (type = 'tool_call') AS tool_calls, CAST(LEAST(SUM(charts), 8) AS BIGINT) AS charts,
+        BOOL_OR(suspicious) AS suspicious FROM ({TRACE}) GROUP BY conv_id) s LEFT JOIN ({RUN_TABLE}) t USING (conv_id)""",
+)
+def _run_summary_shape(spark, sf_dir):
+    shapes = _derive(spark, sf_dir, RUN_TABLE.replace('"', "`"))
+    return transcripts.run_summary(_derive(spark, sf_dir, TRACE), shapes=shapes)
+
+
 # --------------------------------------------------------------------------
 # Sources and sampling
 # --------------------------------------------------------------------------
@@ -1612,18 +1649,20 @@ def _f1_auc(spark, sf_dir):
 # --------------------------------------------------------------------------
 
 # The training-data operators are a subpackage of their own, which may be absent.
-if importlib.util.find_spec("quillframe.llm") is not None:
+try:
     import corpus_pipeline
     from quillframe.llm import queries as llm_queries
-
+except ImportError:
+    pass
+else:
     _QUERIES.update(llm_queries.QUERIES)
     _QUERIES["pipeline"] = corpus_pipeline.run
     _ORACLES.update(llm_queries.ORACLES)
 
 
-def entry(spark: SparkSession) -> DataFrame:
+def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
     """The five-section report on ``lineitem``."""
-    return _QUERIES["auto_report"](spark, "/root/testdata/sf0.001")
+    return _QUERIES["auto_report"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:

@@ -47,7 +47,7 @@ def with_class_weight(df: DataFrame, target: str, name: str = "weight") -> DataF
 
 
 def group_means(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
-    """``(class, column_name, n, mean)`` for every class and column, one pass."""
+    """``(class, column_name, n, mean)`` for every class and column, one pass; rows without a class are left out."""
     columns = list(columns)
     means = [
         F.struct(
@@ -55,7 +55,7 @@ def group_means(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame
         ).alias(f"m{i}")
         for i, c in enumerate(columns)
     ]
-    data = as_doubles(df.withColumn(target, present(target, df.schema[target].dataType)), columns, [target])
+    data = as_doubles(_known(df, target), columns, [target])
     wide = data.groupBy(F.col(target).alias("class")).agg(*means)
     return wide.select("class", F.inline(F.array(*[f"m{i}" for i in range(len(columns))])))
 

@@ -146,11 +146,15 @@ def final_answer(
     )
 
 
-def run_summary(trace: DataFrame, key: str = "conv_id") -> DataFrame:
-    """``(key, events, tool_calls, charts, suspicious)`` per run."""
-    return trace.groupBy(key).agg(
+def run_summary(trace: DataFrame, key: str = "conv_id", shapes: DataFrame | None = None) -> DataFrame:
+    """``(key, events, tool_calls, charts, suspicious)`` per run.
+
+    ``shapes`` (key, rows, cols) adds the size of the table that the run analysed, one row a run.
+    """
+    summary = trace.groupBy(key).agg(
         F.count("*").alias("events"),
         F.count_if(F.col("type") == "tool_call").alias("tool_calls"),
         F.least(F.sum("charts"), F.lit(V.MAX_CHARTS)).cast("bigint").alias("charts"),
         F.bool_or("suspicious").alias("suspicious"),
     )
+    return summary if shapes is None else summary.join(shapes, key, "left")
