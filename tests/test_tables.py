@@ -75,9 +75,8 @@ def test_nearly_unique_column_is_not_technical(spark):
     assert [r["role"] for r in profile.column_roles(df).collect()] == ["numeric", "technical"]
 
 
-def test_correlation_matrix_equals_pandas(health, monkeypatch):
+def test_correlation_matrix_equals_pandas(health):
     frame, df = health
-    monkeypatch.setattr(correlation, "PAIRS_PER_PASS", 4)
     want = frame.corr(numeric_only=True)
     found = correlation.corr_long(df).collect()
     assert len(found) == want.size
