@@ -1330,7 +1330,8 @@ def _csv_roundtrip(spark, sf_dir):
     ).write.option("escape", '"').csv(path, header=True)
     size = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+        # Ranges of a few bytes a row make some ten of them at any size.
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(4 * _table(spark, sf_dir, "events").count() + 1))
         read = tables.read_csv_table(spark, path)
         many = spark.read.text(path).rdd.getNumPartitions() >= 4
     finally:
