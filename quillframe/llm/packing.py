@@ -17,7 +17,8 @@ gives no pieces, and other columns may have any names.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+import string
+import struct
 from collections import defaultdict, deque
 from collections.abc import Iterator
 
@@ -29,8 +30,11 @@ from quillframe.llm.common import small_batches, utf8
 
 # Entries of one worker's word cache, and the longest word it keeps.
 CACHE_WORDS, CACHED_WORD = 600_000, 64
-# Plain words encoded as one text.
-JOINED_WORDS = 200
+# Marks that end a word, each by itself or in a run.
+PUNCTUATION = string.punctuation.encode()
+# Texts with one of these keep their case until the library has seen them: the beginning of a special
+# token, and of the marks that a small letter can join with where its capital cannot.
+AS_IT_IS = (b"<|", b"\xcc", b"\xcd")
 # Letters below this code point are letters in every version of Unicode in use.
 LETTERS_BELOW = "\u0250"
 # Pieces and bytes of ids at hand when windows are filled; the rest waits for more.
@@ -38,24 +42,68 @@ POOL_PIECES, POOL_BYTES = 4096, 32 << 20
 KEEP_PIECES = 256
 
 
-class Tails(dict):
-    """Ids of the full stops and commas that end words."""
+def byte_letters() -> dict[int, str]:
+    """The visible character by which byte-level vocabularies write each byte."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(seen)]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    def __init__(self, tool: WordTokens):
-        self.tool = tool
 
-    def __missing__(self, tail: bytes) -> bytes:
-        ids = np.array(self.tool._ids([tail.decode()])[0], "<u4").tobytes()
-        if len(tail) <= 3:
-            self[tail] = ids
+WRITTEN = byte_letters()
+
+
+class Words(dict):
+    """Ids of words, learned at their first look-up.
+
+    Letters and the punctuation after them are always split, and a run of letters goes
+    to the library's merges as a whole. So words of plain letters need no splitting,
+    and those with other endings are learned once.
+    """
+
+    def __init__(self, tool: WordTokens, old: dict[bytes, bytes], tails: dict[bytes, bytes]):
+        self.tool, self.old, self.tails = tool, old, tails
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            stem = word.rstrip(PUNCTUATION)
+            written = plain_letters(stem)
+            if written is None:
+                ids = self.tool.whole(word)
+            elif len(stem) == len(word):
+                tokens = self.tool.merges(written)
+                ids = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+            else:
+                ids = self[stem] + self._tail(word[len(stem) :])
+        if len(word) <= CACHED_WORD:
+            self[word] = ids
         return ids
 
+    def _tail(self, tail: bytes) -> bytes:
+        ids = self.tails.get(tail)
+        if ids is None:
+            ids = self.tool.whole(tail)
+            if len(tail) <= 3:
+                self.tails[tail] = ids
+        return ids
+
+
+def plain_letters(stem: bytes) -> str | None:
+    """A stem of plain letters as a byte-level vocabulary writes it, in lower case."""
+    if stem.isalpha():
+        return stem.lower().decode()
+    t = stem.decode("utf-8", "replace")
+    if t.isalpha() and max(t) < LETTERS_BELOW and t.lower().isalpha():
+        return t.lower().encode().decode("latin-1").translate(WRITTEN)
+    return None
+
 
 class WordTokens:
     """Ids of whole texts by the tokenizers library, word by word.
 
-    The vocabulary drops white space, and its splitting never looks across it, so
-    the ids of a text are those of its words one after the other.
+    The vocabulary drops white space and the case of letters, and its splitting never
+    looks across white space, so the ids of a text are those of its words in lower
+    case, one after the other.
     """
 
     def __init__(self, path: str):
@@ -64,64 +112,22 @@ class WordTokens:
         self.tool = Tokenizer.from_file(path)
         self.tool.no_truncation()
         self.tool.no_padding()
-        tokens = self.tool.get_vocab()
-        self.ends_word = np.zeros(max(tokens.values()) + 1, bool)
-        self.ends_word[[i for t, i in tokens.items() if t.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.tails = Tails(self)
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words.
-
-        A letter and the full stops or commas after it are always split, and plain
-        letters become one run of tokens with a marked end. So stems of plain
-        letters go to the library many at a time, as one text.
-        """
-        stems = [w.rstrip(b".,") for w in new]
-        plain, other = [], []
-        for w, stem in zip(new, stems, strict=True):
-            (plain if stem.isalpha() or self._letters(stem) else other).append((w, stem))
-        out, tails = {}, self.tails
-        for i in range(0, len(plain), JOINED_WORDS):
-            some = plain[i : i + JOINED_WORDS]
-            got = np.array(self._ids([b" ".join([stem for _, stem in some]).decode()])[0], "<u4")
-            ends = (4 * (np.flatnonzero(self.ends_word[got]) + 1)).tolist()
-            data, at = got.tobytes(), 0
-            for (w, stem), end in zip(some, ends, strict=True):
-                out[w] = data[at:end] if len(w) == len(stem) else data[at:end] + tails[w[len(stem) :]]
-                at = end
-        for (w, _), ids in zip(other, self._ids([w.decode("utf-8", "replace") for w, _ in other]), strict=True):
-            out[w] = np.array(ids, "<u4").tobytes()
-        return out
-
-    @staticmethod
-    def _letters(stem: bytes) -> bool:
-        t = stem.decode("utf-8", "replace")
-        return t.isalpha() and max(t) < LETTERS_BELOW and t.lower().isalpha()
+        self.merges = self.tool.model.tokenize
+        self.known = Words(self, {}, {})
+
+    def whole(self, word: bytes) -> bytes:
+        """Ids of a text by all steps of the library."""
+        (found,) = self.tool.encode_batch_fast([word.decode("utf-8", "replace")], add_special_tokens=False)
+        return np.array(found.ids, "<u4").tobytes()
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each UTF-8 text."""
-        cut = [t.split() for t in texts]
         if len(self.known) > CACHE_WORDS:
-            self.old, self.known = self.known, {}
-        known = self.known
-        new = set().union(*cut) - known.keys()
-        kept = {w: self.old[w] for w in new if w in self.old}
-        known.update(kept)
-        new.difference_update(kept)
-        extra = self._learn(list(new)) if new else {}
-        known.update((w, b) for w, b in extra.items() if len(w) <= CACHED_WORD)
-        out = []
-        for words in cut:
-            try:
-                out.append(b"".join(map(known.__getitem__, words)))
-            except KeyError:
-                out.append(b"".join([known[w] if w in known else extra[w] for w in words]))
-        return out
+            self.known = Words(self, dict(self.known), self.known.tails)
+        found = self.known.__getitem__
+        return [
+            b"".join(map(found, (t if any(mark in t for mark in AS_IT_IS) else t.lower()).split())) for t in texts
+        ]
 
 
 def closest_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
