@@ -32,10 +32,10 @@ from quillframe.llm.common import stored
 
 SHARD_ROWS, QUERY_ROWS, BLOCKS_AT_ONCE = 8192, 512, 8
 LINKS, WIDTH_BUILD, WIDTH_SEARCH, BATCH = 16, 96, 160, 256
-# Shards of at most so many vectors are searched whole.
-EXACT_ROWS = 512
 # Candidates that a beam opens at a time.
 OPENED = 4
+# The node on all layers, from which every descent starts.
+FIRST = 0
 
 
 class Layer:
@@ -114,10 +114,10 @@ def build(x: np.ndarray, seed: int = 1) -> list[np.ndarray]:
     """Flat neighbour arrays, the widest (all nodes) first; nodes join in batches, upper layers first."""
     n = len(x)
     levels = np.minimum((-np.log(1 - np.random.default_rng(seed).random(n)) / np.log(LINKS)).astype(int), 8)
-    levels[0] = max(levels.max(), 1)
+    levels[FIRST] = max(levels.max(), 1)
     order = np.argsort(-levels, kind="stable")
     layers: list[np.ndarray] = []
-    for level in range(int(levels[0]), -1, -1):
+    for level in range(int(levels[FIRST]), -1, -1):
         nodes = order[: int((levels >= level).sum())]
         links = 2 * LINKS if level == 0 else LINKS
         near = np.full((n, links), -1, np.int32)
@@ -127,7 +127,7 @@ def build(x: np.ndarray, seed: int = 1) -> list[np.ndarray]:
             np.fill_diagonal(among, -np.inf)
             close = np.argsort(-among, axis=1)[:, : min(len(batch) - 1, WIDTH_BUILD // 2)]
             if at:
-                ids, _ = beam(x, x[batch], near, descend(x, x[batch], layers, int(order[0])), WIDTH_BUILD)
+                ids, _ = beam(x, x[batch], near, descend(x, x[batch], layers, FIRST), WIDTH_BUILD)
             wanted: dict[int, list[int]] = {}
             for i, node in enumerate(batch.tolist()):
                 pool = batch[close[i]]
@@ -165,7 +165,7 @@ def _usable(column: Column) -> Column:
     return column.isNotNull() & fine & F.exists(column, lambda c: c != 0)
 
 
-INDEX = "shard long, dim int, rows int, start int, vectors binary, ids binary, ends binary, layers array<binary>"
+INDEX = "shard long, dim int, rows int, vectors binary, ids binary, ends binary, layers array<binary>"
 
 
 def _up_to(last: int) -> Column:
@@ -176,14 +176,12 @@ def _shard_row(table: pa.Table) -> pa.Table:
     """One shard's distinct vectors to its graph."""
     ids = table["ids"].to_pylist()
     v = np.stack([np.asarray(x, np.float64) for x in table["v"].to_pylist()])
-    layers = build(equal_length(v)) if len(v) > EXACT_ROWS else []
-    start = int(np.flatnonzero((layers[-1] >= 0).any(axis=1))[0]) if layers else 0
+    layers = build(equal_length(v))
     return pa.table(
         {
             "shard": table["shard"][:1],
             "dim": table["dim"][:1],
             "rows": pa.array([len(v)], pa.int32()),
-            "start": pa.array([start], pa.int32()),
             "vectors": pa.array([v.tobytes()], pa.binary()),
             "ids": pa.array([np.array([i for some in ids for i in some], np.int64).tobytes()], pa.binary()),
             "ends": pa.array([np.cumsum([len(some) for some in ids]).astype(np.int64).tobytes()], pa.binary()),
@@ -274,14 +272,10 @@ def _answers(row: dict, blocks: list[dict], k: int) -> Iterator[tuple[np.ndarray
         asked = np.frombuffer(block["queries"], np.int64)
         q = np.frombuffer(block["wanted"]).reshape(len(asked), dim)
         long = np.concatenate([q, np.zeros((len(q), 1))], axis=1).astype(np.float32)
-        if layers:
-            entry = descend(x, long, layers[1:], row["start"])
-            nodes, _ = beam(x, long, layers[0], entry, WIDTH_SEARCH)
-        else:
-            nodes = np.broadcast_to(np.arange(n), (len(q), n))
+        nodes, _ = beam(x, long, layers[0], descend(x, long, layers[1:], FIRST), WIDTH_SEARCH)
         for i, own in enumerate(asked.tolist()):
             mine = nodes[i][nodes[i] >= 0]
-            score = np.array([float(np.dot(v[j], q[i])) for j in mine]) if len(mine) <= 64 else v[mine] @ q[i]
+            score = np.einsum("nd,d->n", v[mine], q[i])  # the same sum for a vector, whichever others are met
             best = np.argsort(-score, kind="stable")[: k + 1] if len(mine) > k + 1 else np.arange(len(mine))
             if len(mine) > k + 1:  # nodes that tie with the last one belong too
                 best = np.flatnonzero(score >= score[best[-1]])

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from quillframe.llm.common import map_rows, text
 
 KINDS = ("email", "ip", "card", "phone")
-# Bounded fit: documents sampled, regions kept, passes over them.
-TRAIN_DOCUMENTS, TRAIN_REGIONS, PASSES = 4000, 1200, 8
+# Bounded fit: documents sampled, pieces taken from each and their characters, regions kept, passes over them.
+TRAIN_DOCUMENTS, TRAIN_PIECES, TRAIN_CHARS, TRAIN_REGIONS, PASSES = 4000, 10, 400, 1200, 8
 MAX_TOKENS, MARGIN, FEATURES = 16, 2.0, 4096
 
 # The base patterns.
@@ -248,7 +249,7 @@ def fit(texts: list[str], seed: int = 7) -> np.ndarray | None:
         for a, b in regions(t):
             if len(examples) >= TRAIN_REGIONS:
                 break
-            if b - a > 400:
+            if b - a > TRAIN_CHARS:  # a bound of the fit alone: segments are far shorter
                 continue
             shift = max(0, a - 2)
             around, a, b = t[shift : b + 2], a - shift, b - shift
@@ -289,12 +290,27 @@ def all_spans(t: str, weights: np.ndarray | None) -> list[tuple[int, int, int, b
     base = base_spans(t)
     out = [(*s, True) for s in base]
     if weights is not None:
-        for a, b in regions(t):
-            near = [s for s in base if s[1] < b and s[2] > a]
-            if any(x <= a and b <= y for _, x, y in near):
+        by_start = sorted((x, y) for _, x, y in base)
+        # The base spans as disjoint stretches, in order.
+        starts, ends = [], []
+        for x, y in by_start:
+            if ends and x < ends[-1]:
+                ends[-1] = max(ends[-1], y)
+            else:
+                starts.append(x)
+                ends.append(y)
+        at, open_spans = 0, []
+        for a, b in regions(t):  # in order, so every span is looked at once
+            open_spans = [s for s in open_spans if s[1] > a]
+            while at < len(by_start) and by_start[at][0] < b:
+                if by_start[at][1] > a:
+                    open_spans.append(by_start[at])
+                at += 1
+            if any(x <= a and b <= y for x, y in open_spans):
                 continue
             for k, x, y, lead in Lattice(t, a, b).best(weights):
-                if lead >= MARGIN and not any(s[1] < y and s[2] > x for s in near):
+                last = bisect_left(starts, y) - 1
+                if lead >= MARGIN and (last < 0 or ends[last] <= x):
                     out.append((k, x, y, False))
     out.sort(key=lambda s: (s[0], s[1], s[2]))
     return out
@@ -303,11 +319,13 @@ def all_spans(t: str, weights: np.ndarray | None) -> list[tuple[int, int, int, b
 def sample_texts(df: DataFrame, id_col: str, text_col: str) -> list[str]:
     """At most TRAIN_DOCUMENTS texts with a digit or at-sign, the same ones for the same table.
 
-    Only their lines with one are brought to the driver, at most 4,000 characters of each text.
+    Lines are cut into pieces of ``TRAIN_CHARS``; of the pieces with one, anywhere in the text,
+    the ``TRAIN_PIECES`` with the smallest hashes are brought to the driver.
     """
     # The choice is by hash of the id: a top-k, so every task sends at most k rows.
-    lines = F.filter(F.split(F.col(f"`{text_col}`"), "\n"), lambda x: x.rlike("[0-9@]"))
-    body = F.substring(F.array_join(lines, "\n"), 1, 4000)
+    cut = F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(f"[^\\n]{{1,{TRAIN_CHARS}}}"), F.lit(0))
+    hashed = F.transform(F.filter(cut, lambda x: x.rlike("[0-9@]")), lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))
+    body = F.array_join(F.slice(F.sort_array(hashed), 1, TRAIN_PIECES)["x"], "\n")
     rows = (
         df.filter(F.col(f"`{text_col}`").rlike(r"[0-9]{4}|@"))
         .select(F.xxhash64(F.col(f"`{id_col}`")).alias("h"), body.alias("t"))

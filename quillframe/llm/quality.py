@@ -9,8 +9,9 @@ characters, or its words, are further than a limit (Jensen-Shannon distance, bas
 
 Nulls count as empty text; empty and short texts get their figures and are kept
 unless the base rule fails; texts are read whole; repeated rows are judged alike;
-an empty table gives an empty result. Rows whose language is null or unknown
-are judged but feed no reference; without any reference nothing is rejected.
+an empty table gives an empty result. Rows whose language is null feed no reference
+and are judged by all. A row that states a language without a reference is judged by the
+base rule alone: its distances, still given, say nothing about it. Without any reference nothing is rejected.
 Only the named columns are read, so other columns may have any names.
 """
 
@@ -219,12 +220,14 @@ def quality(
     n_chars = F.aggregate("chars", F.lit(0).cast("long"), lambda a, b: a + b)
     out = counted.withColumn("char_distance", nearest("chars")).withColumn("word_distance", nearest("words"))
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    judged_by = sorted(references["chars"].keys() | references["words"].keys())
+    judged = F.col("ref_lang").isNull() | F.col("ref_lang").isin(judged_by)
     far = ((n_chars >= min_chars) & (F.col("char_distance") > max_char_distance)) | (
         (F.col("n_words") >= min_words) & (F.col("word_distance") > max_word_distance)
     )
     return (
         out.withColumn("base_failed", base)
-        .withColumn("kept", ~base & ~far)
+        .withColumn("kept", ~base & ~(far & judged))
         .drop("chars", "words", "ref_lang")
     )
 

@@ -141,8 +141,9 @@ def _op3_sql() -> str:
         CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
         n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
         NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
-        AND NOT (n_chars >= {quality.MIN_CHARS} AND coalesce(char_distance, 0) > {quality.MAX_CHAR_DISTANCE})
-        AND NOT (n_words >= {quality.MIN_WORDS} AND coalesce(word_distance, 0) > {quality.MAX_WORD_DISTANCE}) AS kept
+        AND (coalesce(lang NOT IN (SELECT lang FROM r), false)
+            OR NOT (n_chars >= {quality.MIN_CHARS} AND coalesce(char_distance, 0) > {quality.MAX_CHAR_DISTANCE})
+            AND NOT (n_words >= {quality.MIN_WORDS} AND coalesce(word_distance, 0) > {quality.MAX_WORD_DISTANCE})) AS kept
     FROM p LEFT JOIN judged USING (row_id)"""
 
 

@@ -6,6 +6,7 @@ import pathlib
 import random
 import re
 import textwrap
+import time
 import zlib
 
 import duckdb
@@ -77,6 +78,11 @@ def test_bpe_on_awkward_rows(docs, empty):
 def test_word_tokens_equal_the_library():
     tool, library = packing.WordTokens(WORDS), Tokenizer.from_file(WORDS)
     texts = small_texts(seed=2)
+    # Capitals that join with a mark only in lower case, special tokens, endings of several marks.
+    odd = ["J\u030c", "H\u0331x", "\u0130", "<|ENDOFTEXT|>", "<|endoftext|>", "a<|endoftext|>", "Foo's", "foo.'s", "x_", "\u00e9a", "e\u0301!?",
+           "a\u00d7", "a\u00d7'", "a\U0001f600__", "3.14", "A1,", "'", "''", "L'", "%%%a", "a%%%", "\u00b5m", "\u017f", "a\x1f"]
+    rng = random.Random(5)
+    texts += [rng.choice(["", " ", "\n"]).join(rng.choices(odd, k=rng.randint(1, 6))) for _ in range(3000)]
     for t, ours, theirs in zip(texts, tool.ids([t.encode() for t in texts]), library.encode_batch(texts, add_special_tokens=False), strict=True):
         assert np.frombuffer(ours, "<u4").tolist() == theirs.ids, t
 
@@ -163,6 +169,15 @@ def test_quality_on_awkward_rows(docs, empty):
     assert kept.columns == docs.columns and quality.keep_good(empty).count() == 0
 
 
+def test_a_language_without_reference_is_judged_by_the_base_rule(spark):
+    rng = random.Random(3)
+    english = [" ".join(rng.choices(quality.COMMON_WORDS["en"], k=200)) for _ in range(60)]
+    other = " ".join("".join(rng.choices("абвгдежзиклмн", k=6)) for _ in range(200))
+    rows = [(100 + i, t, "en") for i, t in enumerate(english)] + [(10, other, "ru"), (11, other, "en"), (12, other, None), (13, "да " * 200, "ru")]
+    got = {r["id"]: r["kept"] for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {**dict.fromkeys(range(100, 160), True), 10: True, 11: False, 12: False, 13: False}
+
+
 def test_jensen_shannon_bounds():
     same = quality.jensen_shannon(np.array([[2, 2], [0, 0]]), np.array([0.5, 0.5]))
     apart = quality.jensen_shannon(np.array([[1, 0]]), np.array([0.0, 1.0]))
@@ -261,6 +276,22 @@ def test_neighbours_recall_ties_and_odd_vectors(spark):
     assert hnsw.search(df.limit(0), asked.limit(0)).count() == 0
     few = df.filter("vec_id < 5")
     assert hnsw.search(few, few, k=20).count() == 20
+    one = df.filter("vec_id = 20")
+    assert hnsw.search(one, one, k=20).count() == 0
+    assert hnsw.search(one.unionByName(one.selectExpr("vec_id + 1 AS vec_id", "embedding", "id", "shard", "v")), one).count() == 1
+
+
+def test_graphs_of_few_vectors_find_all_of_them():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 3, 40, 100, 300):
+        v = rng.normal(size=(n, 8))
+        x = hnsw.equal_length(v)
+        layers = hnsw.build(x)
+        q = np.concatenate([rng.normal(size=(50, 8)), np.zeros((50, 1))], axis=1).astype(np.float32)
+        found, _ = hnsw.beam(x, q, layers[0], hnsw.descend(x, q, layers[1:], hnsw.FIRST), hnsw.WIDTH_SEARCH)
+        best = np.argsort(-(q @ x.T), axis=1)[:, :20]
+        hit = sum(len(set(a.tolist()) & set(b.tolist())) for a, b in zip(found, best, strict=True))
+        assert hit >= 0.99 * best.size, n
 
 
 def test_edit_distance():
@@ -423,6 +454,29 @@ def test_best_segmentation_is_the_best_of_all():
         assert total == pytest.approx(best(n))
 
 
+def test_spans_of_a_long_text_are_those_of_its_parts():
+    """A text of many parts, in time that grows with its length; near and far base spans are told apart."""
+    rng = random.Random(4)
+    weights = np.random.default_rng(4).normal(size=(len(pii.KINDS) + 1, pii.FEATURES))
+    made = ["+1 (555) 010-9999", "a.b@c.de", "10.0.0.1", "4111 1111 1111 1111", "4111 1111\n1111 1111", "555 0100 77", "12345678"]
+    parts = [" word " * rng.randint(1, 4) + rng.choice(made) + " text " for _ in range(400)]
+    want, at = [], 0
+    for part in parts:
+        want += [(k, a + at, b + at, base) for k, a, b, base in pii.all_spans(part, weights)]
+        at += len(part)
+    assert sorted(want) == pii.all_spans("".join(parts), weights)
+    assert any(not s[3] for s in want)
+
+    def seconds(n: int) -> float:
+        text = "".join(parts * n)
+        begun = time.process_time()
+        pii.all_spans(text, weights)
+        return time.process_time() - begun
+
+    short = min(seconds(1) for _ in range(2))
+    assert seconds(10) < 25 * short
+
+
 def test_model_adds_wrapped_spans_and_base_stays(spark, docs, empty):
     rng = random.Random(9)
     body = [(i, f"call +1 ({rng.randint(100, 999)}) 555-{rng.randint(1000, 9999)} or a{i}@mail.example.com at 10.0.{i % 200}.7 now") for i in range(150)]
