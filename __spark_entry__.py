@@ -6,6 +6,7 @@ cells) are derived from every row by SQL that both engines run as it stands.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from itertools import combinations
 
@@ -957,6 +958,42 @@ def _verdict_export(spark, sf_dir):
     return verdict_files.verdict_entries(_derive(spark, sf_dir, VERDICT_ROWS))
 
 
+# Comments in three loads, of which later ones also hold older turns.
+ARRIVING = """
+SELECT conv_id AS id, CONCAT('turn ', CAST(MAX(turn) AS STRING), ' of ', MAX(role)) AS comment_text, turn
+FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn
+"""
+
+
+def _turn_client():
+    """Even turns are toxic, odd ones are not."""
+
+    def client(prompt: str) -> str:
+        comment = prompt.rsplit("\n", 1)[1]
+        even = int(comment.split()[1]) % 2 == 0
+        return json.dumps({"verdict": "toxic" if even else "non-toxic", "reason": comment})
+
+    return client
+
+
+@_query(
+    "stream_verdicts",
+    f"""SELECT CAST(id AS VARCHAR) AS id, CASE WHEN MAX(turn) % 2 = 0 THEN 'toxic' ELSE 'non-toxic' END AS verdict,
+      ARG_MAX(comment_text, turn) AS reason FROM ({ARRIVING}) GROUP BY id""",
+)
+def _stream_verdicts(spark, sf_dir):
+    from quillframe.streaming import moderation as stream
+
+    source, sink, progress = (scratch_path(spark, f"stream-{n}") for n in ("in", "out", "progress"))
+    arriving = _derive(spark, sf_dir, ARRIVING)
+    for load in (2, 0, 1):
+        arriving.where(F.col("turn") % 3 == load).write.mode("append").csv(source, header=True)
+        stream.moderate_new_files(
+            spark, source, sink, _turn_client, progress, order="turn", merge_every=2
+        ).awaitTermination()
+    return stream.current_verdicts(spark, sink)
+
+
 @_query("score_toxicity")
 def _score_toxicity(spark, sf_dir):
     labelled = _derive(spark, sf_dir, LABELLED, costly=True)
@@ -1549,6 +1586,21 @@ def _one_hot(spark, sf_dir):
     return features.one_hot(rows, "l_returnflag").drop("l_returnflag")
 
 
+@_query(
+    "category_index",
+    """SELECT o_orderkey, DENSE_RANK() OVER (ORDER BY category) - 1 AS category_number
+    FROM (SELECT o_orderkey, CONCAT(o_orderpriority, '/', o_custkey) AS category FROM orders
+      WHERE o_custkey % 10 <> 0)
+    UNION ALL SELECT o_orderkey, NULL FROM orders WHERE o_custkey % 10 = 0""",
+)
+def _category_index(spark, sf_dir):
+    rows = _table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.expr("CASE WHEN o_custkey % 10 <> 0 THEN CONCAT(o_orderpriority, '/', o_custkey) END").alias("category"),
+    )
+    return features.with_category_number(rows, "category").drop("category")
+
+
 @_query(
     "standardize",
     """SELECT l_orderkey, l_linenumber,
@@ -1603,6 +1655,63 @@ def _stratified_split(spark, sf_dir):
     )
 
 
+def _newton_sql(steps: int) -> str:
+    """The same split, moments, Newton steps (three unknowns, by determinants) and scores."""
+    key = _KEY_HASH.replace("o_orderkey", "doc_id")
+    solved = ["b0 AS (SELECT 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2)"]
+    for k in range(1, steps + 1):
+        solved.append(
+            f"""s{k} AS (SELECT SUM(w) AS a, SUM(w * x1) AS b, SUM(w * x2) AS c, SUM(w * x1 * x1) AS d,
+              SUM(w * x1 * x2) AS e, SUM(w * x2 * x2) AS f,
+              SUM(y - p) AS g0, SUM((y - p) * x1) AS g1, SUM((y - p) * x2) AS g2
+            FROM (SELECT *, p * (1 - p) AS w FROM (
+              SELECT *, 1 / (1 + EXP(-(w0 + w1 * x1 + w2 * x2))) AS p FROM scaled, b{k - 1} WHERE part = 'train'))),
+            b{k} AS (SELECT
+              w0 + ((d * f - e * e) * g0 + (c * e - b * f) * g1 + (b * e - c * d) * g2) / det AS w0,
+              w1 + ((c * e - b * f) * g0 + (a * f - c * c) * g1 + (b * c - a * e) * g2) / det AS w1,
+              w2 + ((b * e - c * d) * g0 + (b * c - a * e) * g1 + (a * d - b * b) * g2) / det AS w2
+            FROM (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det
+              FROM s{k}, b{k - 1}))"""
+        )
+    return f"""
+    WITH split AS (SELECT *, CASE WHEN place <= FLOOR(n * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS part
+      FROM (SELECT *, COUNT(*) OVER (PARTITION BY toxic) AS n,
+        RANK() OVER (PARTITION BY toxic ORDER BY {key}, doc_id) AS place FROM ({LABELLED}))),
+    moments AS (SELECT AVG(n_chars) AS m1, STDDEV_SAMP(n_chars) AS s1, AVG(quality) AS m2,
+      STDDEV_SAMP(quality) AS s2 FROM split WHERE part = 'train'),
+    scaled AS (SELECT doc_id, part, toxic AS y, COALESCE((n_chars - m1) / s1, 0) AS x1,
+      COALESCE((quality - m2) / s2, 0) AS x2 FROM split, moments),
+    {", ".join(solved)},
+    scored AS (SELECT y, ROUND(1 / (1 + EXP(-(w0 + w1 * x1 + w2 * x2))), 9) AS score
+      FROM scaled, b{steps} WHERE part = 'test'),
+    ranked AS (SELECT y, score, RANK() OVER (ORDER BY score)
+      + (COUNT(*) OVER (PARTITION BY score) - 1) / 2.0 AS rank FROM scored)
+    SELECT ROUND(w0, 5) AS w0, ROUND(w1, 5) AS w1, ROUND(w2, 5) AS w2, n,
+      ROUND(2.0 * tp / NULLIF(p + said, 0), 6) AS f1,
+      ROUND((ranks - p * (p + 1) / 2.0) / NULLIF(p * (n - p), 0), 6) AS auc
+    FROM b{steps}, (SELECT COUNT(*) AS n, COUNT(*) FILTER (y = 1) AS p,
+      COUNT(*) FILTER (y = 1 AND score >= 0.15) AS tp, COUNT(*) FILTER (score >= 0.15) AS said,
+      SUM(CASE WHEN y = 1 THEN rank END) AS ranks FROM ranked)"""
+
+
+NEWTON_STEPS = 5
+
+
+@_query("newton_held_out", _newton_sql(NEWTON_STEPS))
+def _newton_held_out(spark, sf_dir):
+    """Weights fitted on the train part, F1 and AUC on the test part."""
+    from quillframe.plans import modelling, newton
+
+    key = _KEY_HASH.replace("o_orderkey", "doc_id")
+    rows = _derive(spark, sf_dir, LABELLED).select("doc_id", "n_chars", "quality", "toxic")
+    split = features.stratified_split(rows, "toxic", "doc_id", 0.2, F.expr(key))
+    model = newton.fit_newton(split.where("part = 'train'"), "toxic", ["n_chars", "quality"], NEWTON_STEPS)
+    scored = newton.with_newton_score(model, split.where("part = 'test'"))
+    found = modelling.f1_auc(scored.withColumn("score", F.round("score", 9)), "toxic", "score", 0.15)
+    weights = [F.round(F.lit(w), 5).alias(f"w{i}") for i, w in enumerate(model.weights)]
+    return found.select(*weights, "n", *_round(["f1", "auc"], 6))
+
+
 @_query("fit_logistic")
 def _fit_logistic(spark, sf_dir):
     from quillframe.plans import modelling

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from quillframe.operators.correlation import corr_pairs, target_correlations
 from quillframe.operators.groups import prevalence_spread
 from quillframe.operators.profile import column_roles
-from quillframe.support import as_doubles, present, small_or_cut
+from quillframe.support import as_doubles, numbered, present, small_or_cut
 
 # Most categories that become columns of their own.
 MAX_CATEGORIES = 1_000
@@ -58,8 +59,7 @@ def feature_select(
 def one_hot(df: DataFrame, column: str, categories: Sequence[str] | None = None) -> DataFrame:
     """Add a 0/1 column ``<column>_<value>`` per category, in value order.
 
-    With more than ``MAX_CATEGORIES`` values this raises; use the sparse vector
-    of ``plans.modelling`` there.
+    With more than ``MAX_CATEGORIES`` values this raises; use ``one_hot_vector`` there.
     """
     if categories is None:
         seen = df.where(F.col(column).isNotNull()).select(column).distinct()
@@ -74,6 +74,37 @@ def one_hot(df: DataFrame, column: str, categories: Sequence[str] | None = None)
     return df.withColumns(flags)
 
 
+def category_numbers(df: DataFrame, column: str) -> DataFrame:
+    """``(column, number)``: every value but NULL, numbered from 0 in value order.
+
+    Values are sorted by ranges; the driver sees one count a range, never the values.
+    """
+    seen = df.where(F.col(f"`{column}`").isNotNull()).select(F.col(f"`{column}`")).distinct()
+    return numbered(seen, [F.col(f"`{column}`")])
+
+
+def _joined_numbers(df: DataFrame, column: str, numbers: DataFrame, name: str) -> DataFrame:
+    side = small_or_cut(numbers.select(F.col(f"`{column}`").alias("__value"), F.col("number").alias(name)))
+    return df.join(side, F.col(f"`{column}`") == F.col("__value"), "left").drop("__value")
+
+
+def with_category_number(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
+    """Add the value's number of ``category_numbers``; NULL stays NULL."""
+    return _joined_numbers(df, column, category_numbers(df, column), name or f"{column}_number")
+
+
+def one_hot_vector(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
+    """Add a sparse vector with a 1 at the value's number, for any number of values; all 0 for NULL."""
+    numbers = category_numbers(df, column)
+    size = numbers.count()
+    rows = _joined_numbers(df, column, numbers, "__number")
+    rows = rows.withColumn("__number", F.coalesce("__number", F.lit(size)).cast("double"))
+    # The encoder only has to know the largest number; the last one, that of NULL, has no place.
+    largest = df.sparkSession.createDataFrame([(float(size),)], "__number double")
+    encoder = OneHotEncoder(inputCol="__number", outputCol=name or f"{column}_vector").fit(largest)
+    return encoder.transform(rows).drop("__number")
+
+
 def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Replace columns by ``(x - mean) / std``; a constant column becomes NULL.
 
@@ -112,8 +143,9 @@ def stratified_split(
     """Add ``part``: test for the ``floor(share * n)`` smallest hashes per class.
 
     Exact and repeatable without ordering a class as a whole. Counts per class
-    and hash slice show in which slice the border lies; only that slice is ranked
-    to find the border row, and the rows are then compared with it in place.
+    and hash slice show in which slice the border lies, counts per hash in that slice
+    at which hash. Only rows of that one hash are put in order, by ranges, to find the
+    border row, and the rows are then compared with it in place.
     ``hashed`` gives whole numbers in [0, 2**31); ties are broken by ``key``.
     """
     if hashed is None:
@@ -133,23 +165,35 @@ def stratified_split(
     )
 
 
-def _borders(marks: DataFrame, share: float) -> DataFrame:
-    """Per class the last (hash, key) of the test part; no row when that is empty."""
-    of_class = W.partitionBy("__class")
-    upto = of_class.orderBy("__slice").rowsBetween(W.unboundedPreceding, 0)
-    wanted = F.floor(F.sum("n").over(of_class) * F.lit(share))
-    border_slices = (
-        marks.groupBy("__class", "__slice")
-        .agg(F.count("*").alias("n"))
-        .withColumns({"upto": F.sum("n").over(upto), "wanted": wanted})
+def _crossing(counts: DataFrame, by: str) -> DataFrame:
+    """``(__class, by, place)``: where the running count reaches ``wanted``, and the place there, from 1."""
+    upto = W.partitionBy("__class").orderBy(by).rowsBetween(W.unboundedPreceding, 0)
+    return (
+        counts.withColumn("upto", F.sum("n").over(upto))
         .where("wanted > upto - n AND wanted <= upto")
-        .selectExpr("__class AS c", "__slice AS s", "wanted - upto + n AS place")
+        .selectExpr("__class", by, "wanted - upto + n AS place")
     )
-    in_slice = F.col("__class").eqNullSafe(F.col("c")) & (F.col("__slice") == F.col("s"))
-    rank = F.row_number().over(of_class.orderBy("__h", "__key"))
+
+
+def _rows_at(marks: DataFrame, at: DataFrame, by: str) -> DataFrame:
+    """The rows of ``marks`` at the class and the ``by`` of ``at``, with its place."""
+    side = small_or_cut(at.withColumnsRenamed({"__class": "__c", by: "__by"}))
+    same = F.col("__class").eqNullSafe(F.col("__c")) & (F.col(by) == F.col("__by"))
+    return marks.join(side, same).drop("__c", "__by")
+
+
+def _borders(marks: DataFrame, share: float) -> DataFrame:
+    """Per class the last (hash, key) of the test part; no row when that is empty."""
+    wanted = F.floor(F.sum("n").over(W.partitionBy("__class")) * F.lit(share))
+    by_slice = marks.groupBy("__class", "__slice").agg(F.count("*").alias("n"))
+    in_slice = _rows_at(marks, _crossing(by_slice.withColumn("wanted", wanted), "__slice"), "__slice")
+    by_hash = in_slice.groupBy("__class", "__h").agg(F.count("*").alias("n"), F.max("place").alias("wanted"))
+    tied = _rows_at(marks, _crossing(by_hash, "__h"), "__h")
+    ranked = numbered(tied, [F.col("__class"), F.col("__key")])
+    # Numbers go on from class to class: the border row is ``place`` rows after its class begins.
+    begins = small_or_cut(ranked.groupBy(F.col("__class").alias("__c")).agg(F.min("number").alias("begin")))
     return (
-        marks.join(small_or_cut(border_slices), in_slice)
-        .withColumn("rank", rank)
-        .where("rank = place")
+        ranked.join(begins, F.col("__class").eqNullSafe(F.col("__c")))
+        .where("number = begin + place - 1")
         .select("__class", F.struct("__h", "__key").alias("__border"))
     )

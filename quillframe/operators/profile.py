@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,7 +122,7 @@ def column_roles(df: DataFrame) -> DataFrame:
 
     Numbers that are all 0 or 1 are binary. A whole-number or text column whose
     values never repeat is technical: a sketch picks the candidates and only
-    those are checked exactly. Other text is categorical.
+    those are checked exactly, all in one shuffle. Other text is categorical.
     """
     data = nan_to_null(df)
 
@@ -143,13 +143,54 @@ def column_roles(df: DataFrame) -> DataFrame:
         ],
         F.count("*").alias("__rows"),
     ).first()
-    roles = []
-    for f in data.schema:
-        roles.append((f.name, _role(data, f, row)))
-    return df.sparkSession.createDataFrame(roles, "column_name string, role string")
+    roles = {f.name: _role(f, row) for f in data.schema}
+    repeating = _repeating(data, [f for f in data.schema if roles[f.name] == "technical"])
+    for f in repeating:
+        roles[f.name] = "numeric" if isinstance(f.dataType, T.NumericType) else "categorical"
+    return df.sparkSession.createDataFrame(list(roles.items()), "column_name string, role string")
 
 
-def _role(data: DataFrame, f: T.StructField, row) -> str:
+def _repeating(
+    data: DataFrame, fields: list[T.StructField], digest: Callable[[Column], Column] = F.xxhash64
+) -> list[T.StructField]:
+    """Those of ``fields``, which have no gaps, where some value occurs twice.
+
+    All columns go through one shuffle of (column, 64 bits): a whole number by itself,
+    a text by its digest. Where digests repeat, one of them is looked up; should its
+    texts differ, that column alone is grouped by its texts.
+    """
+    if not fields:
+        return []
+
+    def bits(f: T.StructField) -> Column:
+        col = F.col(f"`{f.name}`")
+        return digest(col) if isinstance(f.dataType, T.StringType) else col.cast("bigint")
+
+    cells = [F.struct(F.lit(i).alias("i"), bits(f).alias("h")) for i, f in enumerate(fields)]
+    counts = data.select(F.inline(F.array(*cells))).groupBy("i", "h").agg(F.count("*").alias("n"))
+    twice = {r["i"]: r["h"] for r in counts.where("n > 1").groupBy("i").agg(F.min("h").alias("h")).collect()}
+    texts = [i for i in twice if isinstance(fields[i].dataType, T.StringType)]
+    if not texts:
+        return [fields[i] for i in sorted(twice)]
+    looked_up = [
+        F.struct(
+            F.lit(i).alias("i"),
+            F.when(bits(fields[i]) == twice[i], F.col(f"`{fields[i].name}`")).alias("value"),
+        )
+        for i in texts
+    ]
+    found = data.select(F.inline(F.array(*looked_up))).where("value IS NOT NULL")
+    same = found.groupBy("i", "value").agg(F.count("*").alias("n")).where("n > 1").select("i").distinct()
+    sure = {r["i"] for r in same.collect()}
+    for i in set(texts) - sure:
+        values = data.groupBy(f"`{fields[i].name}`").agg(F.count("*").alias("__n"))
+        if values.where("__n > 1").isEmpty():
+            del twice[i]
+    return [fields[i] for i in sorted(twice)]
+
+
+def _role(f: T.StructField, row) -> str:
+    """The role, with every candidate for a key taken as technical."""
     if isinstance(f.dataType, T.BooleanType):
         return "binary"
     keyable = isinstance(f.dataType, (T.IntegralType, T.StringType))
@@ -160,9 +201,7 @@ def _role(data: DataFrame, f: T.StructField, row) -> str:
     if numeric and seen["beyond_01"] == 0 and 0 < seen["n"] and seen["values"] <= 2:
         return "binary"
     if keyable and seen["n"] == row["__rows"] > 0 and seen["values"] >= 0.8 * seen["n"]:
-        repeats = data.groupBy(f.name).agg(F.count("*").alias("n")).where("n > 1")
-        if repeats.isEmpty():
-            return "technical"
+        return "technical"
     return "numeric" if numeric else "categorical"
 
 

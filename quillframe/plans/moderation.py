@@ -136,6 +136,17 @@ def ask(
     )
 
 
+def scored_rows(
+    comments: DataFrame,
+    make_client: Callable[[], Callable[[str], str]],
+    max_attempts: int = V.MAX_ATTEMPTS,
+    order: str | None = None,
+) -> DataFrame:
+    """``(id, row_no, verdict, reason)``: every row of a comments table scored."""
+    tries = ask(prompts(comments, order), make_client, max_attempts)
+    return first_valid_attempt(tries, "id", "row_no", max_attempts=max_attempts)
+
+
 def moderate(
     comments: DataFrame,
     make_client: Callable[[], Callable[[str], str]],
@@ -147,6 +158,5 @@ def moderate(
     Of rows with the same id the last one counts: by the column ``order``, else by
     file and place in the file.
     """
-    tries = ask(prompts(comments, order), make_client, max_attempts)
-    verdicts = first_valid_attempt(tries, "id", "row_no", max_attempts=max_attempts)
+    verdicts = scored_rows(comments, make_client, max_attempts, order)
     return newest_per_id(verdicts, "id", "row_no").drop("place")

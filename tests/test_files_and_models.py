@@ -7,9 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillframe.plans import modelling, moderation
+from quillframe.plans import modelling, moderation, newton
 from quillframe.sources import files, tables, verdict_files
-from quillframe.streaming.moderation import moderate_new_files
+from quillframe.streaming.moderation import current_verdicts, moderate_new_files
 
 
 def _write(path: Path, content: bytes | str) -> str:
@@ -177,6 +177,80 @@ def test_stream_scores_each_file_once(spark, tmp_path):
     assert spark.read.json(str(sink)).count() == 3
 
 
+@pytest.mark.parametrize("merge_every", [1, 2, 3, 16])
+def test_stream_keeps_the_newest_verdict_of_an_id(spark, tmp_path, merge_every):
+    source, sink, progress = (tmp_path / n for n in ("in", "out", "progress"))
+    source.mkdir()
+    loads = [
+        "a,You idiot,5\nb,hello,1\nc,idiot,\n",
+        "a,late and older,4\nb,idiot,2\nb,fine,3\n",
+        "c,ordered now,1\na,newest,6\n",
+        "d,alone,\n",
+        "a,You idiot,6\n",
+    ]
+    for i, load in enumerate(loads):  # each run is a restart
+        _write(source / f"{i}.csv", "id,comment_text,no\n" + load)
+        moderate_new_files(
+            spark, str(source), str(sink), _client_factory, str(progress), order="no", merge_every=merge_every
+        ).awaitTermination()
+    found = {r["id"]: (r["verdict"], r["reason"]) for r in current_verdicts(spark, str(sink)).collect()}
+    assert found == {
+        "a": ("toxic", "You idiot"), "b": ("non-toxic", "fine"),
+        "c": ("non-toxic", "ordered now"), "d": ("non-toxic", "alone"),
+    }
+    assert current_verdicts(spark, str(sink)).count() == 4
+    # Merged folders replace older ones.
+    kept = sorted(int(p.name[6:]) for p in sink.glob("batch=*"))
+    assert kept == {1: [3, 4], 2: [3, 4], 3: [2, 3, 4], 16: [0, 1, 2, 3, 4]}[merge_every]
+    assert current_verdicts(spark, str(tmp_path / "nothing")).count() == 0
+
+
+def test_a_repeated_batch_of_the_stream_changes_nothing(spark, tmp_path):
+    source, sink, progress = (tmp_path / n for n in ("in", "out", "progress"))
+    source.mkdir()
+
+    def run():
+        moderate_new_files(
+            spark, str(source), str(sink), _client_factory, str(progress), merge_every=2
+        ).awaitTermination()
+        return {(r["id"], r["verdict"]) for r in current_verdicts(spark, str(sink)).collect()}
+
+    _write(source / "0.csv", "id,comment_text\na,idiot\nb,idiot\n")
+    run()
+    _write(source / "1.csv", "id,comment_text\na,fine\n")
+    want = {("a", "non-toxic"), ("b", "toxic")}
+    assert run() == want
+    # As if the run had been cut off before it noted that batch 1 was done.
+    for name in ("1", ".1.crc"):
+        (progress / "commits" / name).unlink()
+    assert run() == want
+    assert sorted(p.name for p in sink.glob("batch=*")) == ["batch=0", "batch=1"]
+
+
+def test_newton_steps_by_plain_sums(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 3)) * [1, 20, 0.1] + [0, 5, 3]
+    y = (rng.uniform(size=600) < 1 / (1 + np.exp(-(x[:, 0] - 0.1 * x[:, 1])))).astype(int)
+    rows = [(int(a), *map(float, b), 7.0) for a, b in zip(y, x)] + [(None, 1.0, 1.0, 1.0, 7.0)]
+    rows += [(1, float("nan"), None, 3.0, 7.0)]
+    df = spark.createDataFrame(rows, "y int, a double, b double, c double, same double").repartition(5)
+    model = newton.fit_newton(df, "y", ["a", "b", "c", "same"], steps=7)
+    frame = df.where("y IS NOT NULL").toPandas()
+    z = frame[["a", "b", "c"]]
+    z = ((z - z.mean()) / z.std()).fillna(0).to_numpy()
+    z, t, w = np.column_stack([np.ones(len(z)), z]), frame["y"].to_numpy(), np.zeros(4)
+    for _ in range(7):
+        p = 1 / (1 + np.exp(-z @ w))
+        w += np.linalg.solve((z.T * (p * (1 - p))) @ z, z.T @ (t - p))
+    assert np.allclose(model.weights, [*w, 0.0], atol=1e-8)
+    scored = newton.with_newton_score(model, df)
+    assert scored.where("score IS NULL").count() == 0
+    got = np.array(sorted(r["score"] for r in scored.where("y IS NOT NULL").collect()))
+    assert np.allclose(got, sorted(1 / (1 + np.exp(-z @ w))))
+    none = newton.fit_newton(df.limit(0), "y", ["a"])
+    assert none.weights == (0.0, 0.0)
+
+
 def test_text_scores_have_three_bands(spark):
     rows = [(f"you are an idiot number {i}", 1) for i in range(12)]
     rows += [(f"thanks for fixing this item {i}", 0) for i in range(30)]

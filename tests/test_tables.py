@@ -302,6 +302,49 @@ def test_feature_preparation(health):
     assert np.isclose(crossed["age_x_bmi"].sum(), (frame["age"] * frame["bmi"]).sum())
 
 
+def test_split_where_most_rows_have_one_hash(spark):
+    df = spark.range(5000).select("id", F.when(F.col("id") % 5 > 0, "hot").otherwise("rare").alias("y"))
+    split = features.stratified_split(df.repartition(6), "y", "id", 0.3, F.lit(77))
+    tested = {r["id"] for r in split.where("part = 'test'").collect()}
+    hot, rare = ([i for i in range(5000) if (i % 5 > 0) == of] for of in (True, False))
+    assert tested == {*hot[:1200], *rare[:300]}
+
+
+def test_one_hot_vectors_of_many_values(spark):
+    rows = spark.range(100_300).select(
+        "id", F.when(F.col("id") < 100_000, F.format_string("v%06d", "id")).when(F.col("id") % 2 == 0, "v000007").alias("c")
+    )
+    coded = features.one_hot_vector(rows.repartition(7), "c", "v").where("id % 997 = 0 OR id >= 100_000".replace("_", ""))
+    for r in coded.collect():
+        want = [r["id"]] if r["id"] < 100_000 else [7] if r["id"] % 2 == 0 else []
+        assert r["v"].size == 100_000 and r["v"].indices.tolist() == want and r["v"].values.tolist() == [1.0] * len(want)
+    assert features.one_hot_vector(rows.limit(0), "c").count() == 0
+    numbers = {r["c"]: r["number"] for r in features.category_numbers(spark.createDataFrame([("b",), (None,), ("a",), ("b",)], "c string"), "c").collect()}
+    assert numbers == {"a": 0, "b": 1}
+
+
+def test_digests_that_collide_are_looked_up(spark):
+    """Lengths as digests: one column repeats none, one repeats where the lowest digest does not."""
+    df = spark.createDataFrame([("aa", "x", 1, 1), ("bb", "y", 2, 2), ("cc", "zz", 3, 2), ("dd", "zz", 4, 4)], "a string, b string, c int, d int")
+    length = lambda c: F.length(c).cast("bigint")
+    found = profile._repeating(df, list(df.schema), length)
+    assert [f.name for f in found] == ["b", "d"]
+    assert [f.name for f in profile._repeating(df, list(df.schema))] == ["b", "d"]
+
+
+def test_one_job_for_all_candidates_for_a_key(spark):
+    def jobs(width: int) -> int:
+        df = spark.range(500).select(*[(F.col("id") * (i + 1)).alias(f"k{i}") for i in range(width)])
+        group = f"roles-{width}"
+        spark.sparkContext.setJobGroup(group, group)
+        roles = profile.column_roles(df)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert {r["role"] for r in roles.collect()} == {"technical"}
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert 0 < jobs(2) == jobs(20)
+
+
 def test_one_hot_refuses_too_many_values(spark, monkeypatch):
     monkeypatch.setattr(features, "MAX_CATEGORIES", 3)
     with pytest.raises(ValueError):
