@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from quillframe.llm.common import discard, stored
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every u has one v only and no v is a u: then each v is the root of its component."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("top")).union(
+        edges.select("v", F.lit(0), F.lit(1))
+    )
+    ends = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("top").alias("top"))
+    return not ends.agg(F.count_if((F.col("below") > 1) | ((F.col("below") > 0) & (F.col("top") > 0)))).first()[0]
+
+
 def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(node, root) for every node with an edge; ``edges`` has columns a and b of one type.
 
@@ -17,8 +26,8 @@ def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     The root is the smallest node reachable. Each round replaces neighbours by
     the smallest one known, first for larger neighbours, then for smaller ones;
     only minima per node are aggregated, so a hot node is never gathered. Every
-    round is written to the shared folder. Nodes joined only to themselves, and
-    nulls, are left out; an empty table gives none.
+    round is written to the shared folder, and rounds end when each node points straight to
+    a root. Nodes joined only to themselves, and nulls, are left out; an empty table gives none.
     """
     if known is not None:
         for c in ("a", "b"):
@@ -28,8 +37,11 @@ def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(),
         "edges",
     )
-    seen = None
-    while True:
+    if known is not None and now.isEmpty():
+        discard(now)
+        return known
+    # Edges point from the larger node to the smaller.
+    while not _stars(now):
         # Small stars on (larger u, smaller v), then large stars on both directions.
         least = now.groupBy("u").agg(F.min("v").alias("m"))
         small = now.join(least, "u")
@@ -39,10 +51,6 @@ def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         before, now = now, stored(large.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "edges")
         discard(before)
-        count = now.agg(F.count("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(count) == seen:
-            break
-        seen = tuple(count)
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     found = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
     if known is None:
