@@ -83,6 +83,7 @@ def _round(columns: list[str], digits: int = 4) -> list:
 # --------------------------------------------------------------------------
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+REPORT_GROUPS = ["l_linestatus"]
 GAPPY = """
 SELECT event_id, user_id,
        CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END AS event_type,
@@ -1141,6 +1142,10 @@ def _report_sql() -> str:
           SELECT QUANTILE_CONT({c}, 0.25) AS q1, QUANTILE_CONT({c}, 0.75) AS q3 FROM {src}))"""
         for i, c in enumerate(NUMBERS, 1)
     )
+    missing = " UNION ALL ".join(
+        f"SELECT '{c}' AS name, COUNT(*) FILTER ({c} IS NULL) AS n FROM {src}"
+        for c in [*NUMBERS, "l_returnflag", "l_linestatus", "returned"]
+    )
     k = len(NUMBERS)
     titles = [_lit(t) for t in V.REPORT_SECTIONS]
 
@@ -1177,6 +1182,21 @@ def _report_sql() -> str:
             "|| ' % от класса 0)'",
             "r", "s",
         ),
+        bullet(
+            3, f"{k + 1}", "'Пропусков: ' || SUM(n) || ', больше всего в ' || FIRST(name ORDER BY n DESC, name) "
+            "|| ': ' || MAX(n)", "SUM(n)", "gaps",
+        ),
+        *[
+            bullet(
+                3, f"{k + 1 + i}",
+                f"'{g}: доля класса 1 от ' || {num('MIN(p)')} || ' (' || FIRST(v ORDER BY p, v) || ') до ' "
+                f"|| {num('MAX(p)')} || ' (' || FIRST(v ORDER BY p DESC, v DESC) || '), разница ' "
+                f"|| {num('100 * (MAX(p) - MIN(p))', 2)} || ' п. п.'",
+                "100 * (MAX(p) - MIN(p))",
+                f"(SELECT {g} AS v, AVG(returned) AS p FROM {src} GROUP BY {g})",
+            )
+            for i, g in enumerate(REPORT_GROUPS, 1)
+        ],
         bullet(
             4, "i",
             f"CASE WHEN outside > 0 THEN name || ': границы ' || {num('lo')} || ' и ' || {num('hi')} "
@@ -1203,16 +1223,37 @@ def _report_sql() -> str:
     WITH s AS (SELECT *, ROW_NUMBER() OVER (ORDER BY ROUND(ABS(r), 6) DESC, name) AS by_r,
                  ROW_NUMBER() OVER (ORDER BY outside DESC, name) AS by_outside FROM ({stats})),
     c AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (returned = 1) AS n1,
-            COUNT(*) FILTER (returned = 0) AS n0 FROM {src})
+            COUNT(*) FILTER (returned = 0) AS n0 FROM {src}),
+    gaps AS ({missing})
     SELECT section_no, section, n, text, ROUND(value, 4) AS value FROM ({body})"""
 
 
 @_query("auto_report", _report_sql())
 def _auto_report(spark, sf_dir):
-    found = auto.auto_report(_derive(spark, sf_dir, RETURNED), "returned", NUMBERS)
+    found = auto.auto_report(_derive(spark, sf_dir, RETURNED), "returned", NUMBERS, REPORT_GROUPS)
     return found.select("section_no", "section", "n", "text", *_round(["value"]))
 
 
+_IN = "COUNT(*) FILTER (section = {})"
+
+
+@_query(
+    "auto_report_quality",
+    f"""SELECT *, sections = 5 AS has_sections, figures >= 5 AS has_figures,
+        findings >= 5 AND numbered_findings = findings AS has_findings, advice BETWEEN 4 AND 6 AS has_advice
+    FROM (SELECT COUNT(DISTINCT section) AS sections, {_IN.format(_lit(V.SECTION_FIGURES))} AS figures,
+        {_IN.format(_lit(V.SECTION_FINDINGS))} AS findings,
+        COUNT(*) FILTER (section = {_lit(V.SECTION_FINDINGS)} AND regexp_matches(text, '[0-9]')) AS numbered_findings,
+        {_IN.format(_lit(V.SECTION_ADVICE))} AS advice FROM ({_report_sql()}))""",
+)
+def _auto_report_quality(spark, sf_dir):
+    """The flagship report written as text, parsed again and judged by the rules for texts."""
+    found = auto.auto_report(_derive(spark, sf_dir, RETURNED), "returned", NUMBERS, REPORT_GROUPS)
+    parsed = auto.report_text(found).select(report.parse_report(F.col("text")).alias("sections"))
+    judged = parsed.select(report.report_quality(F.col("sections"), F.lit(0)).alias("q"))
+    return judged.select("q.*").drop("has_charts", "complete")
+
+
 # --------------------------------------------------------------------------
 # Transcripts and traces
 # --------------------------------------------------------------------------

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from quillframe.functions import fixed_values as V
 from quillframe.operators.charts import iqr_bounds, outlier_counts
+from quillframe.operators.groups import prevalence
 from quillframe.operators.quantiles import STATE_VALUES
-from quillframe.support import as_doubles
+from quillframe.support import as_doubles, present
 
 # Features named in the advice on a model.
 TOP_FEATURES = 5
+# Findings that a report should have.
+LEAST_FINDINGS = 5
 
 
 def _num(value: Column, digits: int = 4) -> Column:
@@ -34,10 +37,12 @@ def _class_correlation(x: Column, y: Column) -> Column:
 
 
 def _figures(
-    data: DataFrame, target: str, columns: list[str], bounds: dict
+    df: DataFrame, target: str, columns: list[str], bounds: dict
 ) -> DataFrame:
-    """All figures of the report as one row: class sizes and a struct per column."""
+    """All figures of the report as one row: class sizes, missing cells and a struct per column."""
     y = F.col(target)
+    gaps = {f"__gap{i}": present(f.name, f.dataType).isNull() for i, f in enumerate(df.schema)}
+    data = as_doubles(df.withColumns(gaps), [*columns, target], keep=list(gaps))
 
     def of_column(c: str) -> Column:
         below, above = outlier_counts(c, bounds[c])
@@ -59,6 +64,14 @@ def _figures(
         F.count("*").alias("rows"),
         F.count_if(y == 1).alias("n1"),
         F.count_if(y == 0).alias("n0"),
+        F.array_sort(
+            F.array(
+                *[
+                    F.struct((-F.count_if(g)).alias("order"), F.lit(c).alias("name"))
+                    for g, c in zip(gaps, df.columns, strict=True)
+                ]
+            )
+        ).alias("missing"),
         *[of_column(c) for c in columns],
     )
     by_r = F.array_sort(
@@ -88,17 +101,52 @@ def _figures(
     return one.withColumns({"by_r": by_r, "by_outside": by_outside})
 
 
+def _bullet(number: int, n: Column, text: Column, value: Column) -> list[Column]:
+    return [
+        F.lit(number).alias("section_no"),
+        F.lit(V.REPORT_SECTIONS[number - 1]).alias("section"),
+        n.cast("int").alias("n"),
+        text.alias("text"),
+        value.cast("double").alias("value"),
+    ]
+
+
+def _subgroup_findings(df: DataFrame, target: str, groups: list[str], after: int) -> DataFrame:
+    """A bullet per category: its values with the lowest and the highest share of class 1.
+
+    Equal shares: the least value is the lowest, the greatest the highest.
+    """
+    rates = prevalence(df, target, groups).where(F.col("n") > 0)
+    rate = F.struct("prevalence", F.coalesce("value", F.lit("?")).alias("value"))
+    ends = rates.groupBy("dimension").agg(F.min(rate).alias("low"), F.max(rate).alias("high"))
+    low, high = F.col("low"), F.col("high")
+    points = 100 * (high["prevalence"] - low["prevalence"])
+    place = F.array_position(F.array(*[F.lit(g) for g in groups]), F.col("dimension"))
+    text = _text(
+        F.col("dimension"), ": доля класса 1 от ", _num(low["prevalence"]), " (", low["value"], ") до ",
+        _num(high["prevalence"]), " (", high["value"], "), разница ", _num(points, 2), " п. п.",
+    )
+    return ends.select(*_bullet(3, place + after, text, points))
+
+
 def auto_report(
-    df: DataFrame, target: str, columns: Sequence[str], state_values: int = STATE_VALUES
+    df: DataFrame,
+    target: str,
+    columns: Sequence[str],
+    groups: Sequence[str] = (),
+    state_values: int = STATE_VALUES,
 ) -> DataFrame:
     """``(section_no, section, n, text, value)``: one row per bullet.
 
     Outlier bounds need the quartiles first; every other figure comes from one
-    aggregate, and the bullets are cut from its single row.
+    aggregate, and the bullets are cut from its single row. Findings are the correlation of
+    each numeric column, the missing cells (of single columns too, where five findings are not
+    reached otherwise) and, from a second aggregate, the subgroup shares of the categories ``groups``.
+    A category without a labelled row has no bullet.
     """
-    columns = list(columns)
+    columns, groups = list(columns), list(groups)
     bounds = iqr_bounds(df, columns, state_values)
-    one = _figures(as_doubles(df, [*columns, target]), target, columns, bounds)
+    one = _figures(df, target, columns, bounds)
     rows, n1, n0 = F.col("rows"), F.col("n1"), F.col("n0")
     labelled = n1 + n0
     top, weakest = F.col("by_r")[0]["s"], F.col("by_r")[len(columns) - 1]["s"]
@@ -136,7 +184,23 @@ def auto_report(
             x["r"],
         )
 
+    def gap(i: int) -> tuple[Column, Column]:
+        x = F.col("missing")[i]
+        share = F.try_divide(-100.0 * x["order"], rows)
+        return _text(x["name"], ": пропусков ", (-x["order"]).cast("string"), " (", _num(share, 2), " %)"), -x["order"]
+
+    gaps = F.aggregate("missing", F.lit(0).cast("bigint"), lambda n, x: n - x["order"])
+    most = F.col("missing")[0]
     findings = [finding(F.col("by_r")[i]["s"]) for i in range(len(columns))]
+    findings.append(
+        (
+            _text("Пропусков: ", gaps.cast("string"), ", больше всего в ", most["name"], ": ",
+                  (-most["order"]).cast("string")),
+            gaps,
+        )
+    )
+    short = LEAST_FINDINGS - len(findings) - len(groups)
+    findings += [gap(i) for i in range(min(max(short, 0), len(df.columns)))]
 
     def anomaly(x: Column) -> tuple[Column, Column]:
         found = _text(
@@ -167,20 +231,16 @@ def auto_report(
         ),
         (_text("Исключить ", weakest["name"], ": r = ", _num(weakest["r"])), weakest["r"]),
     ]
-    bullets = []
     lists = [summary, figures, findings, anomalies, advice]
-    for number, (title, items) in enumerate(zip(V.REPORT_SECTIONS, lists, strict=True), 1):
-        for n, (text, value) in enumerate(items, 1):
-            bullets.append(
-                F.struct(
-                    F.lit(number).alias("section_no"),
-                    F.lit(title).alias("section"),
-                    F.lit(n).alias("n"),
-                    text.alias("text"),
-                    value.cast("double").alias("value"),
-                )
-            )
-    return one.select(F.inline(F.array(*bullets)))
+    bullets = [
+        F.struct(*_bullet(number, F.lit(n), text, value))
+        for number, items in enumerate(lists, 1)
+        for n, (text, value) in enumerate(items, 1)
+    ]
+    report = one.select(F.inline(F.array(*bullets)))
+    if groups:
+        report = report.union(_subgroup_findings(df, target, groups, len(findings)))
+    return report
 
 
 def report_text(report: DataFrame) -> DataFrame:

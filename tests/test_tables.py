@@ -176,6 +176,28 @@ def test_auto_report_reads_back_complete(health):
     assert sections.first()["s"][1]["title"] == "КЛЮЧЕВЫЕ ЦИФРЫ"
 
 
+@pytest.mark.parametrize("columns, dims", [(["age"], ["gender"]), (["age", "bmi"], []), (["age"], ["gender", "family"])])
+def test_reports_have_five_findings_with_numbers(health, spark, columns, dims):
+    frame, df = health
+    some = df.select(*columns, *dims, "diagnosed")
+    if "bmi" in columns:
+        some = some.withColumn("bmi", F.when(F.col("age") > 30, F.col("bmi")))
+    report = auto.auto_report(some, "diagnosed", columns, dims)
+    found = report.where("section_no = 3").orderBy("n").collect()
+    assert [r["n"] for r in found] == list(range(1, len(found) + 1)) and len(found) >= 5
+    assert all(any(c.isdigit() for c in r["text"]) for r in found)
+    young = int((frame["age"] <= 30).sum())
+    gaps = found[len(columns)]
+    assert gaps["value"] == (young if "bmi" in columns else 0)
+    rates = frame.groupby("gender")["diagnosed"].mean()
+    for r in found[len(found) - len(dims) :]:
+        if r["text"].startswith("gender"):
+            assert np.isclose(r["value"], 100 * (rates.max() - rates.min()))
+            assert f"({rates.idxmin()}) до " in r["text"] and f"({rates.idxmax()}), " in r["text"]
+    empty = auto.auto_report(some.limit(0), "diagnosed", columns, dims)
+    assert empty.where("section_no = 3").count() == len(found) - len(dims)
+
+
 # ---- transcripts -----------------------------------------------------------
 
 @pytest.fixture(scope="module")
