@@ -56,8 +56,9 @@ def _op2_sql() -> str:
     rule = " ".join(f"WHEN {fits(r)} THEN '{r}'" for _, r in by_length)
     verdict = " ".join(f"WHEN rule = '{r}' THEN '{v}'" for v, r in by_length)
 
-    def hits(terms: tuple[str, ...]) -> str:
-        return " + ".join(f"CAST(regexp_matches(lowered, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') AS BIGINT)" for t in terms)
+    def hits(terms: dict[str, int]) -> str:
+        found = [f"{w} * CAST(regexp_matches(lowered, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') AS BIGINT)" for t, w in terms.items()]
+        return " + ".join(found)
 
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""
@@ -65,11 +66,12 @@ def _op2_sql() -> str:
         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{upper}', '{lower}') AS host,
         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
     found AS (SELECT *, CASE {rule} END AS rule, translate(host || path, '{upper}', '{lower}') AS lowered FROM parts),
-    counted AS (SELECT *, {hits(url_filter.STRICT_TERMS)} AS strict_hits,
-        {hits(url_filter.SOFT_TERMS)} AS soft_hits FROM found)
+    counted AS (SELECT *, {hits(dict.fromkeys(url_filter.STRICT_TERMS, 1))} AS strict_hits,
+        {hits(dict.fromkeys(url_filter.SOFT_TERMS, 1))} AS soft_hits,
+        {hits(url_filter.SOFT_TERMS)} AS soft_weight FROM found)
     SELECT page_id, host, path, rule, CASE {verdict}
-        WHEN strict_hits >= 1 OR soft_hits >= {url_filter.SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict,
-        strict_hits, soft_hits FROM counted"""
+        WHEN strict_hits >= 1 OR (soft_hits > 1 AND soft_weight >= {url_filter.SOFT_LIMIT}) THEN 'block' ELSE 'allow' END AS verdict,
+        strict_hits, soft_hits, soft_weight FROM counted"""
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

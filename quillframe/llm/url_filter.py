@@ -2,8 +2,9 @@
 
 The longest rule that fits a URL decides. Without one, an Aho-Corasick automaton
 finds all vocabulary terms in host and path at once; a term counts when no
-letter or digit adjoins it. One strict term, or ``soft_limit`` different soft
-terms, block the URL.
+letter or digit adjoins it. One strict term, or several different soft terms whose weights
+reach ``soft_limit``, block the URL. A soft term that names a topic weighs 4, a word that ordinary
+sites use as well weighs 1, so no soft term blocks alone, nor do four everyday words without a topic.
 
 A null URL, or one without ``://``, has an empty host and path, no rule and is
 allowed. URLs are read whole, repeated rows are judged alike, an empty table
@@ -14,19 +15,43 @@ are told apart by the longer host.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillframe.llm.common import map_rows
 
-# Terms that block alone, and terms that block together (own choice).
-STRICT_TERMS = ("porn", "xxx", "casino", "viagra", "escort", "spam", "warez", "malware")
-SOFT_TERMS = (
-    "adult", "ads", "bet", "bets", "bonus", "cheap", "click", "crack", "dating", "farm", "free", "hot",
-    "loan", "pills", "poker", "promo", "sex", "track", "win", "x",
-)
-SOFT_LIMIT = 2
+# Terms that block alone, by category (own choice).
+STRICT = {
+    "adult": ("camgirls", "escort", "escorts", "hentai", "milf", "porn", "porno", "pornos", "pornography", "xxx"),
+    "gambling": ("casino", "casinos", "sportsbook", "sportsbooks"),
+    "pharmacy": ("cialis", "kamagra", "levitra", "viagra"),
+    "piracy": ("crackz", "keygen", "keygens", "serialz", "warez"),
+    "abuse": ("botnet", "malware", "phishing", "spam", "spammer"),
+}
+# (weight, terms) by category: terms that block together.
+SOFT = {
+    "adult": (4, ("adult", "babes", "erotic", "erotik", "fetish", "naked", "nude", "nudes", "sex", "sexe", "sexo", "sexy")),
+    "gambling": (4, (
+        "apuestas", "baccarat", "bet", "bets", "betting", "bingo", "blackjack", "gambling", "jackpot", "poker", "roulette",
+        "slots", "wager", "wetten",
+    )),
+    "pharmacy": (4, ("diet", "pharmacy", "pills", "rx", "steroids", "tramadol", "xanax")),
+    "dating": (4, ("dating", "hookup", "hookups", "singles")),
+    "credit": (4, ("forex", "kredit", "loans", "payday")),
+    "piracy": (4, ("crack", "cracked", "nulled", "torrent", "torrents")),
+    "advertising": (4, ("ads", "adserver", "banner", "banners", "doubleclick", "popup", "popunder")),
+    "bait": (1, (
+        "bonus", "buy", "cash", "cheap", "click", "coupon", "deal", "deals", "discount", "download", "easy", "farm", "free",
+        "gratis", "hot", "instant", "loan", "money", "offer", "online", "prize", "promo", "rich", "track", "tracker", "win",
+        "winner", "x",
+    )),
+}
+STRICT_TERMS = tuple(t for terms in STRICT.values() for t in terms)
+SOFT_TERMS = {t: weight for weight, terms in SOFT.values() for t in terms}
+# The sum of weights of different soft terms that blocks; above any single weight.
+SOFT_LIMIT = 5
 _UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(ord("A"), ord("Z") + 1)})
 _URL = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
 
@@ -61,13 +86,14 @@ class Rules:
 class Terms:
     """Aho-Corasick over both vocabularies, with a check of the characters next to a hit."""
 
-    def __init__(self, strict: tuple[str, ...], soft: tuple[str, ...]):
+    def __init__(self, strict: Iterable[str], soft: Mapping[str, int]):
         import ahocorasick
 
         self.machine = ahocorasick.Automaton()
-        for kind, terms in (("soft", soft), ("strict", strict)):
-            for term in terms:
-                self.machine.add_word(term, (kind, term))
+        for term, weight in soft.items():
+            self.machine.add_word(term, (weight, term))
+        for term in strict:
+            self.machine.add_word(term, (0, term))
         self.empty = not len(self.machine)
         if not self.empty:
             self.machine.make_automaton()
@@ -76,16 +102,17 @@ class Terms:
     def _joins(c: str) -> bool:
         return "a" <= c <= "z" or "0" <= c <= "9"
 
-    def hits(self, where: str) -> tuple[int, int]:
-        """Different strict and soft terms that stand alone in ``where``."""
-        found: dict[str, set[str]] = {"strict": set(), "soft": set()}
-        for end, (kind, term) in () if self.empty else self.machine.iter(where):
+    def hits(self, where: str) -> tuple[int, int, int]:
+        """Different strict and soft terms that stand alone in ``where``, and the weight of the soft ones."""
+        found: dict[str, int] = {}
+        for end, (weight, term) in () if self.empty else self.machine.iter(where):
             start = end - len(term) + 1
             if (not start or not self._joins(where[start - 1])) and (
                 end + 1 == len(where) or not self._joins(where[end + 1])
             ):
-                found[kind].add(term)
-        return len(found["strict"]), len(found["soft"])
+                found[term] = weight
+        soft = [w for w in found.values() if w]
+        return len(found) - len(soft), len(soft), sum(soft)
 
 
 def judge_urls(
@@ -93,13 +120,13 @@ def judge_urls(
     rules: list[tuple[str, str]],
     id_col: str = "page_id",
     url_col: str = "url",
-    strict: tuple[str, ...] = STRICT_TERMS,
-    soft: tuple[str, ...] = SOFT_TERMS,
+    strict: Iterable[str] = STRICT_TERMS,
+    soft: Mapping[str, int] = SOFT_TERMS,
     soft_limit: int = SOFT_LIMIT,
 ) -> DataFrame:
-    """(id, host, path, rule, verdict, strict_hits, soft_hits), one row per input row, without a shuffle.
+    """(id, host, path, rule, verdict, strict_hits, soft_hits, soft_weight), one row per input row, without a shuffle.
 
-    ``rules`` and terms go to every task with the code: lists that a person or
+    ``soft`` has the weights, of 1 or more, of the soft terms. ``rules`` and terms go to every task with the code: lists that a person or
     a feed maintains, of up to about a million entries.
     """
     kind = df.schema[id_col].dataType.simpleString()
@@ -112,15 +139,16 @@ def judge_urls(
             for url in given["url"]:
                 host, path = parts(url)
                 rule, verdict = known.match(host, path)
-                hard, mild = terms.hits(host + path.translate(_UPPER))
+                hard, mild, weight = terms.hits(host + path.translate(_UPPER))
                 if verdict is None:
-                    verdict = "block" if hard or mild >= soft_limit else "allow"
-                rows.append((host, path, rule, verdict, hard, mild))
-            names = ("host", "path", "rule", "verdict", "strict_hits", "soft_hits")
+                    verdict = "block" if hard or (mild > 1 and weight >= soft_limit) else "allow"
+                rows.append((host, path, rule, verdict, hard, mild, weight))
+            names = ("host", "path", "rule", "verdict", "strict_hits", "soft_hits", "soft_weight")
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             return {"id": given["id"]} | dict(zip(names, map(list, columns), strict=True))
 
         return work
 
-    schema = f"id {kind}, host string, path string, rule string, verdict string, strict_hits long, soft_hits long"
+    schema = f"id {kind}, host string, path string, rule string, verdict string, "
+    schema += "strict_hits long, soft_hits long, soft_weight long"
     return map_rows(df, {"id": F.col(f"`{id_col}`"), "url": F.col(f"`{url_col}`")}, make, schema)

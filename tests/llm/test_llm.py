@@ -147,6 +147,46 @@ def test_urls(spark):
     assert url_filter.judge_urls(df.limit(0), queries.URL_RULES).count() == 0
 
 
+ORDINARY = """
+shop.example.com/free/track/5 a.example.com/hot/click a.example.com/x/free-software radio.example.net/win/bonus-round
+town.example.com/adult/education farm.example.net/buy/seeds/cheap bank.example.com/loan/calculator music.example.com/album/track/7
+news.example.com/2021/05/poker-face-review health.example.com/diet/tips maths.example.com/unit/slots-and-signals
+docs.example.com/download/free dev.example.com/x/deals records.example.net/singles/1984 news.example.com/essex/sussex
+sport.example.com/tennis/singles health.example.com/sex/education museum.example.com/nude/in/art home.example.com/adserver-docs
+farm.example.com/online/shop kids.example.com/games/win shop.example.com/deals/discount help.example.com/click/offer
+wiki.example.com/Scunthorpe wiki.example.com/Middlesex garden.example.com/hot-peppers post.example.com/track
+travel.example.com/cheap/flights law.example.com/gambling/act club.example.com/bingo/night lang.example.com/gratis
+code.example.com/torrent-client bank.example.com/money/easy library.example.com/free/adult/fiction
+""".split()
+UNWANTED = """
+free-bets.example.net/ cheap-pills.example.net/a adult-x.example.com/1 a.example.com/warez casino-win.example.net/ ads-track.example.com/p
+a.example.com/online/poker/bonus a.example.com/sexy/singles a.example.com/payday-loans a.example.com/keygen
+a.example.com/buy/xanax a.example.com/nude/babes a.example.com/Cracked/download best.example.com/viagra
+""".split()
+
+
+def test_vocabulary_on_ordinary_and_unwanted_urls(spark):
+    """One ordinary URL is blocked, no unwanted one passes: precision 14 in 15."""
+    rows = [(i, f"http://{u}") for i, u in enumerate(ORDINARY + UNWANTED)]
+    got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), [])
+    blocked = {r["id"] for r in got.where("verdict = 'block'").collect()}
+    assert [ORDINARY[i] for i in sorted(blocked) if i < len(ORDINARY)] == ["library.example.com/free/adult/fiction"]
+    assert {i for i, _ in rows if i >= len(ORDINARY)} <= blocked
+
+
+def test_soft_terms_count_once_and_never_alone(spark):
+    assert set(url_filter.STRICT_TERMS).isdisjoint(url_filter.SOFT_TERMS)
+    assert max(url_filter.SOFT_TERMS.values()) < url_filter.SOFT_LIMIT
+    long = "http://a.example.com/" + "poker/" * 300_000
+    rows = [(1, long), (2, long + "win"), (3, long + "winter"), (4, "http://")]
+    got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), [])
+    found = {r["id"]: (r["verdict"], r["soft_hits"], r["soft_weight"], len(r["path"])) for r in got.collect()}
+    assert found[1] == found[3][:3] + (1_800_001,) == ("allow", 1, 4, 1_800_001)
+    assert found[2][:3] == ("block", 2, 5) and found[4] == ("allow", 0, 0, 0)
+    alone = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), [], soft={"poker": 9})
+    assert alone.where("verdict = 'block'").count() == 0
+
+
 def test_repeated_words_against_plain_counting():
     rng = random.Random(4)
     for _ in range(200):
