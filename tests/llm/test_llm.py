@@ -390,6 +390,35 @@ def test_simhash_is_the_majority_of_bits():
         assert np.packbits(2 * bits.sum(axis=0) > b - a).view(np.uint64)[0] == got
 
 
+def test_words_are_common_by_a_count_over_every_line(spark):
+    """Words near the share, rare or frequent by a few lines in a table that is too long for a small sample to tell."""
+    rng = random.Random(5)
+    lines = [[f"only{chr(97 + i % 26)}{'xyz'[i % 3]}"] for i in range(12_000)]
+    for w in range(200):  # by 20 lines around the share of 120
+        for i in rng.sample(range(len(lines)), 100 + w % 41):
+            lines[i] += ["w" + "abcdefghij"[w % 10] * (1 + w // 10)] * 2
+    texts = [" ".join(lines[i]) + "\n\n" + ", ".join(lines[i + 1]) for i in range(0, len(lines), 2)]
+    counts = collections.Counter(w for line in lines for w in set(line))
+    want = {w for w, n in counts.items() if n > 0.01 * len(lines)}
+    df = spark.createDataFrame(list(enumerate([*texts, None, ""])), "doc_id long, text string")
+    got = line_dedup.common_words(df, "text")
+    names = dict(zip((line_dedup.coded_lines([" ".join(counts).encode()])[0] >> np.uint64(20)).tolist(), counts, strict=True))
+    assert {names[c] for c in (got >> np.uint64(20)).tolist()} == want and 50 < len(want) < len(counts) - 50
+    assert len(line_dedup.common_words(df.limit(0), "text")) == 0
+
+
+def test_lines_in_one_go_are_the_lines_one_by_one():
+    rng = random.Random(8)
+    parts = ["\n", "\n", " ", "a", "Bc", "bC", "9", "é", "漢", "、", "\r", "\x0b", "\x00", "🙂"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))).encode() for _ in range(300)] + [b"", b"\n"]
+    codes, sizes = line_dedup.coded_lines(texts)
+    lines = [line_dedup.line_words(x) for t in texts for x in t.split(b"\n")]
+    assert sizes.tolist() == [len(x) for x in lines]
+    words = [w for x in lines for w in x]
+    assert len(set(zip(codes.tolist(), words, strict=True))) == len(set(words)) == len(set(codes.tolist()))
+    assert [t for c in line_dedup.chunks(texts) for t in c] == texts
+
+
 def test_line_dedup_against_all_pairs(spark, empty):
     """Which lines go, given groups found by comparing all pairs: none but near lines, and 0.9 of these."""
     rng = random.Random(17)
