@@ -7,8 +7,10 @@ from pathlib import Path
 import pandas as pd
 import pytest
 
+from quillframe.functions import fixed_values as V
 from quillframe.sources import files, tables
 from quillframe.sources.csv_records import cells, column_names, open_after, records_of
+from quillframe.support import scratch_path
 
 
 def _cell(rng):
@@ -151,3 +153,22 @@ def test_admitted_rows_are_matched_by_name_and_typed(spark, tmp_path):
         ("a.csv", 0, 1, "x, y", "2.51"), ("a.csv", 1, 2, "two\nlines", "None"), ("a.csv", 2, None, "3", "None"),
         ("b.csv", 0, 2**63 - 1, "z", "None"),
     ]
+
+
+def test_many_small_files_go_to_few_tasks(spark):
+    cores = spark.sparkContext.defaultParallelism
+    n = 32 * 12 * cores
+    path = scratch_path(spark, "many")
+    rows = spark.range(n).selectExpr(
+        "CASE id % 4 WHEN 0 THEN concat('a b+', id, '%.csv') WHEN 1 THEN concat('é&', id, '.csv') ELSE concat(id, '.txt') END AS name",
+        "encode(CASE WHEN id % 8 < 2 THEN '' WHEN id % 4 = 3 THEN '' ELSE 'id\\n7\\n' END, 'UTF-8') AS content",
+    )
+    files.write_files(rows, path)
+    found = files.admit_files(spark, path)
+    got = found.groupBy("length", "rows", "reason").count().collect()
+    assert {(r["length"], r["rows"], r["reason"], r["count"]) for r in got} == {
+        (5, 1, None, n // 4), (0, None, V.REJECT_READ, n // 4), (5, None, V.REJECT_EXTENSION, n // 4), (0, None, V.REJECT_EXTENSION, n // 4),
+    }
+    read = files.read_admitted_csv(spark, path, "id bigint")
+    assert read.filter("id = 7").count() == read.count() == n // 4
+    assert read.rdd.getNumPartitions() <= 4 * cores
