@@ -582,6 +582,25 @@ def test_components(spark):
     assert len(both) == len(got) and {r["node"]: r["root"] for r in both} == got
 
 
+def test_pairs_that_cannot_link_are_dropped_inside_the_join(spark):
+    """No pair that links is dropped, and hardly one of unlike sets, which share a passage, is left."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for n in (1, 2, 7, 20, 60, 150, 400, 3000):
+        for share in (1.0, 0.95, 0.93, 0.9, 0.5, 0.2):
+            a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            b = np.concatenate([a[: round(n * share)], rng.integers(0, 1 << 63, n - round(n * share)).astype(np.uint64)])
+            a, b = np.unique(a), np.unique(b)
+            both = len(np.intersect1d(a, b))
+            links = 100 * both >= 85 * (len(a) + len(b) - both)
+            rows.append((len(a), len(b), share, bool(links), *[x for i in range(4) for x in (
+                ngram_join.folded(ngram_join.parity_bits(a))[i], ngram_join.folded(ngram_join.parity_bits(b))[i])]))
+    names = "n_a long, n_b long, share double, links boolean, " + ", ".join(f"fold{i}_a long, fold{i}_b long" for i in range(4))
+    got = spark.createDataFrame(rows, names).withColumn("may", ngram_join.may_link(85)("_a", "_b")).collect()
+    assert all(r["may"] for r in got if r["links"]) and sum(r["links"] for r in got) > 20
+    assert not any(r["may"] for r in got if r["share"] == 0.2 and 7 <= r["n_a"] <= 400)
+
+
 def test_ngram_join_against_all_pairs(spark, docs, empty):
     rng = random.Random(11)
     texts = [" ".join(rng.choice("abcdefghij") + str(rng.randint(0, 40)) for _ in range(rng.randint(1, 70))) for _ in range(40)]
