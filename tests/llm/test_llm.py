@@ -198,6 +198,16 @@ def test_repeated_words_against_plain_counting():
         assert quality.repeated_words(words) == len(inside)
 
 
+def test_kept_rows_pass_python_once(docs):
+    """A second Python step in the same stage would take a second worker for each task, and its memory."""
+    plan = quality.keep_good(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    found = {r["id"]: r for r in quality.quality(docs).collect()}
+    again = quality.quality(docs, keep={"c": F.lit(1)}).collect()
+    for r in again:
+        assert all(found[r["id"]][c] == r[c] for c in ("n_words", "char_distance", "word_distance", "kept"))
+
+
 def test_quality_on_awkward_rows(docs, empty):
     rows = quality.quality(clashing(docs)).collect()
     assert len(rows) == len(AWKWARD)
