@@ -611,6 +611,40 @@ def test_pairs_that_cannot_link_are_dropped_inside_the_join(spark):
     assert not any(r["may"] for r in got if r["share"] == 0.2 and 7 <= r["n_a"] <= 400)
 
 
+def test_large_sets_that_cannot_link_are_dropped_inside_the_join(spark):
+    """Also those of a thousand n-grams, with which 256 bits are full."""
+    rng = np.random.default_rng(13)
+    rows = []
+    for n in (30, 300, 1000, 1400):
+        for share in (0.95, 0.92, 0.5):
+            a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            b = np.concatenate([a[: round(n * share)], rng.integers(0, 1 << 63, n - round(n * share)).astype(np.uint64)])
+            bits = [ngram_join.folded(ngram_join.parity_bits(x, ngram_join.FOLD_BITS), ngram_join.FOLD_BITS) for x in (a, b)]
+            rows.append((n, n, share, *bits[0], *bits[1]))
+    names = "n_a long, n_b long, share double, " + ", ".join(f"fold{i}_{s} long" for s in "ab" for i in range(ngram_join.FOLD_BITS // 64))
+    got = spark.createDataFrame(rows, names).withColumn("may", ngram_join.may_link(85, ngram_join.FOLD_BITS)("_a", "_b")).collect()
+    assert all(r["may"] == (r["share"] > 0.9) for r in got)
+
+
+def test_tiles_with_the_same_members_are_one(spark):
+    """Pairs met and the company of a node stay as they are; 200 tiles of a pair make one."""
+    rng = random.Random(15)
+    members = {t: (1, 2) for t in range(200)} | {1000 + t: tuple(rng.sample(range(20), 3)) for t in range(50)}
+    rows = spark.createDataFrame([(t, n) for t, some in members.items() for n in some], "tile long, node long")
+    got = collections.defaultdict(set)
+    weights, company, want = {}, collections.Counter(), collections.Counter()
+    for r in tiles._unlike(rows).collect():
+        got[r["tile"]].add(r["node"])
+        weights[r["tile"]] = r["weight"]
+        company[r["node"]] += r["weight"]
+    for some in members.values():
+        for n in some:
+            want[n] += len(some)
+    assert {frozenset(x) for x in members.values()} == {frozenset(x) for x in got.values()}
+    assert len(got) == len({frozenset(x) for x in members.values()}) and company == want and weights[0] == 400
+    assert tiles._unlike(rows.limit(0)).count() == 0
+
+
 def test_ngram_join_against_all_pairs(spark, docs, empty):
     rng = random.Random(11)
     texts = [" ".join(rng.choice("abcdefghij") + str(rng.randint(0, 40)) for _ in range(rng.randint(1, 70))) for _ in range(40)]
