@@ -356,6 +356,34 @@ def test_edit_distance():
         assert line_dedup.edit_distance(a, b) == d[-1]
 
 
+def test_lines_of_other_words_are_told_without_edit_distance(monkeypatch):
+    rng = random.Random(4)
+    made = []
+    for _ in range(600):
+        x = rng.choices([b"a", b"b", b"c", b"d", b"e"] + [b"w%d" % i for i in range(40)], k=rng.randint(0, 40))
+        y = list(x)
+        for at in rng.sample(range(len(x)), min(len(x), rng.randint(0, 6))):
+            y[at : at + 1] = rng.choice([[], [b"new"], [x[at], b"more"], [b"a"]])
+        made.append((x, y, max(len(x), len(y)) - line_dedup.edit_distance(x, y) >= 0.9 * max(len(x), len(y)) - 1e-9))
+    assert all(line_dedup.are_near(x, y, 0.9) == line_dedup.are_near(y, x, 0.9) == want for x, y, want in made)
+    assert 100 < sum(want for *_, want in made) < 500
+    monkeypatch.setattr(line_dedup, "edit_distance", None)
+    assert not line_dedup.are_near([b"a"] * 30, [b"a"] * 20 + [b"b"] * 10, 0.9)
+
+
+def test_words_of_a_task_are_handed_on_once(spark, monkeypatch):
+    """However many batches they come in; in parts, if there are many, and then with the same result."""
+    rows = [(i, f"these words\nand {'xyz'[i % 3]}" + " seldom" * (i == 7) + " most" * (i >= 2900)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    held = {r["code"]: (r["held"], r["often"]) for r in line_dedup.word_counts(df, "text").collect()}
+    assert line_dedup.word_counts(df, "text").count() == len(held) == 9 and held.pop(None) == (6000, False)
+    assert sorted(held.values()) == [(1, False), (100, True), (1000, True), (1000, True), (1000, True), (3000, True), (3000, True), (3000, True)]
+    whole = line_dedup.common_words(df, "text")
+    monkeypatch.setattr(line_dedup, "HELD_WORDS", 3)
+    assert line_dedup.word_counts(df, "text").count() > 9
+    assert len(whole) == 7 and (line_dedup.common_words(df, "text") == whole).all()
+
+
 def near_lines(rng, size, edits, common):
     """A line and the same with so many edits."""
 
