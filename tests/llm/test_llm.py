@@ -763,6 +763,26 @@ def test_large_groups_are_not_paired(spark):
     assert seen[240] <= 6 * seen[60] <= 6 * 4 * 60
 
 
+def test_roots_are_looked_up_once_and_then_for_tiles_still_apart(spark, monkeypatch):
+    """All rows once, after the first round; of the second, only rows of tiles with two components."""
+    # Tiles 0 to 29 hold nodes that all link with node 0; tile 30 holds two nodes that do not link.
+    rows = [(node, tile) for tile in range(30) for node in range(40) if node < 39 or tile % 2] + [(0, 30), (99, 30)]
+    made, join = [], type(spark.range(1)).join
+
+    def counted(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if on == "node" and how == "left":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(spark.range(1)), "join", counted)
+    link = lambda pairs: pairs.filter("a = 0 AND b < 99")
+    found = tiles.linked_groups(spark.createDataFrame(rows, "node long, tile long"), link).collect()
+    assert {(r.node, r.root) for r in found} == {(n, 0) for n in range(40)}
+    # Of the tiles with the same members one is left: 39, 40 and 2 members.
+    assert made == [81, 2]
+
+
 def test_bitmaps_bound_from_above():
     rng = np.random.default_rng(4)
     for _ in range(100):
