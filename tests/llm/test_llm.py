@@ -506,6 +506,28 @@ def test_line_dedup_against_all_pairs(spark, empty):
     assert line_dedup.dedup(empty, report=True).columns == ["id", "text", "n_lines", "n_removed"]
 
 
+def test_line_dedup_reads_texts_for_lines_in_question_once(spark, monkeypatch):
+    """Not in each of the three rounds; the scan, the lines in question and the result make three."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(30)]
+    rows = [(i, " ".join([*base[:i], f"other{i}", *base[i + 1 :]]) + f"\nline{i} " + "z" * i) for i in range(8)]
+    # Many other lines, so that no word of these is a common one; letters, as digits are alike.
+    rows.append((8, "\n".join(a + b + c for a in "abcdefghijklm" for b in "abcdefghijklm" for c in "nopqrstuvwxyz")))
+    read, key = [], line_dedup.text_key
+    monkeypatch.setattr(line_dedup, "text_key", lambda name: read.append(name) or key(name))
+    got = {r["id"]: r["text"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), report=True).collect()}
+    assert got == {i: t if i in (0, 8) else t.split("\n")[1] for i, t in rows}
+    assert len(read) == 3
+
+
+def test_word_hashes_are_sums_over_bytes_and_places():
+    words = [bytes([c]) * n for c in (48, 97, 200) for n in (1, 2, 3, 31, 32, 33, 34, 70)] + [b"ab\xc3\xa9c", b"x" * 3000]
+    codes, sizes = line_dedup.coded_lines([b"  ".join(words) + b"\n\n!", b"", b"ab\n"])
+    want = [line_dedup._placed(np.frombuffer(w, np.uint8), np.arange(len(w))).sum(dtype=np.uint64) for w in [*words, b"ab"]]
+    assert sizes.tolist() == [len(words), 0, 0, 0, 1, 0]
+    assert (codes == line_dedup._mixed(line_dedup._mixed(np.array(want)))).all()
+
+
 def test_line_dedup_of_short_lines_and_scripts_without_spaces(spark):
     han = "今天天气很好我们一起去公园散步然后回家吃饭"
     rows = [
