@@ -805,6 +805,33 @@ def test_roots_are_looked_up_once_and_then_for_tiles_still_apart(spark, monkeypa
     assert made == [81, 2]
 
 
+def test_tiles_of_few_nodes_are_compared_once(spark, monkeypatch):
+    """All their pairs are met in the first round; the columns that tell pairs are not joined to them again."""
+    rows = [(node, tile) for tile in range(40) for node in (3 * tile, 3 * tile + 1, 3 * tile + 2)]
+    rows += [(node, 100) for node in range(1000, 1006)]
+    side = spark.createDataFrame([(n, n % 7) for n in {n for n, _ in rows}], "node long, kind long")
+    looked_up, asked, join = [], [], type(spark.range(1)).join
+
+    def counted(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if other is side:
+            looked_up.append(out.count())
+        return out
+
+    def link(pairs):
+        asked.append({(r.a, r.b) for r in pairs.collect()})
+        return pairs.filter("b - a = 2 AND a < 1000")
+
+    monkeypatch.setattr(type(spark.range(1)), "join", counted)
+    found = tiles.linked_groups(spark.createDataFrame(rows, "node long, tile long"), link, side).collect()
+    assert {(r.node, r.root) for r in found} == {(3 * t + i, 3 * t) for t in range(40) for i in (0, 2)}
+    # All rows once, and again those of the tile of six in the two rounds after.
+    assert sum(looked_up) == 126 + 6 + 6 and len(asked) == 3
+    assert asked[0] >= {(3 * t + i, 3 * t + j) for t in range(40) for i, j in ((0, 1), (0, 2), (1, 2))}
+    assert {a for some in asked[1:] for a, _ in some} <= set(range(1000, 1006))
+    assert {p for some in asked for p in some if p[0] >= 1000} == {(a, b) for a in range(1000, 1006) for b in range(a + 1, 1006)}
+
+
 def test_bitmaps_bound_from_above():
     rng = np.random.default_rng(4)
     for _ in range(100):
