@@ -371,6 +371,17 @@ def test_lines_of_other_words_are_told_without_edit_distance(monkeypatch):
     assert not line_dedup.are_near([b"a"] * 30, [b"a"] * 20 + [b"b"] * 10, 0.9)
 
 
+def test_words_that_lines_begin_and_end_with_are_not_compared():
+    """Two lines of 4,000 words with one word between them changed: bit vectors of that word alone, not of 4,000."""
+    a = [b"w%d" % i for i in range(4000)]
+    for b, want in ((a[:2000] + [b"x"] + a[2001:], 1), (a[:1000] + a[1001:], 1), (a, 0), (a + a[-1:], 1), (a[:1] + a, 1), ([], 4000)):
+        assert line_dedup.edit_distance(a, b) == line_dedup.edit_distance(b, a) == want
+        began = time.process_time()
+        for _ in range(20):
+            line_dedup.edit_distance(a, b)
+        assert time.process_time() - began < 0.1
+
+
 def test_words_of_a_task_are_handed_on_once(spark, monkeypatch):
     """However many batches they come in; in parts, if there are many, and then with the same result."""
     rows = [(i, f"these words\nand {'xyz'[i % 3]}" + " seldom" * (i == 7) + " most" * (i >= 2900)) for i in range(3000)]
@@ -445,6 +456,19 @@ def test_words_are_common_by_a_count_over_every_line(spark):
     assert len(line_dedup.common_words(df.limit(0), "text")) == 0
 
 
+def test_common_words_are_looked_up_by_their_first_bits():
+    """Also where many begin alike, and those that differ from one in the bits that number lines alone."""
+    rng = np.random.default_rng(21)
+    common = rng.integers(0, 1 << 63, 400).astype(np.uint64) << np.uint64(1)
+    common = np.sort(np.append(common, (common[:1] >> np.uint64(48) << np.uint64(48)) + (np.arange(9, dtype=np.uint64) << np.uint64(20))))
+    common = np.unique(common >> np.uint64(20) << np.uint64(20))
+    codes = np.concatenate([common + np.uint64(5), common + np.uint64(1 << 20), rng.integers(0, 1 << 63, 5000).astype(np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+    want = np.isin(codes >> np.uint64(20), common >> np.uint64(20))
+    assert (line_dedup._among(codes, common) == want).all() and want.sum() >= len(common)
+    assert (line_dedup._among(codes, common[-1:]) == (codes >> np.uint64(20) == common[-1] >> np.uint64(20))).all()
+    assert len(line_dedup._among(codes[:0], common)) == 0 and not line_dedup._among(codes, common[:0]).any()
+
+
 def test_lines_in_one_go_are_the_lines_one_by_one():
     rng = random.Random(8)
     parts = ["\n", "\n", " ", "a", "Bc", "bC", "9", "é", "漢", "、", "\r", "\x0b", "\x00", "🙂"]
