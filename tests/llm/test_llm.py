@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import itertools
+import math
 import pathlib
 import random
 import re
@@ -430,6 +432,92 @@ def test_share_of_near_lines_filed_together(low, high):
     assert len(found) > 50 and np.mean(found) >= 0.9
 
 
+@pytest.mark.parametrize("low,high", [(9, 11), (12, 15), (16, 24), (25, 39), (40, 79), (80, 199), (200, 500)])
+@pytest.mark.parametrize("kinds,share", [(7, 1), (200, 1), (40, 0.8), (1, 0.9)])
+def test_near_lines_of_common_words_are_filed_together(kinds, share, low, high):
+    """Words that many lines hold, or that one line repeats, are no reason to leave out a line, or a deal of it."""
+    rng = random.Random(low)
+    common = ["".join(rng.choices("abcdefghij", k=4)) for _ in range(kinds)]
+    known = np.unique(line_dedup.coded_lines([" ".join(common).encode()])[0] >> np.uint64(20) << np.uint64(20))
+    found = []
+    for _ in range(100):
+        size = rng.randint(low, high)
+        x = [rng.choice(common) if rng.random() < share else "".join(rng.choices("abcdefghij", k=5)) for _ in range(size)]
+        y = list(x)
+        for at in sorted(rng.sample(range(size), rng.randint(1, max(1, int(0.1 * size)))), reverse=True):
+            y[at : at + 1] = rng.choice([[], [rng.choice(common)], [y[at], rng.choice(common)]])
+        if not 0 < line_dedup.edit_distance(x, y) <= 0.1 * max(len(x), len(y)) + 1e-9:
+            continue
+        flat, sizes = line_dedup.coded_lines([(" ".join(x) + "\n" + " ".join(y)).encode()])
+        owner, keys = line_dedup.line_keys(flat, sizes, known, 0.9)
+        deals = next(d[1] for d in reversed(line_dedup.DEALS) if max(len(x), len(y)) >= d[0])
+        assert (np.bincount(owner, minlength=2) >= deals).all()
+        found.append(len(np.intersect1d(keys[owner == 0], keys[owner == 1])) > 0)
+    assert len(found) > 40 and np.mean(found) >= 0.9
+
+
+def test_blocks_of_a_frequent_word_tell_lines_apart():
+    """Lines that only share a word that each repeats do not all come under the SimHash of that word."""
+    rng = random.Random(11)
+    common = ["the", *("c" + "abcdefghij"[i % 10] * (1 + i // 10) for i in range(60))]
+    known = np.unique(line_dedup.coded_lines([" ".join(common).encode()])[0] >> np.uint64(20) << np.uint64(20))
+    lines = [" ".join(rng.choices(common, [60] + [1] * 60, k=30)) for _ in range(2000)]
+    codes, sizes = line_dedup.coded_lines(["\n".join(lines).encode()])
+    _, times = np.unique(line_dedup.line_keys(codes, sizes, known, 0.9)[1], return_counts=True)
+    assert times.max() <= 100
+
+
+def test_near_lines_of_a_small_table_and_of_a_frequent_form_go(spark):
+    """In a table of few lines every word is common, and so are the words of what most lines vary."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda my".split()
+    rows = [(0, " ".join(words)), (1, "this line is by no means like any other line of the table")]
+    assert [r["n_removed"] for r in line_dedup.dedup(spark.createDataFrame([*rows, (2, " ".join(words[:-1]))], "doc_id long, text string"), report=True).sort("id").collect()] == [0, 0, 1]
+    # Almost all lines are the form with another word at one place; the last one, with two, is near none of them.
+    some = ["".join(x) for x in itertools.product("abcde", "fghij", "klmno")]
+    rows += [(2 + i, " ".join([*words[: i % 12], x, *words[i % 12 + 1 :]])) for i, x in enumerate(some)]
+    rows.append((200, " ".join(["xx", "yy", *words[2:]])))
+    got = {r["id"]: r["n_removed"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), report=True).collect()}
+    assert {i for i, n in got.items() if not n} == {0, 1, 200} and set(got.values()) == {0, 1}
+
+
+def test_near_lines_have_a_rarest_word_in_common(spark):
+    rng = random.Random(12)
+    common = ["the", "of", "and", "to", "in"]
+    lines, pairs = [], []
+    for _ in range(150):
+        x, y = near_lines(rng, rng.randint(9, 60), 1, common)
+        x = [*x[:1] * rng.randint(1, 4), *x[1:]]
+        if 10 * line_dedup.edit_distance(x, y) <= max(len(x), len(y)):
+            pairs.append((len(lines), len(lines) + 1))
+        lines += [x, y]
+    bodies = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "line long, body string")
+    parts = collections.defaultdict(set)
+    for r in line_dedup._rarest_words(bodies.select(F.col("line").alias("node")), bodies, 0.9).collect():
+        parts[r["node"]].add(r["part"])
+    assert len(pairs) > 50 and all(parts[a] & parts[b] for a, b in pairs)
+    assert all(len(parts[i]) == len(x) - math.ceil(0.9 * len(x) - 1e-9) + 1 for i, x in enumerate(lines))
+
+
+def test_tiles_of_many_components_are_dealt_again(spark):
+    """600 nodes under one tile, in groups of 20 with a part in common: few pairs, and the same groups."""
+    rows = [(i, 7, i % 30, i // 30) for i in range(600)] + [(1000 + i, 8, 0, i) for i in range(3)]
+    filed = spark.createDataFrame([(r[0], r[1]) for r in rows], "node long, tile long")
+    kinds = spark.createDataFrame([(r[0], r[2]) for r in rows], "node long, part long")
+    side = spark.createDataFrame([(r[0], r[2], r[3]) for r in rows], "node long, kind long, at long")
+    seen = []
+
+    def link(pairs, *given):
+        seen.append(pairs.count())
+        both = pairs.join(side.toDF("a", "kind_a", "at_a"), "a").join(side.toDF("b", "kind_b", "at_b"), "b")
+        return both.filter("kind_a = kind_b AND abs(at_a - at_b) <= 18").select("a", "b")
+
+    roots = {r["node"]: r["root"] for r in tiles.linked_groups(filed, link).collect()}
+    whole, seen[:] = sum(seen), []
+    again = tiles.linked_groups(filed, link, parts=lambda nodes, *given: kinds.join(nodes, "node"))
+    assert {r["node"]: r["root"] for r in again.collect()} == roots == {r[0]: r[2] if r[1] == 7 else 1000 for r in rows}
+    assert whole > 100_000 and sum(seen) < 5_000
+
+
 def test_simhash_is_the_majority_of_bits():
     rng = np.random.default_rng(3)
     codes = rng.integers(0, 1 << 63, 300_000).astype(np.uint64)
