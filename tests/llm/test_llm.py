@@ -994,6 +994,16 @@ def test_pipeline_stages(spark, docs, empty):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "ngram_jaccard", "pii", "packing"]
 
 
+def test_pipeline_takes_out_near_lines_of_common_words(spark):
+    """Its stage for lines leaves out no line for its words: all words of such a small table are common ones."""
+    form = "this text may be copied by all who keep this notice with it".split()
+    texts = [" ".join([*form[:i], f"other{'abcdefgh'[i]}", *form[i + 1 :]]) + f"\nown {'xyzuvwst'[i] * 3}" for i in range(8)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate([" ".join(form), *texts])]
+    got = dict(corpus_pipeline.STAGES)["line_dedup"](spark, spark.createDataFrame(rows, COLUMNS), "")
+    want = [" ".join(form), *[t.split("\n")[1] for t in texts]]
+    assert sorted((r["doc_id"], r["text"], r["n_chars"]) for r in got.collect()) == [(i, t, len(t)) for i, t in enumerate(want)]
+
+
 def test_hashes_of_ids_agree_with_the_contract(spark, tmp_path):
     """The query's digests against the library's, on one small stored table."""
     texts = [(i, t) for i, t in enumerate(small_texts(50, 12))]
